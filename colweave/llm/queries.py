@@ -5,6 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from colweave.llm.simhash import near_duplicates
 from colweave.llm.store import read_table
 from colweave.llm.token_counts import count_tokens
 from colweave.llm.token_shards import token_shards
@@ -26,3 +29,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+@query
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read_table(spark, sf_dir, "documents"), words=3, max_bits=2, segments=2, seed=42)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -138,14 +138,16 @@ class WordEncoder(dict):
     """Encodings (uint32 bytes) of what stands between blanks, under a tokenizer whose pieces never reach over white space."""
 
     def __init__(self, path: str):
-        self.encode_one = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode_one = tokenizer.encode
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         if not word:
             ids = b""
-        elif word.isascii() and word != (low := word.lower()):
+        elif word.isascii() and word != (low := word.lower()) and not any(x in low for x in self.special):
             ids = self[low]
         elif word[-1] in ".," and word[:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1]]
