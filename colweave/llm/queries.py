@@ -11,6 +11,7 @@ from colweave.llm.simhash import near_duplicates
 from colweave.llm.store import read_table
 from colweave.llm.token_counts import count_tokens
 from colweave.llm.token_shards import token_shards
+from colweave.llm.topk import top_k
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +36,22 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"), words=3, max_bits=2, segments=2, seed=42)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+ORACLES["op5_top_k"] = """
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id, [floor(256.0 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF isfinite(x)]) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
