@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from colweave.llm.langid import learn_languages, score_languages
 from colweave.llm.licenses import scan_licenses
+from colweave.llm.quality import quality
 from colweave.llm.simhash import near_duplicates
-from colweave.llm.store import read_table
+from colweave.llm.store import fold, read_table
 from colweave.llm.token_counts import count_tokens
 from colweave.llm.token_shards import token_shards
 from colweave.llm.topk import top_k
@@ -61,3 +63,15 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 @query
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) == 0)
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    return score_languages(docs, learn_languages(docs, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits")
