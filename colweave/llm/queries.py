@@ -15,6 +15,7 @@ from colweave.llm.store import fold, read_table
 from colweave.llm.token_counts import count_tokens
 from colweave.llm.token_shards import token_shards
 from colweave.llm.topk import top_k
+from colweave.llm.toxicity import toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +76,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 5) == 0
     return score_languages(docs, learn_languages(docs, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits")
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) == 2).drop("passages")

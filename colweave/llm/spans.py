@@ -32,7 +32,10 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, WINDOW + 1)
-        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, x, np.uint64)]).astype(np.uint64), dtype=np.uint64) for x in (_BASE, _INVERSE)]
+        for k, x in enumerate((_BASE, _INVERSE)):
+            factors = np.full(size, x, np.uint64)
+            factors[0] = 1
+            _POWERS[k : k + 1] = [np.cumprod(factors, dtype=np.uint64)]
     return _POWERS[0], _POWERS[1]
 
 
