@@ -23,6 +23,7 @@ documents; an empty table gives no shard and no rows.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -44,7 +45,10 @@ PERCENTILE = 90
 #: A shard is closed when it holds so many ids; a longer document fills one alone.
 SHARD_IDS = 2_000_000
 #: Entries that a worker's cache of word encodings holds before it starts afresh.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
+
+#: A full stop or comma that may belong to a longer run of signs.
+_RUN = re.compile(r"[^ 0-9A-Za-zÀ-ÖØ-öø-įı-ɏ][.,]")
 
 _HEAD = struct.Struct("<8sIIQII")
 
@@ -135,29 +139,36 @@ class Shard:
 
 
 class WordEncoder(dict):
-    """Encodings (uint32 bytes) of what stands between blanks, under a tokenizer whose pieces never reach over white space."""
+    """Encodings (uint32 bytes) of what stands between blanks, under a tokenizer whose pieces never reach over white space.
+
+    A new word of Latin letters goes straight to the file's model, as its normaliser only
+    lower-cases it and its pre-tokenizer leaves it whole; all else takes the full way.
+    """
 
     def __init__(self, path: str):
         tokenizer = Tokenizer.from_file(path)
-        self.encode_one = tokenizer.encode
-        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.encode_one, self.tokenize = tokenizer.encode, tokenizer.model.tokenize
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = (b for b in range(256) if b not in plain)
+        self.printable = str.maketrans({b: 256 + k for k, b in enumerate(rest)})
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        if not word:
-            ids = b""
-        elif word.isascii() and word != (low := word.lower()) and not any(x in low for x in self.special):
-            ids = self[low]
-        elif word[-1] in ".," and word[:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1]]
-        else:
+        if word.isalpha() and max(word) < "\u0130":
+            ids = np.array([t.id for t in self.tokenize(word.lower().encode().decode("latin-1").translate(self.printable))], "<u4").tobytes()
+        elif word:
             ids = np.array(self.encode_one(word, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            ids = b""
         self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        text = text.replace("\n", " ")
+        if not _RUN.search(text):  # a stop after a letter or digit is a piece by itself
+            text = text.replace(". ", " . ").replace(", ", " , ")
+        return b"".join(map(self.__getitem__, text.split(" ")))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
