@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from colweave.llm.langid import learn_languages, score_languages
 from colweave.llm.licenses import scan_licenses
+from colweave.llm.mixing import mix
 from colweave.llm.quality import quality
 from colweave.llm.simhash import near_duplicates
 from colweave.llm.store import fold, read_table
@@ -81,3 +82,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) == 2).drop("passages")
+
+
+@query
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return mixed.select("doc_id", "n_words", "domain", *(F.get("p", k).alias(f"p_{d}") for k, d in enumerate(("good", "poor", "toxic"))), "rate", "copies")
