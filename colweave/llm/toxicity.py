@@ -37,7 +37,9 @@ TRAIN_ROWS = 20_000
 #: Most tokens and stems with a score of their own, and fewest documents that hold one.
 ENTRIES, LEAST = 50_000, 3
 #: Bytes of a stem; weight of the prior in tokens; step of a token that tells nothing; full weight from this z-score on.
-STEM, PRIOR, DRIFT, FULL_Z = 5, 2000.0, 0.25, 4.0
+STEM, PRIOR, DRIFT, FULL_Z = 5, 20_000.0, 0.5, 4.0
+#: A token of a smaller z-score tells nothing.
+LEAST_Z = 2.5
 #: Constant of the extreme-value tail, and the expected chance occurrences that a significant segment stays under.
 K, CHANCE = 0.1, 0.05
 #: Score from which a text is called toxic.
@@ -203,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str = "to
     rest = lambda x, n: F.lit(n + PRIOR) - F.col(x) - pooled
     odds = F.log((F.col("toxic") + pooled) / rest("toxic", t)) - F.log((F.col("clean") + pooled) / rest("clean", c))
     z = odds / F.sqrt(1 / (F.col("toxic") + pooled) + 1 / (F.col("clean") + pooled))
-    told = counts.where(F.col("docs") >= LEAST).select("key", odds.alias("odds"), z.alias("z"), (F.col("clean") / c).alias("mass")).where(F.abs("z") > 1)
+    told = counts.where(F.col("docs") >= LEAST).select("key", odds.alias("odds"), z.alias("z"), (F.col("clean") / c).alias("mass")).where(F.abs("z") >= LEAST_Z)
     best = told.orderBy(F.desc(F.abs("z")), "key").limit(ENTRIES).toPandas()
     keys = best["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
