@@ -1,9 +1,11 @@
 """License scan: ordered signature rules over normalised words, with DataFrame functions only.
 
-A text is lower-cased (A-Z) and reduced to its words, the runs of digits, a-z and non-ASCII
-characters, with one blank around each.  A document is looked at further only if it holds a
-gate word; each gate word brings in the rules that it guards (an equi-join on the gate), so
-a rule's regular expression runs only over documents that can match it.  A detection is an
+A text is lower-cased and reduced to its words, the runs of digits, a-z and non-ASCII
+characters, with one blank around each.  (Lower-casing other letters than A-Z changes no
+word border and makes no letter of a rule but k, from the Kelvin sign.)  A document's words
+are intersected with the gate words; each gate word found brings in the rules that it guards,
+those that name a licence only beside the word itself, so a rule's regular expression runs
+over documents that can match it and no others.  A detection is an
 interval of words.  Rules carry a priority: names of exact licences before families, families
 before vague mentions.  A detection that lies within one of an earlier rule, or in a longer
 one of its own priority, is suppressed.
@@ -17,6 +19,7 @@ strings and score 0; each row is scanned by itself, so repeated rows repeat.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 #: phrase: label (fixed values)
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
+#: Without one of these, no rule that names a licence is tried.
+WORD = ("license", "licence")
 _V = r"(?: (?:v|version))?"
 _LIC = "licen[cs]e"
 #: Hand-written names: gate word, label, expression. Blanks separate words; \w doesn't occur, since words hold any non-ASCII character.
@@ -188,22 +193,22 @@ TEXTS = [
 SPDX = "agpl-3.0-only agpl-3.0-or-later apache-2.0 artistic-2.0 bsd-2-clause bsd-3-clause bsl-1.0 cc-by-4.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 ecl-2.0 epl-1.0 epl-2.0 eupl-1.2 gpl-2.0-only gpl-2.0-or-later gpl-3.0-only gpl-3.0-or-later isc lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0-only lgpl-3.0-or-later mit mit-0 mpl-2.0 ncsa ofl-1.1 postgresql python-2.0 unlicense upl-1.0 wtfpl zlib 0bsd".split()
 
 
-def rules() -> list[tuple[int, str, str, str, int, float]]:
-    """(rule, gate, label, expression, priority, confidence), in order; a lower priority number wins."""
+def rules() -> list[tuple[int, str, bool, str, str, int, float]]:
+    """(rule, gate, needs the word licence, label, expression, priority, confidence), in order; a lower priority number wins."""
     found = [("spdx", s, rf"spdx licen[cs]e identifier {s.replace('-', ' ').replace('.', ' ')}", 1, 1.0) for s in sorted(SPDX, key=len, reverse=True)]
     for gate, label, name in NAMES:
         vague = label.endswith("-family")
         found.append((gate, label, rf"(?:dual )?(?:licensed|licenced|released|distributed|available|published|covered|redistributable|provided) under (?:the )?(?:terms of (?:the )?)?(?:{name})", 4 if vague else 2, 0.95))
         found.append((gate, label, rf"(?:{name})", 5 if vague else 3, 0.6 if vague else 0.8))
     found += [(gate, label, rf"(?:{text})", 6, 0.5) for gate, label, text in TEXTS]
-    return [(n, *r) for n, r in enumerate(found)]
+    # the word is part of the name, neither optional nor one of several ways
+    needs = lambda gate, e: gate not in ("beerware", "rail", *WORD) and _LIC in e and f"{_LIC})?" not in e and f"(?:{_LIC}" not in e and f" {_LIC}{_V} )?" not in e
+    return [(n, gate, needs(gate, e), label, e, *rest) for n, (gate, label, e, *rest) in enumerate(found)]
 
 
 def words_of(text: Column) -> Column:
     """The text's words, lower-cased, with one blank between and around them; a single blank if there are none."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    plain = F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
-    return F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
 
 
 def _blanks(s: Column) -> Column:
@@ -236,7 +241,7 @@ def _spans(norm: Column, expression: Column) -> Column:
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rules(), "rule int, gate string, label string, expression string, priority int, confidence double")
+    return spark.createDataFrame(rules(), "rule int, gate string, needs_license boolean, label string, expression string, priority int, confidence double")
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,25 +250,24 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     ``detections`` are the rules' intervals that stay: start, end (exclusive), label,
     priority, confidence.  Rows are joined by a row key of their own, not by id.
     """
-    gates = sorted({r[1] for r in rules()} | {p.split()[0] for p in BASE})
-    gate_set = F.array(*map(F.lit, gates))
+    gates = sorted({r[1] for r in rules()} | {"cc", *WORD})
     norm = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("norm"))
-    counted = norm.select("doc_id", "norm", (_blanks(F.col("norm")) - 1).cast("long").alias("n_words"))
-    # one pass of one expression finds the few documents that any rule can concern
-    gated = F.col("norm").rlike("(?<= )(?:" + "|".join(gates) + ")(?= )")
-    words = F.filter(F.split("norm", " "), lambda w: w != "")
-    guards = F.when(gated, F.array_intersect(words, gate_set))
+    counted = norm.select("doc_id", "norm", (_blanks(F.col("norm")) - 1).cast("long").alias("n_words"), F.array_intersect(F.split("norm", " "), F.lit(gates)).alias("guards"))
+    named = F.arrays_overlap("guards", F.lit([*WORD]))
     # rules by gate word, as one literal map: a bounded table inside the plan, so that nothing is shuffled
+    kind = "array<struct<rule:int,needs:boolean,label:string,expression:string,priority:int,confidence:double>>"
     by_gate: dict[str, list] = {}
-    for n, gate, label, expression, priority, confidence in rules():
-        by_gate.setdefault(gate, []).append(F.struct(F.lit(n).alias("rule"), F.lit(label).alias("label"), F.lit(expression).alias("expression"), F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence")))
-    table = F.create_map(*(x for g, own in by_gate.items() for x in (F.lit(g), F.array(*own))))
-    concerned = F.flatten(F.transform(guards, lambda g: F.coalesce(F.element_at(table, g), F.array().cast("array<struct<rule:int,label:string,expression:string,priority:int,confidence:double>>"))))
-    found = F.flatten(F.transform(concerned, lambda r: F.transform(_spans(F.col("norm"), r["expression"]), lambda s: F.struct(r["priority"].alias("priority"), r["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end"), r["label"].alias("label"), r["confidence"].alias("confidence")))))
+    for n, gate, *rest in rules():
+        by_gate.setdefault(gate, []).append(dict(zip(("rule", "needs", "label", "expression", "priority", "confidence"), (n, *rest), strict=True)))
+    table = F.from_json(F.lit(json.dumps(by_gate)), f"map<string,{kind}>")
+    guarded = F.flatten(F.transform("guards", lambda g: F.coalesce(F.element_at(table, g), F.array().cast(kind))))
+    gated = counted.withColumn("rules", F.when(F.size("guards") > 0, F.filter(guarded, lambda r: ~r["needs"] | named)))
+    found = F.flatten(F.transform("rules", lambda r: F.transform(_spans(F.col("norm"), r["expression"]), lambda s: F.struct(r["priority"].alias("priority"), r["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end"), r["label"].alias("label"), r["confidence"].alias("confidence")))))
     within = lambda a, b: (b["start"] <= a["start"]) & (a["end"] <= b["end"])
     longer = lambda a, b: (b["end"] - b["start"]) > (a["end"] - a["start"])
     stronger = lambda a, b: (b["priority"] < a["priority"]) | ((b["priority"] == a["priority"]) & (longer(a, b) | ((b["end"] - b["start"] == a["end"] - a["start"]) & (b["rule"] < a["rule"]))))
-    scanned = counted.withColumn("base", F.when(gated, _base_starts(words))).withColumn("found", F.array_sort(found))
+    based = F.array_contains("guards", "license") | F.array_contains("guards", "cc")
+    scanned = gated.withColumn("words", F.when(based, F.filter(F.split("norm", " "), lambda w: w != ""))).withColumn("base", F.when(based, _base_starts(F.col("words")))).withColumn("found", F.when(F.size("rules") > 0, F.array_sort(found)))
     kept = F.filter("found", lambda a: ~F.exists("found", lambda b: within(a, b) & stronger(a, b)))
     scanned = scanned.withColumn("detections", F.coalesce(kept, F.array().cast("array<struct<priority:int,rule:int,start:bigint,end:bigint,label:string,confidence:double>>")))
     starts = F.transform("base", lambda x: x["start"])
