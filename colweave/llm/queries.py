@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from colweave.llm.decontaminate import find_leaks
 from colweave.llm.langid import learn_languages, score_languages
 from colweave.llm.licenses import scan_licenses
 from colweave.llm.mixing import mix
@@ -88,3 +89,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return mixed.select("doc_id", "n_words", "domain", *(F.get("p", k).alias(f"p_{d}") for k, d in enumerate(("good", "poor", "toxic"))), "rate", "copies")
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

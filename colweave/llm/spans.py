@@ -50,6 +50,7 @@ class Tokens:
     """Tokens of a window: starts, lengths, doc (index of the text), kind, hash, upper (A-Z in the token)."""
 
     def __init__(self, data: np.ndarray, doc_of_start: np.ndarray, docs: np.ndarray):
+        self.data = data
         kind = _CLASS[data]
         fresh = np.ones(len(data), bool)
         fresh[1:] = (kind[1:] != kind[:-1]) | ((kind[1:] == SIGN) & (data[1:] != data[:-1]))
