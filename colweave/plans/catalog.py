@@ -291,7 +291,7 @@ def indexable_text(t: Tables) -> DataFrame:
     return t.lines.select("off", "text")
 
 
-@query("SELECT off, reverse(text) AS text FROM (SELECT (SELECT sum(length(text)) FROM parts) + 1 - off - length(text) AS off, text FROM offs) q")
+@query("SELECT off, reverse(text) AS text FROM (SELECT CAST((SELECT sum(length(text)) FROM parts) + 1 - off - length(text) AS BIGINT) AS off, text FROM offs) q")
 def reverse_text(t: Tables) -> DataFrame:
     total = t.lines.agg(F.sum(F.length("text")).alias("n"))
     return t.lines.crossJoin(total).select((F.col("n") + 1 - F.col("off") - F.length("text")).alias("off"), F.reverse("text").alias("text"))
@@ -368,7 +368,7 @@ def remove_ranges(t: Tables) -> DataFrame:
     return T.remove_ranges(texts, e).where("kept <> ''")
 
 
-@query("SELECT seq_id, run, any_value(v) AS ch, count(*) AS n FROM (SELECT seq_id, v, sum(fresh) OVER (PARTITION BY seq_id ORDER BY col) - 1 AS run FROM (SELECT seq_id, col, ch AS v, CASE WHEN ch = lag(ch) OVER (PARTITION BY seq_id ORDER BY col) THEN 0 ELSE 1 END AS fresh FROM cells)) GROUP BY seq_id, run")
+@query("SELECT seq_id, run, any_value(v) AS ch, count(*) AS n FROM (SELECT seq_id, v, CAST(sum(fresh) OVER (PARTITION BY seq_id ORDER BY col) - 1 AS BIGINT) AS run FROM (SELECT seq_id, col, ch AS v, CASE WHEN ch = lag(ch) OVER (PARTITION BY seq_id ORDER BY col) THEN 0 ELSE 1 END AS fresh FROM cells)) GROUP BY seq_id, run")
 def run_lengths(t: Tables) -> DataFrame:
     return X.run_lengths(t.cells, "seq_id", "col", "ch")
 
