@@ -39,6 +39,7 @@ LONG_PIECE = 64
 
 PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 CHUNK = regex.compile(r"\s*\S+|\s+")
+_BLANK = regex.compile(r"\s+").fullmatch
 _CONTRACTION = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 _COUNTERS: dict[str, PrefixCounter] = {}
 
@@ -254,14 +255,14 @@ class PrefixCounter:
         blank_before = False
         for m in PIECE.finditer(text):
             p = m[0]
-            if p.isspace() or p[0] == " ":
+            if _BLANK(p) or p[0] == " ":
                 if not blank_before:
                     run_at, run_base = m.start(), base
             own = self.prefix_counts(p.encode())
             at = 0
             for k, c in enumerate(p):
                 at += len(c.encode())
-                blank = p[: k + 1].isspace()
+                blank = bool(_BLANK(p[: k + 1]))
                 if blank:  # a prefix that ends in white space takes the whole run as one piece
                     out.append(run_base + self.prefix_counts(text[run_at : m.start() + k + 1].encode())[-1])
                 elif p in _CONTRACTION and k + 1 < len(p):
@@ -269,7 +270,7 @@ class PrefixCounter:
                 else:
                     out.append(base + own[at])
             base += own[-1]
-            blank_before = p.isspace()
+            blank_before = bool(_BLANK(p))
         return out
 
     def fitting(self, text: str, limit: int) -> int:
