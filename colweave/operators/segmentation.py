@@ -23,7 +23,7 @@ from colweave.operators.alignment import suffix_windows
 HEAD = 3
 
 
-def _common(a: str, b: str, length: int) -> F.Column:
+def _common(a, b, length: int) -> F.Column:
     """Characters that two padded windows share at their start."""
     same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x == y)
     at = F.array_position(same, F.lit(False))
@@ -44,18 +44,28 @@ def unique_prefixes(ranked: DataFrame, length: int = 96) -> DataFrame:
     padded = settle(windows.select("seq_id", "nb", F.length("win").alias("size"), F.rpad("win", length, "$").alias("win")), "suffixes")
     keyed = padded.withColumn("head", F.substring("win", 1, HEAD))
     order = Window.partitionBy("head").orderBy("win", "seq_id", "nb")
-    item = F.struct("seq_id", "nb", "win")
-    near = keyed.select("seq_id", "nb", "size", "win", "head", F.reverse(F.collect_list(item).over(order.rowsBetween(-m, -1))).alias("left"), F.collect_list(item).over(order.rowsBetween(1, m)).alias("right"))
+    # what a suffix shares with the one before it; with others it shares the least of what lies between
+    stepped = keyed.withColumn("up", F.coalesce(_common("win", F.lag("win").over(order), length), F.lit(0)))
+    item = F.struct("seq_id", "nb", "up")
+    near = stepped.select("seq_id", "nb", "size", "up", F.reverse(F.collect_list(item).over(order.rowsBetween(-m, -1))).alias("left"), F.collect_list(item).over(order.rowsBetween(1, m)).alias("right"))
     members = ranked.groupBy("col").agg(F.map_from_entries(F.collect_list(F.struct("seq_id", "nb"))).alias("places"))
     each = ranked.select("seq_id", "col", "nb").join(near, ["seq_id", "nb"]).join(members, "col")
-    other = lambda side: F.get(F.filter(side, lambda x: F.element_at(F.col("places"), x["seq_id"]) != x["nb"]), 0)["win"]
-    each = each.select("col", "seq_id", "nb", "size", "win", other("left").alias("before"), other("right").alias("after"))
-    reach = F.greatest(F.coalesce(_common("win", "before", length), F.lit(-1)), F.coalesce(_common("win", "after", length), F.lit(-1)))
-    each = each.select("col", "seq_id", "nb", "size", "win", reach.alias("reach"))
+    stranger = lambda x: F.element_at(F.col("places"), x["seq_id"]) != x["nb"]
+    state = lambda lim, found: F.struct(lim.cast("int").alias("lim"), found.cast("int").alias("found"))
+
+    def before(s: F.Column, x: F.Column) -> F.Column:
+        return F.when(s["found"] >= 0, s).when(stranger(x), state(s["lim"], s["lim"])).otherwise(state(F.least(s["lim"], x["up"]), s["found"]))
+
+    def after(s: F.Column, x: F.Column) -> F.Column:
+        lim = F.least(s["lim"], x["up"])
+        return F.when(s["found"] >= 0, s).otherwise(state(lim, F.when(stranger(x), lim).otherwise(F.lit(-1))))
+
+    reach = F.greatest(F.aggregate("left", state(F.col("up"), F.lit(-1)), before)["found"], F.aggregate("right", state(F.lit(length), F.lit(-1)), after)["found"])
+    each = each.select("col", "seq_id", "nb", "size", reach.alias("reach"))
     # prefixes of up to HEAD characters: all occurrences against the column's own
     short = F.explode(F.sequence(F.lit(1), F.lit(HEAD))).alias("l")
     text = padded.select(short, "win").groupBy("l", F.substring(F.col("win"), F.lit(1), F.col("l")).alias("k")).agg(F.count("*").alias("n_text"))
-    alone = each.where("reach < 0").select("col", "seq_id", "win")
+    alone = each.where("reach < 0").select("col", "seq_id", "nb").join(padded.select("seq_id", "nb", "win"), ["seq_id", "nb"])
     mine = ranked.select("seq_id", "col", "nb").join(padded.select("seq_id", "nb", "win"), ["seq_id", "nb"]).join(alone.select("col").distinct(), "col").select("col", short, "win")
     own = mine.groupBy("col", "l", F.substring(F.col("win"), F.lit(1), F.col("l")).alias("k")).agg(F.count("*").alias("n_members"))
     least = alone.select("col", "seq_id", short, "win").withColumn("k", F.substring(F.col("win"), F.lit(1), F.col("l"))).join(own, ["col", "l", "k"]).join(F.broadcast(text), ["l", "k"]).where("n_text = n_members").groupBy("col", "seq_id").agg(F.min("l").alias("l"))
