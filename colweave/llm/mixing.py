@@ -4,7 +4,7 @@ DataFrame and SQL functions only.
 
 1. A classifier learned from the labelled table gives each document posteriors over
    domains.  It is a naive Bayes model over hashed words: occurrences by bucket and domain
-   are added up over all labelled documents, each of 2**BITS buckets gets one log-likelihood
+   are added up over a bounded sample of labelled documents (``TRAIN_ROWS``), each of 2**BITS buckets gets one log-likelihood
    a domain, and a document's posterior is the softmax of its mean over words, sharpened.
 2. Posteriors are rounded to multiples of 1/GRID.  Documents with equal posteriors get equal
    gradients at every step and so equal rates, so all of them are one cell: posterior,
@@ -37,6 +37,8 @@ from colweave.llm.store import settle
 
 #: Buckets of words; pseudo-count of a bucket in a domain.
 BITS, SMOOTH = 16, 0.5
+#: Most labelled rows that the classifier is fitted on, by a hash of the id.
+TRAIN_ROWS = 20_000
 #: Words that a document's evidence counts for at most: its posterior is the softmax of that many times the mean.
 SHARPNESS = 40.0
 #: Posteriors are multiples of 1/GRID.
@@ -60,7 +62,9 @@ def _buckets(text: Column) -> Column:
 def learn_domains(docs: DataFrame, labels: DataFrame, domains: list[str]) -> tuple[DataFrame, list[float]]:
     """Log-likelihoods: bucket, ll (one a domain, less the first one's); and log-priors."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of().alias("domain")).where("doc_id IS NOT NULL AND domain IS NOT NULL")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _buckets(F.col("text")).alias("b")).join(known, "doc_id")
+    sample = known.orderBy(F.xxhash64("doc_id", "domain"), "doc_id", "domain").limit(TRAIN_ROWS)
+    # TRAIN_ROWS rows at most: texts stay where they are, and counts are combined before the shuffle
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("domain", _buckets(F.col("text")).alias("b"))
     one = [F.when(F.col("domain") == d, 1) for d in domains]
     counts = settle(texts.select("domain", F.explode("b").alias("bucket")).groupBy("bucket").agg(*(F.count(x).alias(f"n{k}") for k, x in enumerate(one))), "domain-words")
     totals = counts.agg(*(F.sum(f"n{k}") for k in range(len(domains)))).first()
