@@ -26,6 +26,12 @@ class Index(dict):
     def load(cls, spark: SparkSession, folder: str) -> Index:
         return cls({name: spark.read.parquet(f"{folder}/{name}") for name in TABLES})
 
+    @staticmethod
+    def space(spark: SparkSession, folder: str) -> DataFrame:
+        """table, files, bytes of a stored index."""
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+        return files.groupBy(F.element_at(F.split("path", "/"), -2).alias("table")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
     def ungapped(self) -> DataFrame:
         return A.rows_of(self["ranked"]).select(F.col("seq_id").alias("text_id"), A.degap(F.col("seq")).alias("s"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import struct
 import zlib
 from collections.abc import Iterator
@@ -157,7 +156,3 @@ def read_ranges(spark: SparkSession, path: str) -> DataFrame:
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     """pattern: the tokens of a file, the last one with or without a line end."""
     return spark.read.text(path).select(F.explode(F.split("value", r"\s+")).alias("pattern")).where("pattern <> ''")
-
-
-def gunzip(data: bytes) -> bytes:
-    return gzip.decompress(data)

@@ -78,6 +78,8 @@ def test_graph_invariants(spark, tmp_path):
     text = "#" + "".join(r.text for r in index["lines"].orderBy("off").collect())
     assert all(text[r.off : r.off + len(r.text)] == r.text for r in index["lines"].collect())
     index.save(str(tmp_path / "index"))
+    space = {r.table: r.bytes for r in Index.space(spark, str(tmp_path / "index")).collect()}
+    assert {"nodes", "edges", "seg"} <= set(space) and min(space.values()) > 0
     again = Index.load(spark, str(tmp_path / "index"))
     assert {r.status for r in compare_indices(index, again).collect()} == {"SAME"}
     found = {r.pattern: r for r in again.find(spark.createDataFrame([("ACGTACGGT",), ("TTTT",)], "pattern string")).collect()}
