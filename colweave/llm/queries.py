@@ -13,7 +13,7 @@ from colweave.llm.licenses import scan_licenses
 from colweave.llm.mixing import mix
 from colweave.llm.quality import quality
 from colweave.llm.simhash import near_duplicates
-from colweave.llm.store import fold, read_table
+from colweave.llm.store import fold, read_table, ship
 from colweave.llm.token_counts import count_tokens
 from colweave.llm.token_shards import token_shards
 from colweave.llm.topk import top_k
@@ -24,7 +24,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
     return f
 
 
