@@ -257,6 +257,32 @@ def test_leaks(spark, awkward, no_docs):
     assert decontaminate.find_leaks(awkward, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.01, 0.1, 0.3, 0.9])
+def test_leaks_of_items_that_are_copied_often(spark, share):
+    """Texts of one passage, against the longest common subsequence of every text and item."""
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdefghijñé") for _ in range(5)) for _ in range(300)] + ["the", "of", "and"] * 60
+    prose = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(k, " ".join(prose(22)) + ". " + " ".join(prose(5)) + " b2b Ñu.") for k in range(6)]
+    docs = []
+    for i in range(400):
+        words = prose(r.randint(30, 45))
+        if r.random() < share:
+            own = [w.upper() if r.random() < 0.2 else w for w in items[i % 2][1].split() if r.random() < r.choice((1, 0.75, 0.6))]
+            words = prose(r.randint(0, 45 - len(own))) + own + prose(3)
+        docs.append((i, " — ".join([" ".join(words[:4]), " ".join(words[4:])])))
+    want = set()
+    for k, t in items:
+        own, n = decontaminate.words_of(t), len(decontaminate.answer_of(t))
+        for i, d in docs:
+            hit = decontaminate.common_words(own, decontaminate.words_of(d))
+            if sum(hit) >= 0.7 * len(own) or sum(hit) >= 0.5 * len(own) and sum(hit[-n:]) >= 0.8 * n:
+                want.add((i, k))
+    assert want
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_mixing(spark, awkward, no_docs, labels):
     r = random.Random(8)
     kinds = {"good": ["the", "cat", "sat"], "poor": ["###", "$$$", "%%%"], "toxic": ["moron", "scum", "idiot"]}
