@@ -32,7 +32,8 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 WORD = ("license", "licence")
 _V = r"(?: (?:v|version))?"
 _LIC = "licen[cs]e"
-#: Hand-written names: gate word, label, expression. Blanks separate words; \w doesn't occur, since words hold any non-ASCII character.
+#: Hand-written names: gate word, label, expression. Every match of an expression holds its gate word; ways without it are rows of their own.
+#: Blanks separate words; \w doesn't occur, since words hold any non-ASCII character.
 NAMES = [
     ("gnu", "agpl-3.0", rf"gnu affero general public {_LIC}{_V} 3(?: 0)?"),
     ("gnu", "agpl", rf"gnu affero general public {_LIC}"),
@@ -48,8 +49,10 @@ NAMES = [
     ("gnu", "gfdl-1.3", rf"gnu free documentation {_LIC}{_V} 1 3"),
     ("gnu", "gfdl", rf"gnu free documentation {_LIC}"),
     ("gnu", "gpl-family", r"gnu (?:l|a)?gpl"),
-    ("gpl", "gpl-2.0", r"gpl(?: v| version)? ?2(?: 0)?"),
-    ("gpl", "gpl-3.0", r"gpl(?: v| version)? ?3(?: 0)?"),
+    ("gpl", "gpl-2.0", r"gpl (?:v ?|version ?)?2(?: 0)?"),
+    ("gpl", "gpl-3.0", r"gpl (?:v ?|version ?)?3(?: 0)?"),
+    ("gpl2", "gpl-2.0", r"gpl2(?: 0)?"),
+    ("gpl3", "gpl-3.0", r"gpl3(?: 0)?"),
     ("gplv2", "gpl-2.0", r"gplv2"),
     ("gplv3", "gpl-3.0", r"gplv3"),
     ("lgpl", "lgpl-2.1", r"lgpl(?: v| version)? 2 1"),
@@ -134,7 +137,7 @@ NAMES = [
     ("open", "pddl-1.0", rf"open data commons public domain dedication(?: and {_LIC})?"),
     ("open", "ogl-3.0", rf"open government {_LIC}(?:{_V} 3 0)?"),
     ("openrail", "openrail", r"(?:creativeml )?openrail(?: m)?"),
-    ("rail", "openrail", r"(?:open )?responsible ai licen[cs]es?(?: rail)?"),
+    ("responsible", "openrail", r"(?:open )?responsible ai licen[cs]es?(?: rail)?"),
     ("business", "busl-1.1", rf"business source {_LIC}(?:{_V} 1 1)?"),
     ("server", "sspl-1.0", rf"server side public {_LIC}(?:{_V} 1)?"),
     ("sspl", "sspl-1.0", r"sspl(?: 1 0)?"),
@@ -142,7 +145,8 @@ NAMES = [
     ("commons", "commons-clause", r"commons clause"),
     ("polyform", "polyform", r"polyform (?:noncommercial|strict|small business|shield|perimeter|internal use|free trial)"),
     ("llama", "llama-community", rf"llama [23](?: [0-9])? community {_LIC}"),
-    ("qt", "qpl-1.0", rf"q(?:t)? public {_LIC}(?:{_V} 1 0)?"),
+    ("q", "qpl-1.0", rf"q public {_LIC}(?:{_V} 1 0)?"),
+    ("qt", "qpl-1.0", rf"qt public {_LIC}(?:{_V} 1 0)?"),
     ("ibm", "ipl-1.0", rf"ibm public {_LIC}(?:{_V} 1 0)?"),
     ("intel", "intel", rf"intel open source {_LIC}"),
     ("nasa", "nasa-1.3", rf"nasa open source agreement(?:{_V} 1 3)?"),
@@ -156,7 +160,8 @@ NAMES = [
     ("sleepycat", "sleepycat", rf"sleepycat {_LIC}"),
     ("mulan", "mulan-psl-2.0", rf"mulan (?:permissive software|psl)(?: {_LIC})?(?:{_V} 2)?"),
     ("hippocratic", "hippocratic", rf"hippocratic {_LIC}"),
-    ("beerware", "beerware", r"beerware|beer ware licen[cs]e"),
+    ("beerware", "beerware", r"beerware"),
+    ("beer", "beerware", rf"beer ware {_LIC}"),
     ("cecill", "cecill", r"cecill(?: (?:b|c|2 1))?"),
     ("blue", "blueoak-1.0.0", rf"blue oak model {_LIC}(?:{_V}? 1 0 0)?"),
 ]
@@ -168,7 +173,8 @@ TEXTS = [
     ("redistribution", "bsd-family", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("redistribution", "redistribution-free", r"redistribution (?:is|and use) (?:freely )?permitted"),
     ("warranty", "no-warranty", r"(?:comes with|there is) absolutely no warranty"),
-    ("warranty", "no-warranty", r"without (?:any )?warrant(?:y|ies) (?:or conditions )?of any kind"),
+    ("warranty", "no-warranty", r"without (?:any )?warranty (?:or conditions )?of any kind"),
+    ("warranties", "no-warranty", r"without (?:any )?warranties (?:or conditions )?of any kind"),
     ("warranty", "gpl-family", r"without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("unencumbered", "unlicense", r"free and unencumbered software released into the public domain"),
     ("domain", "public-domain", r"(?:released |placed |dedicated )?(?:in|into|to) the public domain"),
@@ -177,16 +183,19 @@ TEXTS = [
     ("rights", "some-rights-reserved", r"some rights reserved"),
     ("copyright", "copyright-notice", r"copyright (?:c )?(?:19|20)[0-9][0-9]"),
     ("confidential", "proprietary", r"proprietary and confidential|confidential and proprietary"),
-    ("proprietary", "proprietary", r"proprietary (?:software|licen[cs]e|information)"),
+    ("proprietary", "proprietary", r"proprietary (?:software|information)"),
+    ("proprietary", "proprietary", rf"proprietary {_LIC}"),
     ("commercial", "non-commercial", r"(?:for )?non commercial (?:use|purposes)(?: only)?"),
     ("noncommercial", "non-commercial", r"(?:for )?noncommercial (?:use|purposes)(?: only)?"),
     ("research", "research-only", r"(?:for )?research (?:use|purposes) only"),
     ("copyleft", "copyleft", r"copyleft"),
-    ("eula", "eula", r"eula|end user licen[cs]e agreement"),
+    ("eula", "eula", r"eula"),
+    ("user", "eula", rf"end user {_LIC} agreement"),
     ("licensed", "licensed-under", r"(?:dual |multi )?licensed under (?:the )?(?:terms of (?:the )?)?"),
     ("released", "licensed-under", r"released under (?:the )?(?:terms of (?:the )?)?"),
     ("license", "license-mention", r"see (?:the )?(?:file )?licen[cs]e(?: file)?(?: for details| for more information)?"),
     ("license", "license-mention", r"(?:this )?(?:software |work )?licen[cs]e agreement"),
+    ("licence", "license-mention", r"(?:this )?(?:software |work )?licen[cs]e agreement"),
     ("licence", "license-mention", r"see (?:the )?(?:file )?licen[cs]e(?: file)?(?: for details| for more information)?"),
 ]
 #: Identifiers after "spdx license identifier" (fixed values).
@@ -202,7 +211,7 @@ def rules() -> list[tuple[int, str, bool, str, str, int, float]]:
         found.append((gate, label, rf"(?:{name})", 5 if vague else 3, 0.6 if vague else 0.8))
     found += [(gate, label, rf"(?:{text})", 6, 0.5) for gate, label, text in TEXTS]
     # the word is part of the name, neither optional nor one of several ways
-    needs = lambda gate, e: gate not in ("beerware", "rail", *WORD) and _LIC in e and f"{_LIC})?" not in e and f"(?:{_LIC}" not in e and f" {_LIC}{_V} )?" not in e
+    needs = lambda gate, e: gate not in ("responsible", *WORD) and _LIC in e and f"{_LIC})?" not in e and f"(?:{_LIC}" not in e and f" {_LIC}{_V} )?" not in e
     return [(n, gate, needs(gate, e), label, e, *rest) for n, (gate, label, e, *rest) in enumerate(found)]
 
 

@@ -224,6 +224,48 @@ def test_licenses(spark, awkward, no_docs):
     assert licenses.scan_licenses(no_docs).count() == 0
 
 
+def test_licenses_lose_nothing_to_gates(spark):
+    """Matches of every rule, with all their optional parts and alternatives at random, against all rules without gates."""
+    import re
+    from re import _parser
+
+    r = random.Random(9)
+
+    def match(parsed):
+        out = ""
+        for op, x in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(x)
+            elif op == "IN":
+                kind, c = r.choice(x)
+                out += chr(c) if str(kind) == "LITERAL" else chr(r.randint(*c))
+            elif op == "BRANCH":
+                out += match(r.choice(x[1]))
+            elif op == "SUBPATTERN":
+                out += match(x[3])
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                out += "".join(match(x[2]) for _ in range(r.randint(x[0], x[1])))
+            else:
+                raise ValueError(op)
+        return out
+
+    every = licenses.rules()
+    texts = ["proprietary software", "EULA", "without warranties or conditions of any kind", "end user license agreement", "Responsible AI License", "beer ware license", "Q Public License", "licence agreement", "gpl2"]
+    for _, _, needs, _, e, _, _ in every:
+        for _ in range(12):
+            t = match(_parser.parse(e))
+            texts.append(t)
+            assert any(g in t.split() for _, g, _, _, x, _, _ in every if x == e) and (not needs or set(t.split()) & set(licenses.WORD)), (e, t)
+    texts = texts[:9] + r.sample(texts[9:], 150)
+    got = {x.doc_id: x for x in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, t in enumerate(texts):
+        t = " ".join(t.lower().split())
+        hits = [(p, n, len(t[: m.start()].split()), len(t[: m.end()].split()), x) for n, _, _, x, e, p, _ in every for m in re.finditer(rf"(?<![^ ])(?:{e})(?![^ ])", t)]
+        kept = {h[2:] for h in hits if not any(o[2] <= h[2] and h[3] <= o[3] and (o[0] < h[0] or o[0] == h[0] and (o[3] - o[2] > h[3] - h[2] or o[3] - o[2] == h[3] - h[2] and o[1] < h[1])) for o in hits)}
+        assert (kept or i > 8) and {(d.start, d.end, d.label) for d in got[i].detections} == kept
+
+
 def test_common_words_is_a_longest_subsequence():
     r = random.Random(6)
     for _ in range(200):
