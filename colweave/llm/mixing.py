@@ -76,12 +76,13 @@ def learn_domains(docs: DataFrame, labels: DataFrame, domains: list[str]) -> tup
 
 
 def posteriors(docs: DataFrame, model: DataFrame, prior: list[float]) -> DataFrame:
-    """doc_id, row (key of the row by id and text), n_words, p (array over domains, multiples of 1/GRID that add up to 1)."""
+    """doc_id, row (key of the row by id and text), n_words, p (array over domains, multiples of 1/GRID that add up to 1); a repeated row each time."""
     more = list(range(1, len(prior)))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), _buckets(F.col("text")).alias("b"))
-    # at most 2**BITS rows of a few numbers; unseen buckets tell nothing
-    words = keyed.select("doc_id", "row", F.explode_outer("b").alias("bucket")).join(F.broadcast(model), "bucket", "left")
-    seen = words.groupBy("doc_id", "row").agg(F.count("bucket").alias("n_words"), *(F.sum(F.coalesce(f"l{k}", F.lit(0.0))).alias(f"s{k}") for k in more))
+    # at most 2**BITS rows of a few numbers; unseen buckets tell nothing; bucket -1 counts the row itself
+    words = keyed.select("doc_id", "row", F.explode(F.concat(F.array(F.lit(-1)), "b")).alias("bucket")).join(F.broadcast(model), "bucket", "left")
+    seen = words.groupBy("doc_id", "row").agg(F.count_if(F.col("bucket") < 0).alias("rows"), F.count_if(F.col("bucket") >= 0).alias("n_words"), *(F.sum(F.coalesce(f"l{k}", F.lit(0.0))).alias(f"s{k}") for k in more))
+    seen = seen.select("doc_id", "row", "rows", (F.col("n_words") / F.col("rows")).cast("long").alias("n_words"), *((F.col(f"s{k}") / F.col("rows")).alias(f"s{k}") for k in more))
     mean = [F.lit(prior[0])] + [F.lit(prior[k]) + F.col(f"s{k}") * F.least(F.lit(1.0), F.lit(SHARPNESS) / F.greatest("n_words", F.lit(1))) for k in more]
     top = F.greatest(*mean) if more else mean[0]
     e = [F.exp(x - top) for x in mean]
@@ -92,7 +93,8 @@ def posteriors(docs: DataFrame, model: DataFrame, prior: list[float]) -> DataFra
     first = F.lit(GRID) - sum(rest[1:], rest[0]) if more else F.lit(GRID)
     fixed = F.array(F.greatest(first, F.lit(0)), *rest)
     sized = F.aggregate(fixed, F.lit(0).cast("long"), lambda a, x: a + x)
-    return seen.withColumn("fixed", fixed).withColumn("size", sized).select("doc_id", "row", "n_words", F.transform("fixed", lambda x: x / F.col("size")).alias("p"))
+    each = seen.withColumn("fixed", fixed).withColumn("size", sized).withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return each.select("doc_id", "row", "n_words", F.transform("fixed", lambda x: x / F.col("size")).alias("p"))
 
 
 def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float]) -> DataFrame:

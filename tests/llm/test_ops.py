@@ -347,3 +347,15 @@ def test_mixing(spark, awkward, no_docs, labels):
     assert mixing.mix(awkward, labels).count() == awkward.count()
     assert mixing.mix(no_docs, labels).count() == 0
     assert mixing.mix(awkward, labels.limit(0)).count() == awkward.count()
+
+
+def test_mixing_returns_repeated_rows(spark, labels):
+    rows = [(4, "a b c"), (5, "d e"), (5, "d e"), (5, "d e"), (5, "d"), (8, "a d"), (None, "b"), (None, "b"), (6, None), (6, None)]
+    get = lambda r: {(x.doc_id, x.n_words): (tuple(x.p)) for x in r}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model, prior = mixing.learn_domains(docs, labels, sorted(mixing.TARGETS))
+    got = mixing.posteriors(docs, model, prior).collect()
+    order = lambda x: (x[0] is not None, x)
+    assert sorted(((x.doc_id, x.n_words) for x in got), key=order) == sorted(((i, len((t or "").split())) for i, t in rows), key=order)
+    assert get(got) == get(mixing.posteriors(docs.distinct(), model, prior).collect())
+    assert mixing.mix(docs, labels).count() == len(rows)
