@@ -12,7 +12,9 @@ of all texts of a batch can step through one transition table side by side with
 operations; whole texts are parsed, and the time is linear in their length.
 
 The automata are built from a bounded sample of labelled documents (``SAMPLE_SYMBOLS`` for
-each language); the sample itself is what is sent to the executors.
+each language); the sample itself is what is sent to the executors.  Documents of up to
+``SAMPLE_CHARS`` characters are drawn first, so that many of them fit; a language that has
+longer ones only is learned from those, each cut to ``SAMPLE_SYMBOLS`` characters when it is drawn.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so is
 everything if no language was learned; ties go to the language first in the alphabet.
@@ -20,6 +22,7 @@ everything if no language was learned; ties go to the language first in the alph
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 #: Most symbols of training text for each language, and most languages' worth of it in all.
 SAMPLE_SYMBOLS, ALL_SYMBOLS = 40_000, 600_000
-#: Labelled documents that the sample is drawn from: their number for each language, and characters of one.
+#: Labelled documents that the sample is drawn from: their number for each language, and characters of one where there are such.
 SAMPLE_DOCS, SAMPLE_CHARS = 60, 4000
 #: Letters with a symbol of their own.
 LETTERS = 61
@@ -156,25 +159,27 @@ class Parser:
         return out
 
 
-_PARSERS: dict[int, tuple[dict, Parser]] = {}
+_PARSERS: dict[str, Parser] = {}
 
 
-def _parser(key: int, sample: dict[str, list[str]]) -> Parser:
+def _parser(key: str, sample: dict[str, list[str]]) -> Parser:
     """One parser for a model and process; the last model is kept."""
     if key not in _PARSERS:
         _PARSERS.clear()
-        _PARSERS[key] = (sample, Parser(sample))
-    return _PARSERS[key][1]
+        _PARSERS[key] = Parser(sample)
+    return _PARSERS[key]
 
 
 def learn_languages(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
     """The bounded sample of labelled texts of each language, chosen by a hash of the text among rows that ``learn`` admits."""
-    some = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
-    keyed = some.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("order"))
+    some = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "order", "doc_id"))
+    keyed = some.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("long").alias("doc_id"), (F.length(text_col) > SAMPLE_CHARS).alias("long"), F.xxhash64(text_col).alias("order"))
     chosen = keyed.withColumn("n", rank).where(F.col("n") <= SAMPLE_DOCS)
-    texts = some.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("order"), F.col(text_col).alias("text"))
-    got = texts.join(F.broadcast(chosen.select("lang", "order").distinct()), ["lang", "order"]).dropDuplicates(["lang", "order"]).orderBy("lang", "order").collect()
+    # long texts of a language only if it hasn't a short one
+    chosen = chosen.withColumn("some", F.min("long").over(Window.partitionBy("lang"))).where("long = some")
+    texts = some.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("order"), F.substring(text_col, 1, SAMPLE_SYMBOLS).alias("text"))
+    got = texts.join(F.broadcast(chosen.select("lang", "order").distinct()), ["lang", "order"]).groupBy("lang", "order").agg(F.min("text").alias("text")).orderBy("lang", "order").collect()
     sample: dict[str, list[str]] = {}
     for r in got:
         sample.setdefault(r.lang, []).append(r.text)
@@ -183,8 +188,8 @@ def learn_languages(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", t
 
 def score_languages(docs: DataFrame, sample: dict[str, list[str]], *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, lang_pred, score (0 to 1), bits (of a symbol in that language); ``keep`` columns come along."""
-    shared = docs.sparkSession.sparkContext.broadcast(sample)  # bounded: SAMPLE_DOCS x SAMPLE_CHARS for each language
-    key = id(shared)
+    shared = docs.sparkSession.sparkContext.broadcast(sample)  # bounded: SAMPLE_DOCS texts of bounded size for each language
+    key = uuid.uuid4().hex  # workers outlive a model, and addresses come back
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _parser(key, shared.value)

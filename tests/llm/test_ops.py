@@ -150,6 +150,22 @@ def test_languages(spark, awkward, no_docs):
     assert {r.lang_pred for r in langid.score_languages(awkward, {}).collect()} == {"und"}
 
 
+def test_languages_of_models_in_turn(spark):
+    """Workers are reused; each call scores with its own model."""
+    texts = spark.createDataFrame([(1, "the hill is over there"), (2, "der berg ist dort")], "doc_id int, text string")
+    models = [{"en": ["the hill is over there"], "de": ["der berg ist dort"]}, {"x": ["the hill"], "y": ["berg dort"]}, {}]
+    for turn in range(20):
+        m = models[turn % 3]
+        got = {r.lang_pred for r in langid.score_languages(texts, m).collect()}
+        assert got == (set(m) or {"und"})
+
+
+def test_languages_of_long_texts_only(spark):
+    rows = [(i, "the house on the hill " * 400, "en") for i in range(9)] + [(20 + i, "das haus auf dem berg", "de") for i in range(9)]
+    sample = langid.learn_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    assert set(sample) == {"de", "en"} and all(len(t) <= langid.SAMPLE_SYMBOLS for x in sample.values() for t in x)
+
+
 def test_spans_hash_alike_anywhere():
     a, b = "The cat, the CAT!! sat 42", "zz " * 50 + "the cat"
     t = next(spans.windows([a, b, None, ""]))
