@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colweave.llm.store import settle
+from colweave.llm.store import heavy_join, settle
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
     """Each node u's other ends v, with the least of u and all its v."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return heavy_join(pairs, settle(least, "least"), "u", "n").select("u", "v", F.least("u", "m").alias("m"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,13 +20,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round hangs the larger neighbours of every node on its least neighbour (large
     star), then the smaller ones (small star); the rounds end when the edge set is a set of
     stars that no longer changes, after a number of rounds logarithmic in the longest path.
-    A node of any degree costs its degree; minima are combined before the shuffle.
+    A node of any degree costs its degree; minima are combined before the shuffle, and nodes
+    of very many edges are joined by broadcast.
     """
     now = settle(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = settle(_stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         small = _stars(large)
         hung = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = settle(hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")

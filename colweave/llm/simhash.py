@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colweave.llm.components import components
-from colweave.llm.store import settle
+from colweave.llm.store import heavy_join, settle
 
 #: Fingerprints that share a segment value up to this number are compared one by one.
 BUCKET = 48
@@ -115,10 +115,10 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 2, bucket: int = BU
 def near_duplicates(docs: DataFrame, *, words: int = 3, max_bits: int = 2, segments: int = 2, seed: int = 42, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, fp, component_id (the least doc_id that links reach)."""
     own = settle(fingerprints(docs, words=words, seed=seed, id_col=id_col, text_col=text_col), "fingerprints")
-    fps = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    fps = settle(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     groups = components(links(fps.select("fp"), max_bits, segments, bucket)).select(F.col("node").alias("fp"), "component")
     named = fps.join(groups, "fp")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = named.join(least, "component").select("fp", "component_id")
-    each = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return own.join(each, "fp").select("doc_id", "fp", "component_id")
+    least = settle(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), "components")
+    linked = heavy_join(named.select("fp", "component"), least, "component", "m").select("fp", "component_id")
+    each = settle(fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"), "groups")
+    return heavy_join(own, each, "fp", "n").select("doc_id", "fp", "component_id")

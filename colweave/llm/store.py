@@ -1,12 +1,14 @@
 """Where intermediate tables live, and how they are written.
 
-Everything goes to the folder that the cluster names in ``spark.checkpoint.dir``; a
-machine-local folder is used only where that setting is absent (tests, one machine).
-A table written there cuts lineage and survives lost executors.
+Everything goes to the folder that the cluster names in ``spark.checkpoint.dir``; without
+that setting a local folder serves a local master, and any other master raises.  A table
+written there cuts lineage and survives lost executors.  Tables stay as long as results may be
+read from them: who starts a query empties the folder; the local one goes with the process.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -23,8 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, without a trailing slash."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or ""
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: tables between steps need a shared folder")
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="colweave-"))
+            atexit.register(shutil.rmtree, _LOCAL[0][7:], ignore_errors=True)
         folder = _LOCAL[0]
     return folder.rstrip("/")
 
@@ -56,6 +61,21 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def heavy_join(rows: DataFrame, values: DataFrame, key: str, weight: str, share: float = 0.001) -> DataFrame:
+    """``rows`` joined with ``values`` (one row a key, with ``weight``, the rows that have it; dropped), keys of any size.
+
+    A key of over ``share`` of all rows would be one task's: there are at most 1 / share such
+    keys, and they are broadcast.  The rest meet by a shuffle.
+    """
+    total = values.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > max(total * share, 1)
+    few = values.where(hot).drop(weight).withColumn("__hot", F.lit(True))
+    marked = rows.join(F.broadcast(few.select(key, "__hot")), key, "left")
+    first = rows.join(F.broadcast(few.drop("__hot")), key)
+    rest = marked.where("__hot IS NULL").drop("__hot").join(values.where(~hot).drop(weight), key)
+    return first.unionByName(rest.select(first.columns))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
