@@ -13,6 +13,12 @@ Pieces of the pre-tokeniser are independent of each other, and a text falls into
 Both pieces and chunks repeat heavily in prose; per-process caches of bounded size keep
 what was computed.
 
+What is kept of a chunk, and stored for each document, is the *differences* between the
+counts of neighbouring prefixes, by character: 16-bit integers that add up over chunks.  A
+running sum of a document's differences is its count at every prefix, so its total, whether
+it exceeds a limit, and the longest prefix within any budget all come from this one column
+(``prefix_deltas``), without encoding again.
+
 Defined results: a null text counts as the empty text (0 tokens); rows are never merged or
 dropped, repeated rows repeat in the result; special strings in a text are one token each,
 as the tokenizers library does by default.
@@ -21,15 +27,21 @@ as the tokenizers library does by default.
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
+import sys
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
+from operator import sub
+from struct import Struct
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 #: Entries that a worker keeps in its cache of chunks, of token pairs and of prefixes, before each starts afresh.
 CHUNK_ENTRIES, PAIR_ENTRIES, PREFIX_ENTRIES = 600_000, 300_000, 400_000
@@ -39,7 +51,10 @@ LONG_PIECE = 64
 
 PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 CHUNK = regex.compile(r"\s*\S+|\s+")
-_BLANK = regex.compile(r"\s+").fullmatch
+_BLANKS = regex.compile(r"\s*")
+_PACK = Struct("<h").pack
+_STEPS = {n: _PACK(n) for n in (-1, 0, 1)}
+_ONE = _STEPS[1]
 _CONTRACTION = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 _COUNTERS: dict[str, PrefixCounter] = {}
 
@@ -51,24 +66,33 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _unpack(deltas: bytes) -> array:
+    """Differences as numbers."""
+    out = array("h", deltas)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out
+
+
+def _differences(counts: list[int]) -> bytes:
+    return b"".join(map(_PACK, map(sub, counts[1:], counts)))
+
+
 class _Chunks(dict):
-    """Tokens of a chunk that follows one space; computed on first use."""
+    """Differences of a chunk that follows one space, or begins with one line feed; computed on first use."""
 
     def __init__(self, counter: PrefixCounter):
         self.counter = counter
 
-    def __missing__(self, rest: str) -> int:
+    def __missing__(self, rest: str) -> bytes:
         if len(self) >= CHUNK_ENTRIES:
             self.clear()
-        own = self.counter
-        if rest.isalpha():  # one piece
-            n = own.tokens(f" {rest}".encode())
-        elif rest[-1:] in (".", ",") and rest[:-1].isalpha():
-            n = self[rest[:-1]] + 1
+        if rest[-1:] in (".", ",") and rest[:-1].isalpha():
+            d = self[rest[:-1]] + _ONE
         else:
-            n = own.count_chunk(f" {rest}")
-        self[rest] = n
-        return n
+            d = self.counter.chunk_deltas(rest if rest[:1] == "\n" else f" {rest}")
+        self[rest] = d
+        return d
 
 
 class PrefixCounter:
@@ -97,9 +121,13 @@ class PrefixCounter:
         self.tails = {t[i:]: None for t in self.rank for i in range(1, len(t))} | {t: t for t in self.rank}
         self.whole: dict[bytes, bool] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        #: of a prefix of a piece: its last token and its number of tokens
-        self.prefixes: dict[bytes, tuple[bytes, int]] = {b"": (b"", 0)}
+        #: of a prefix of a piece: its last token, its number of tokens, and the differences up to it
+        self.prefixes: dict[bytes, tuple[bytes, int, bytes]] = {b"": (b"", 0, b"")}
+        #: characters that chunks of plain pieces don't hold: those before which pieces can change while they grow
+        self.unsure = frozenset("'" + "".join(x[0] for x in self.special))
         self.chunks = _Chunks(self)
+        #: the last long piece and its counts: those of its beginnings are asked for as well
+        self.long: tuple[bytes, list[int]] = (b"", [0])
 
     def merged(self, data: bytes) -> list[bytes]:
         """The encoding by its definition: lowest rank first, leftmost among equals."""
@@ -142,15 +170,16 @@ class PrefixCounter:
             else:
                 bound, last_left, b = rb, True, self.halves[b][0]
 
-    def piece_tokens(self, piece: bytes) -> int:
-        """Tokens of a piece; on the way, of each of its prefixes that isn't known yet. Words that begin alike share them."""
+    def prefix(self, piece: bytes) -> tuple[bytes, int, bytes]:
+        """Last token, tokens and differences of a piece; on the way, of each of its prefixes that isn't known yet. Words that begin alike share them."""
         table, tails, pairs, n = self.prefixes, self.tails, self.pairs, len(piece)
         if len(table) >= PREFIX_ENTRIES:
             table.clear()
-            table[b""] = (b"", 0)
+            table[b""] = (b"", 0, b"")
         i = n
         while piece[:i] not in table:
             i -= 1
+        now = table[piece[:i]]
         for i in range(i + 1, n + 1):
             ends = []
             for j in range(i - 1, -1, -1):
@@ -159,28 +188,27 @@ class PrefixCounter:
                 if t is not None:
                     ends.append((j, t))
             for j, t in reversed(ends):
-                last, count = table[piece[:j]]
+                last, count, _ = table[piece[:j]]
                 if j == 0:
                     ok = self.stands(t)
                 elif (ok := pairs.get((last, t))) is None:
                     ok = self.fits(last, t)
                 if ok:
-                    table[piece[:i]] = (t, count + 1)
+                    step = count + 1 - now[1]
+                    now = table[piece[:i]] = (t, count + 1, now[2] + (_STEPS[step] if -2 < step < 2 else _PACK(step)))
                     break
-        return table[piece][1]
-
-    def tokens(self, piece: bytes) -> int:
-        return self.piece_tokens(piece) if len(piece) <= LONG_PIECE else self._long(piece)[-1]
+        return now
 
     def prefix_counts(self, piece: bytes) -> list[int]:
         """count[i] for i in 0..len(piece)."""
         if len(piece) > LONG_PIECE:
             return self._long(piece)
-        self.piece_tokens(piece)
-        return [self.prefixes[piece[:i]][1] for i in range(len(piece) + 1)]
+        return [0, *accumulate(_unpack(self.prefix(piece)[2]))]
 
     def _long(self, piece: bytes) -> list[int]:
         """prefix_counts of a piece too long to keep its prefixes by their bytes."""
+        if self.long[0].startswith(piece):
+            return self.long[1][: len(piece) + 1]
         last, count = [b""], [0]
         for i in range(1, len(piece) + 1):
             ends = []
@@ -192,6 +220,7 @@ class PrefixCounter:
             j, t = next((j, t) for j, t in reversed(ends) if (self.fits(last[j], t) if j else self.stands(t)))
             last.append(t)
             count.append(count[j] + 1)
+        self.long = piece, count
         return count
 
     def _segments(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -206,26 +235,36 @@ class PrefixCounter:
         if at < len(text):
             yield text[at:], False
 
-    def count_chunk(self, chunk: str) -> int:
-        n = 0
-        for part, special in self._segments(chunk):
-            n += 1 if special else sum(self.tokens(p.encode()) for p in PIECE.findall(part))
-        return n
-
-    def chunk_counts(self, text: str) -> tuple[list[str], list[int]]:
-        """Chunks of the text and the tokens of each."""
-        if "  " not in text and "\n " not in text and " \n" not in text and text[:1] != " " and text.replace("\n", "").isprintable():
-            first, *rest = text.split(" ")
-            return [first, *(f" {x}" for x in rest)], [self.count_chunk(first), *map(self.chunks.__getitem__, rest)]
-        chunks = CHUNK.findall(text)
-        return chunks, [self.chunks[c[1:]] if c[0] == " " else self.count_chunk(c) for c in chunks]
+    def piece_deltas(self, piece: str) -> bytes:
+        """Differences within one piece, by character."""
+        data = piece.encode()
+        if len(data) == len(piece) <= LONG_PIECE:
+            return self.prefix(data)[2]
+        return _differences(self._each_char(piece))
+
+    def chunk_deltas(self, chunk: str) -> bytes:
+        """Differences of a chunk's counts from one character to the next."""
+        rest = chunk[1:]
+        if rest.isalpha() and chunk[:1] == " ":  # one piece
+            return self.piece_deltas(chunk)
+        if self.unsure.isdisjoint(chunk) and not any(map(str.isspace, rest)):
+            return b"".join(map(self.piece_deltas, PIECE.findall(chunk)))
+        return _differences(self.by_char(chunk))
+
+    def deltas(self, text: str) -> bytes:
+        """Differences of the whole text."""
+        if "  " not in text and "\n " not in text and " \n" not in text and "\n\n" not in text and text[:1] != " " and text.replace("\n", "").isprintable():
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return self.chunk_deltas(first) + b"".join(map(self.chunks.__getitem__, rest))
+        return b"".join([self.chunks[c[1:]] if c[0] == " " and c[1:2] != "\n" else self.chunk_deltas(c) for c in CHUNK.findall(text)])
 
     def count(self, text: str) -> int:
         """Tokens of the whole text."""
-        if "  " not in text and "\n " not in text and " \n" not in text and text[:1] != " " and text.replace("\n", "").isprintable():
-            first, *rest = text.split(" ")
-            return self.count_chunk(first) + sum(map(self.chunks.__getitem__, rest))
-        return sum(self.chunk_counts(text)[1])
+        return int(np.frombuffer(self.deltas(text), "<i2").sum(dtype=np.int64))
+
+    def fitting(self, text: str, limit: int) -> int:
+        """Characters of the longest prefix of at most ``limit`` tokens."""
+        return longest_within(self.deltas(text), limit)
 
     def by_char(self, text: str) -> list[int]:
         """count[k]: tokens of text[:k] encoded by itself, for k in 0..len(text)."""
@@ -241,49 +280,51 @@ class PrefixCounter:
                 out += [base + x for x in inner[1:]]
                 base += inner[-1]
         # a piece of ordinary text before a half-finished special string can reach into it
+        a = 0
         if self.special_at is not None:
             for m in self.special_at.finditer(text):
-                a = max([0, *(x.end() for x in self.special_at.finditer(text, 0, m.start()))])
                 head = out[a]
                 for k in range(m.start() + 1, m.end()):
                     out[k] = head + self._plain(text[a:k])[-1]
+                a = m.end()
         return out
 
     def _plain(self, text: str) -> list[int]:
         """by_char of a text without special strings."""
-        out, base, run_at, run_base = [0], 0, 0, 0
-        blank_before = False
+        out, base, run_end = [0], 0, 0
         for m in PIECE.finditer(text):
-            p = m[0]
-            if _BLANK(p) or p[0] == " ":
-                if not blank_before:
-                    run_at, run_base = m.start(), base
-            own = self.prefix_counts(p.encode())
-            at = 0
-            for k, c in enumerate(p):
-                at += len(c.encode())
-                blank = bool(_BLANK(p[: k + 1]))
-                if blank:  # a prefix that ends in white space takes the whole run as one piece
-                    out.append(run_base + self.prefix_counts(text[run_at : m.start() + k + 1].encode())[-1])
-                elif p in _CONTRACTION and k + 1 < len(p):
-                    out.append(base + 1 + (self.prefix_counts(p[1 : k + 1].encode())[-1] if k else 0))
-                else:
-                    out.append(base + own[at])
+            p, start = m[0], m.start()
+            blanks = _BLANKS.match(p).end()
+            if blanks:
+                if start >= run_end:
+                    # a prefix that ends in white space takes the whole run as one piece: one pass counts all of these
+                    run = _BLANKS.match(text, start)[0]
+                    run_at, run_end, run_base = start, start + len(run), base
+                    in_run = self._each_char(run)
+                out += [run_base + n for n in in_run[start - run_at + 1 : start - run_at + blanks + 1]]
+            own = self._each_char(p)
+            if p in _CONTRACTION:  # while it's incomplete, the quote is a piece of its own
+                out += [base + 1 + (own_part[-1] if k else 0) for k in range(len(p) - 1) for own_part in [self.prefix_counts(p[1 : k + 1].encode())]]
+                out.append(base + own[-1])
+            elif blanks < len(p):
+                out += [base + n for n in own[blanks + 1 :]]
             base += own[-1]
-            blank_before = bool(_BLANK(p))
         return out
 
-    def fitting(self, text: str, limit: int) -> int:
-        """Characters of the longest prefix of at most ``limit`` tokens."""
-        chunks, counts = self.chunk_counts(text)
-        ends = list(accumulate(counts, initial=0))
-        j = bisect_right(ends, limit) - 1
-        done = sum(map(len, chunks[:j]))
-        if j == len(chunks):
-            return done
-        # a chunk's pieces can change while it is incomplete, so its own prefixes are asked
-        room = limit - ends[j]
-        return done + max(k for k, n in enumerate(self.by_char(chunks[j])) if n <= room)
+    def _each_char(self, piece: str) -> list[int]:
+        """prefix_counts by character."""
+        data = piece.encode()
+        counts = self.prefix_counts(data)
+        if len(data) == len(piece):
+            return counts
+        return [counts[0], *(n for n, b in zip(counts[1:], [*data[1:], 0], strict=True) if b & 0xC0 != 0x80)]
+
+
+def longest_within(deltas: bytes, budget: int) -> int:
+    """Characters of the longest prefix within a budget of tokens, from stored differences; 0 if even the empty one isn't."""
+    counts = np.cumsum(np.frombuffer(deltas, "<i2"), dtype=np.int64)
+    fits = np.nonzero(counts <= budget)[0]
+    return int(fits[-1]) + 1 if len(fits) else 0
 
 
 def counter(path: str) -> PrefixCounter:
@@ -293,12 +334,12 @@ def counter(path: str) -> PrefixCounter:
     return _COUNTERS[path]
 
 
-def count_tokens(docs: DataFrame, path: str, *, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", prefixes: bool = False) -> DataFrame:
-    """Per row: id, n_bytes, n_tokens, over_limit, fit_chars (longest prefix within the limit).
+def count_tokens(docs: DataFrame, path: str, *, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_bytes, n_tokens, over_limit, fit_chars (longest prefix within the limit), prefix_deltas.
 
-    With ``prefixes`` a column ``prefix_tokens`` holds the count of every prefix, by
-    character, from 0: index k answers any truncation, and ``longest_prefix`` any budget,
-    without encoding again.  Rows are independent, so nothing is shuffled.
+    ``prefix_deltas`` holds 16-bit little-endian integers, one a character: its running sum is
+    the count of every prefix, which ``prefix_tokens`` and ``longest_prefix`` read.  Rows are
+    independent, so nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,27 +347,24 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 512, id_col: str =
         for b in batches:
             texts = pc.fill_null(b.column(1).cast(pa.large_string()), "")
             n_bytes = pc.binary_length(texts).cast(pa.int64())
-            tokens, fits, every = [], [], []
-            for x in texts:
-                t = x.as_py()
-                n = own.count(t)
-                tokens.append(n)
-                fits.append(len(t) if n <= limit else own.fitting(t, limit))
-                if prefixes:
-                    every.append(own.by_char(t))
+            deltas = [own.deltas(x.as_py()) for x in texts]
+            tokens = [int(np.frombuffer(d, "<i2").sum(dtype=np.int64)) for d in deltas]
+            fits = [len(d) // 2 if n <= limit else longest_within(d, limit) for d, n in zip(deltas, tokens, strict=True)]
             n_tokens = pa.array(tokens, pa.int64())
-            cols = [b.column(0), n_bytes, n_tokens, pc.greater(n_tokens, limit), pa.array(fits, pa.int64())]
-            names = [id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars"]
-            if prefixes:
-                cols.append(pa.array(every, pa.list_(pa.int32())))
-                names.append("prefix_tokens")
-            yield pa.RecordBatch.from_arrays(cols, names)
+            cols = [b.column(0), n_bytes, n_tokens, pc.greater(n_tokens, limit), pa.array(fits, pa.int64()), pa.array(deltas, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, [id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_deltas"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint" + ", prefix_tokens array<int>" * prefixes
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint, prefix_deltas binary")
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def prefix_tokens(deltas: pd.Series) -> pd.Series:
+    """Counts at every prefix by character, from 0, of stored differences."""
+    return deltas.map(lambda d: np.concatenate([[0], np.cumsum(np.frombuffer(d, "<i2"), dtype=np.int64)]).astype(np.int32))
 
 
-def longest_prefix(prefix_tokens: str, budget: int):
-    """Column: characters of the longest prefix within ``budget``, from stored prefix counts."""
-    return F.expr(f"array_max(filter(sequence(0, size({prefix_tokens}) - 1), k -> {prefix_tokens}[k] <= {int(budget)}))")
+@F.pandas_udf(LongType())
+def longest_prefix(deltas: pd.Series, budget: pd.Series) -> pd.Series:
+    """Characters of the longest prefix within ``budget``, from stored differences."""
+    return pd.Series([longest_within(d, n) for d, n in zip(deltas, budget, strict=True)], dtype="int64")

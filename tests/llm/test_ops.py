@@ -1,6 +1,7 @@
 """Each operator against brute force or an exact round trip, and on awkward rows."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -46,10 +47,23 @@ def test_token_counts_are_exact():
             assert own.fitting(s, limit) == max(k for k, n in enumerate(each) if n <= limit)
 
 
+@pytest.mark.parametrize("text", [" " * 200_000, "a" + "\n" * 100_000 + " b" + "\t \u2003" * 20_000 + "<|endoftext|>" * 40, "=" * 50_000])
+def test_token_counts_of_long_runs(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = token_counts.PrefixCounter(path), Tokenizer.from_file(path)
+    start = time.time()
+    d = own.deltas(text)
+    assert time.time() - start < 10
+    counts = np.concatenate([[0], np.cumsum(np.frombuffer(d, "<i2"), dtype=np.int64)])
+    assert len(counts) == len(text) + 1
+    for k in (1, 2, 99, 1000, 30_000, len(text) - 1, len(text)):
+        assert counts[k] == len(library.encode(text[:k], add_special_tokens=False).ids)
+
+
 def test_token_counts_query(spark, awkward, no_docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    got = token_counts.count_tokens(awkward, path, limit=3, prefixes=True).withColumn("two", token_counts.longest_prefix("prefix_tokens", 2)).collect()
+    got = token_counts.count_tokens(awkward, path, limit=3).withColumn("two", token_counts.longest_prefix("prefix_deltas", F.lit(2))).withColumn("prefix_tokens", token_counts.prefix_tokens("prefix_deltas")).collect()
     assert sorted(r.n_tokens for r in got) == sorted(len(library.encode(r.text or "", add_special_tokens=False).ids) for r in awkward.collect())
     assert all(r.over_limit == (r.n_tokens > 3) and r.prefix_tokens[-1] == r.n_tokens and r.prefix_tokens[r.two] <= 2 for r in got)
     assert token_counts.count_tokens(no_docs, path).count() == 0
