@@ -6,22 +6,23 @@ DataFrame and SQL functions only.
    domains.  It is a naive Bayes model over hashed words: occurrences by bucket and domain
    are added up over a bounded sample of labelled documents (``TRAIN_ROWS``), each of 2**BITS buckets gets one log-likelihood
    a domain, and a document's posterior is the softmax of its mean over words, sharpened.
-2. Posteriors are rounded to multiples of 1/GRID.  Documents with equal posteriors get equal
-   gradients at every step and so equal rates, so all of them are one cell: posterior,
-   number of words.  There are a bounded number of cells (the points of the grid).
-3. Nonnegative rates r are fitted by projected gradient steps on
-
-       sum over domains d of ((sum over cells r n p_d - target_d * total) / total)^2
-       + RIDGE * sum over cells n / total (r - 1)^2,
-
-   each step a distributed aggregation (one number a domain comes to the driver) followed by
-   a map over cells.  The ridge keeps rates near one where targets leave them free.
-4. A document of rate r is emitted floor(r + u) times, with u in [0, 1) from a hash of its
+2. Nonnegative rates r, one a document, are fitted by projected gradient steps from r = 1 on
+   the weighted least squares
+
+       g' W g / 2,     g_d = sum over documents of r n p_d / total - target_d,
+
+   with W the inverse of the second moments of the posteriors by words, so that rare domains
+   don't slow the steps down.  Each step is a distributed aggregation over all documents
+   (one number a domain comes to the driver) followed by a map.  Steps move along posteriors
+   only, which keeps rates near one where targets leave them free.  They end when every
+   domain's total is within ``TOLERANCE`` of its target, or when they gain nothing more:
+   targets that no rates meet are met as nearly as steps come, and ``residual`` says how nearly.
+3. A document of rate r is emitted floor(r + u) times, with u in [0, 1) from a hash of its
    id and text: the expected number of copies is r.
 
-A hot source or group of copies costs a row in a cell: everything is combined before the
-shuffle.  Defined results: null or wordless texts have 0 words, the labels' prior as
-posterior, and the rate of that cell; several labels of an id count as separate rows; without
+Everything is combined before the shuffle, whatever the size of a source or group of copies.
+Defined results: null or wordless texts have 0 words, the labels' prior as
+posterior, and the rate of that posterior; several labels of an id count as separate rows; without
 labelled rows there is one domain ``other``; unknown target names count as domains with no
 documents; repeated rows are separate documents.
 """
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +43,8 @@ BITS, SMOOTH = 16, 0.5
 TRAIN_ROWS = 20_000
 #: Words that a document's evidence counts for at most: its posterior is the softmax of that many times the mean.
 SHARPNESS = 40.0
-#: Posteriors are multiples of 1/GRID.
-GRID = 20
-RIDGE, STEPS = 0.02, 40
+#: Largest share of a target that its total may miss it by; most steps; steps between written tables.
+TOLERANCE, STEPS, WRITTEN = 0.001, 200, 8
 #: Domains, as values of ``domain_of`` over the labelled table, and the share of words each shall have.
 TARGETS = {"good": 0.8, "poor": 0.1, "toxic": 0.1}
 
@@ -76,7 +77,7 @@ def learn_domains(docs: DataFrame, labels: DataFrame, domains: list[str]) -> tup
 
 
 def posteriors(docs: DataFrame, model: DataFrame, prior: list[float]) -> DataFrame:
-    """doc_id, row (key of the row by id and text), n_words, p (array over domains, multiples of 1/GRID that add up to 1); a repeated row each time."""
+    """doc_id, row (key of the row by id and text), n_words, p (array over domains that adds up to 1); a repeated row each time."""
     more = list(range(1, len(prior)))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), _buckets(F.col("text")).alias("b"))
     # at most 2**BITS rows of a few numbers; unseen buckets tell nothing; bucket -1 counts the row itself
@@ -87,51 +88,48 @@ def posteriors(docs: DataFrame, model: DataFrame, prior: list[float]) -> DataFra
     top = F.greatest(*mean) if more else mean[0]
     e = [F.exp(x - top) for x in mean]
     total = sum(e[1:], e[0])
-    # round all but the first down onto the grid; the first takes what is left
-    p = [F.floor(x / total * GRID + 0.5) for x in e]
-    rest = [F.least(p[k], F.lit(GRID)) for k in more]
-    first = F.lit(GRID) - sum(rest[1:], rest[0]) if more else F.lit(GRID)
-    fixed = F.array(F.greatest(first, F.lit(0)), *rest)
-    sized = F.aggregate(fixed, F.lit(0).cast("long"), lambda a, x: a + x)
-    each = seen.withColumn("fixed", fixed).withColumn("size", sized).withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return each.select("doc_id", "row", "n_words", F.transform("fixed", lambda x: x / F.col("size")).alias("p"))
-
-
-def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float]) -> DataFrame:
-    """cells (p, n) with their rate r."""
+    each = seen.withColumn("p", F.array(*(x / total for x in e))).withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return each.select("doc_id", "row", "n_words", "p")
+
+
+def fit_rates(docs: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[DataFrame, float]:
+    """docs (n_words, p, and more) with their rate; and the largest share of a target that is missed."""
     each = range(len(domains))
-    total = float(cells.agg(F.sum("n")).first()[0] or 0)
-    if not total:
-        return cells.withColumn("r", F.lit(1.0))
+    p = [F.get("p", k) for k in each]
     weight = sum(max(0.0, targets.get(d, 0.0)) for d in domains) or 1.0
-    goal = [max(0.0, targets.get(d, 0.0)) / weight for d in domains]
-    now = cells.withColumn("r", F.lit(1.0))
-    # a step of the inverse Lipschitz constant: posteriors add up to one, and a share is at most one
-    share = F.col("n") / total
+    goal = np.array([max(0.0, targets.get(d, 0.0)) / weight for d in domains])
+    moments = docs.agg(F.sum("n_words").alias("n"), *(F.sum(F.col("n_words") * p[j] * p[k]) for j in each for k in each)).first()
+    now = docs.withColumn("rate", F.lit(1.0))
+    if not moments.n:
+        return now, 0.0
+    total = float(moments.n)
+    inverse = np.linalg.pinv(np.array(moments[1:]).reshape(len(domains), -1) / total, rcond=1e-6, hermitian=True)
+    least, best, still = math.inf, now, 0
     for step in range(STEPS):
-        if step % 10 == 9:
+        sums = now.agg(*(F.sum(F.col("rate") * F.col("n_words") * x) for x in p)).first()
+        gap = np.array(sums) / total - goal
+        missed = float(np.max(np.abs(gap) / np.maximum(goal, 1e-3)))
+        still = 0 if missed < least * 0.99 else still + 1
+        if missed < least:
+            least, best = missed, now
+        if least <= TOLERANCE or still >= 10:
+            break
+        if step % WRITTEN == WRITTEN - 1:
             now = settle(now, "rates")
-        sums = now.agg(*(F.sum(F.col("r") * share * F.get("p", k)) for k in each)).first()
-        gap = [(sums[k] or 0.0) - goal[k] for k in each]
-        slope = sum((F.get("p", k) * gap[k] for k in each), F.lit(0.0)) + RIDGE * (F.col("r") - 1)
-        now = now.withColumn("r", F.greatest(F.lit(0.0), F.col("r") - 0.9 * slope))
-    return now
+        slope = sum((p[k] * float(x) for k, x in enumerate(inverse @ gap)), F.lit(0.0))
+        now = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - slope))
+    return best, least
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """Per document: doc_id, row, n_words, p, rate, copies; and the domain of the largest posterior."""
+    """Per document: doc_id, row, n_words, p, rate, copies; the domain of the largest posterior; and the fit's residual."""
     targets = TARGETS if targets is None else targets
     domains = sorted(targets)
     model, prior = learn_domains(docs, labels, domains)
-    each = settle(posteriors(docs, model, prior), "posteriors")
-    # as many rows as the grid has points at most: one task suffices at any size
-    cells = settle(each.groupBy("p").agg(F.sum("n_words").alias("n")).coalesce(1), "cells")
-    rates = fit_rates(cells, domains, targets)
-    # at most as many rows as the grid has points
-    rated = each.join(F.broadcast(rates.select("p", F.col("r").alias("rate"))), "p")
+    rated, residual = fit_rates(settle(posteriors(docs, model, prior), "posteriors"), domains, targets)
     u = F.pmod(F.xxhash64("doc_id", "row", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     named = F.element_at(F.lit(domains), F.array_position("p", F.array_max("p")).cast("int"))
-    return rated.select("doc_id", "row", "n_words", "p", "rate", F.floor(F.col("rate") + u).cast("int").alias("copies"), named.alias("domain"))
+    return rated.select("doc_id", "row", "n_words", "p", "rate", F.floor(F.col("rate") + u).cast("int").alias("copies"), named.alias("domain"), F.lit(residual).alias("residual"))
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

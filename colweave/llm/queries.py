@@ -92,7 +92,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return mixed.select("doc_id", "n_words", "domain", *(F.get("p", k).alias(f"p_{d}") for k, d in enumerate(("good", "poor", "toxic"))), "rate", "copies")
+    return mixed.select("doc_id", "n_words", "domain", *(F.get("p", k).alias(f"p_{d}") for k, d in enumerate(("good", "poor", "toxic"))), "rate", "copies", "residual")
 
 
 @query
