@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,12 +13,18 @@ _LOCAL: list[str] = []
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet under ``spark.checkpoint.dir`` (a temporary folder only if that is unset) and scan it."""
+    """Write ``df`` once as Parquet under ``spark.checkpoint.dir`` and scan it.
+
+    Only a local master does without that setting; its tables go with the process.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or ""
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: tables between steps need a shared folder")
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="colweave-"))
+            atexit.register(shutil.rmtree, _LOCAL[0][7:], ignore_errors=True)
         folder = _LOCAL[0]
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)

@@ -17,60 +17,54 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colweave.functions.scratch import settle
-from colweave.operators.alignment import suffix_windows
+from colweave.operators import suffixes as S
 
-#: First characters by which suffixes are dealt out for sorting.
-HEAD = 3
+#: Columns whose chain of blocks one task follows.
+STRETCH = 65_536
 
 
-def _common(a, b, length: int) -> F.Column:
-    """Characters that two padded windows share at their start."""
-    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x == y)
-    at = F.array_position(same, F.lit(False))
-    return F.when(at == 0, length).otherwise(at - 1).cast("int")
+def unique_prefixes(ranked: DataFrame, length: int = S.PIECE) -> DataFrame:
+    """col, seq_id, nb, d: length of the shortest unique prefix (null: none), whatever it is.
 
-
-def unique_prefixes(ranked: DataFrame, length: int = 96) -> DataFrame:
-    """col, seq_id, nb, d: shortest unique prefixes of at most ``length`` characters (null: none).
-
-    1 + the longest prefix that a suffix shares with any non-member.  In sorted order that is
-    the nearest non-member on either side, and no more than all rows' members lie between.
-    So each suffix is compared with a few sorted neighbours, instead of counting prefixes of
-    every length.  Suffixes are sorted within their first ``HEAD`` characters; where those
-    alone decide, counts of such short prefixes give d.
+    d is 1 + the most characters that a suffix shares with a non-member, and that is the
+    nearest non-member in sorted order.  Members of a column that stand next to each other in
+    that order form an island, so what each shares with the non-members around its island is
+    the least of what neighbours share on the way there.  Suffixes are compared by pieces of
+    ``length`` characters first; only columns whose members share a whole piece with a
+    non-member are looked at again, with pieces twice as long, until none is left.
     """
-    m = ranked.select("seq_id").distinct().count()
-    windows = suffix_windows(ranked, length)
-    padded = settle(windows.select("seq_id", "nb", F.length("win").alias("size"), F.rpad("win", length, "$").alias("win")), "suffixes")
-    keyed = padded.withColumn("head", F.substring("win", 1, HEAD))
-    order = Window.partitionBy("head").orderBy("win", "seq_id", "nb")
-    # what a suffix shares with the one before it; with others it shares the least of what lies between
-    stepped = keyed.withColumn("up", F.coalesce(_common("win", F.lag("win").over(order), length), F.lit(0)))
-    item = F.struct("seq_id", "nb", "up")
-    near = stepped.select("seq_id", "nb", "size", "up", F.reverse(F.collect_list(item).over(order.rowsBetween(-m, -1))).alias("left"), F.collect_list(item).over(order.rowsBetween(1, m)).alias("right"))
-    members = ranked.groupBy("col").agg(F.map_from_entries(F.collect_list(F.struct("seq_id", "nb"))).alias("places"))
-    each = ranked.select("seq_id", "col", "nb").join(near, ["seq_id", "nb"]).join(members, "col")
-    stranger = lambda x: F.element_at(F.col("places"), x["seq_id"]) != x["nb"]
-    state = lambda lim, found: F.struct(lim.cast("int").alias("lim"), found.cast("int").alias("found"))
-
-    def before(s: F.Column, x: F.Column) -> F.Column:
-        return F.when(s["found"] >= 0, s).when(stranger(x), state(s["lim"], s["lim"])).otherwise(state(F.least(s["lim"], x["up"]), s["found"]))
-
-    def after(s: F.Column, x: F.Column) -> F.Column:
-        lim = F.least(s["lim"], x["up"])
-        return F.when(s["found"] >= 0, s).otherwise(state(lim, F.when(stranger(x), lim).otherwise(F.lit(-1))))
-
-    reach = F.greatest(F.aggregate("left", state(F.col("up"), F.lit(-1)), before)["found"], F.aggregate("right", state(F.lit(length), F.lit(-1)), after)["found"])
-    each = each.select("col", "seq_id", "nb", "size", reach.alias("reach"))
-    # prefixes of up to HEAD characters: all occurrences against the column's own
-    short = F.explode(F.sequence(F.lit(1), F.lit(HEAD))).alias("l")
-    text = padded.select(short, "win").groupBy("l", F.substring(F.col("win"), F.lit(1), F.col("l")).alias("k")).agg(F.count("*").alias("n_text"))
-    alone = each.where("reach < 0").select("col", "seq_id", "nb").join(padded.select("seq_id", "nb", "win"), ["seq_id", "nb"])
-    mine = ranked.select("seq_id", "col", "nb").join(padded.select("seq_id", "nb", "win"), ["seq_id", "nb"]).join(alone.select("col").distinct(), "col").select("col", short, "win")
-    own = mine.groupBy("col", "l", F.substring(F.col("win"), F.lit(1), F.col("l")).alias("k")).agg(F.count("*").alias("n_members"))
-    least = alone.select("col", "seq_id", short, "win").withColumn("k", F.substring(F.col("win"), F.lit(1), F.col("l"))).join(own, ["col", "l", "k"]).join(F.broadcast(text), ["l", "k"]).where("n_text = n_members").groupBy("col", "seq_id").agg(F.min("l").alias("l"))
-    found = each.join(least, ["col", "seq_id"], "left").withColumn("d", F.when(F.col("reach") >= 0, F.col("reach") + 1).otherwise(F.col("l")))
-    return found.select("col", "seq_id", "nb", F.when((F.col("d") <= F.col("size")) & (F.col("d") <= length), F.col("d")).cast("int").alias("d"))
+    total = ranked.where("ch <> '-'").groupBy("seq_id").agg(F.count("*").alias("all"))
+    cells = settle(ranked.join(total, "seq_id", "left").select("col", F.col("seq_id").cast("bigint").alias("text_id"), F.col("nb").cast("bigint").alias("pos"), (F.coalesce("all", F.lit(0)) - F.col("nb")).alias("size"), (F.col("ch") != "-").alias("kept")), "members")
+    now = cells.where("kept").select("text_id", "pos", "size", F.lit(0).cast("bigint").alias("group"))
+    members = cells.where("size > 0").select("col", "text_id", "pos")
+    found = [cells.where("size <= 0").select("col", "text_id", "pos", F.lit(None).cast("int").alias("d"))]
+    blocks = settle(S.cell_blocks(ranked, S.BLOCK), "blocks")
+    offset, step = 0, length
+    while True:
+        if step > S.BLOCK:
+            blocks = settle(S.cell_blocks(ranked, step), "blocks")
+        placed = S.sorted_suffixes(S.pieces(now, blocks, max(S.BLOCK, step), offset, step), offset, step)
+        each = members.join(placed, ["text_id", "pos"])
+        island = each.withColumn("island", F.col("rank") - F.row_number().over(Window.partitionBy("col", "group").orderBy("rank")))
+        order = Window.partitionBy("col", "group", "island").orderBy("rank")
+        left = F.min("up").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        right = F.min("down").over(order.rowsBetween(0, Window.unboundedFollowing))
+        reach = island.select("col", "text_id", "pos", "size", "class", F.greatest(left, right, F.lit(0)).alias("reach"))
+        open_ = F.max((F.col("reach") >= offset + step) & (F.col("size") > offset + step)).over(Window.partitionBy("col", "class"))
+        reach = settle(reach.withColumn("open", open_), "reach")
+        d = (F.col("reach") + 1).cast("int")
+        found.append(reach.where("NOT open").select("col", "text_id", "pos", F.when(d <= F.col("size"), d).alias("d")))
+        more = reach.where("open")
+        if more.isEmpty():
+            break
+        # their classes are the next groups: nothing else shares so much with them
+        members = more.select("col", "text_id", "pos")
+        now = placed.join(more.select("class").distinct(), "class").select("text_id", "pos", "size", F.col("class").alias("group"))
+        offset, step = offset + step, offset + step
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select("col", F.col("text_id").cast("int").alias("seq_id"), F.col("pos").cast("int").alias("nb"), "d")
 
 
 def right_bounds(ranked: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -82,17 +76,9 @@ def right_bounds(ranked: DataFrame, prefixes: DataFrame) -> DataFrame:
     return ranked.select("col").distinct().join(valid, "col", "left").select(F.col("col").cast("bigint").alias("lb"), F.col("rb").cast("bigint").alias("rb"))
 
 
-def find_block_boundaries(ranked: DataFrame, length: int = 96, complete: bool = False) -> DataFrame:
-    """Raw segmentation. With ``complete`` the windows are doubled until no suffix is left undecided by their length."""
-    while True:
-        prefixes = settle(unique_prefixes(ranked, length), "prefixes")
-        if not complete:
-            break
-        rest = ranked.where("ch <> '-'").groupBy("seq_id").agg(F.count("*").alias("all"))
-        if prefixes.where("d IS NULL").join(rest, "seq_id").where(F.col("all") - F.col("nb") > length).isEmpty():
-            break
-        length *= 2
-    return right_bounds(ranked, prefixes)
+def find_block_boundaries(ranked: DataFrame, length: int = S.PIECE) -> DataFrame:
+    """Raw segmentation."""
+    return right_bounds(ranked, settle(unique_prefixes(ranked, length), "prefixes"))
 
 
 def next_blocks(raw: DataFrame) -> DataFrame:
@@ -119,31 +105,71 @@ def next_blocks(raw: DataFrame) -> DataFrame:
     return suffix.select("lb", "rb").join(look, "rb").select("lb", "rb", (-F.col("f.neg")).alias("next_lb"), F.col("f.rb").alias("next_rb"))
 
 
+def _in_stretch(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of a stretch in order, where each leads (-1: nowhere), the place of that start in the stretch (-1: beyond it), and which ones are entered."""
+    table = table.sort_by("a")
+    a = table["a"].to_numpy()
+    b = table["b"].fill_null(-1).to_numpy()
+    at = np.searchsorted(a, b)
+    inside = (at < len(a)) & (b >= 0)
+    inside[inside] = a[at[inside]] == b[inside]
+    return a, b, np.where(inside, at, -1), table["entered"].to_numpy(zero_copy_only=False)
+
+
+def _way_out(table: pa.Table) -> pa.Table:
+    a, b, at, _entered = _in_stretch(table)
+    out, after = b.tolist(), at.tolist()
+    for i in range(len(out) - 1, -1, -1):
+        if after[i] >= 0:
+            out[i] = out[after[i]]
+    return pa.table([pa.array(a), pa.array([None if x < 0 else x for x in out], pa.int64())], ["a", "b"])
+
+
+def _walk(table: pa.Table) -> pa.Table:
+    a, b, at, entered = _in_stretch(table)
+    rows = []
+    for i in np.nonzero(entered)[0][:1].tolist():
+        while i >= 0:
+            rows.append((int(a[i]), None if b[i] < 0 else int(b[i]), len(rows)))
+            i = int(at[i])
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+    return pa.table([pa.array(c, pa.int64()) for c in cols], ["lb", "next", "k"])
+
+
 def max_blocks(raw: DataFrame) -> DataFrame:
     """block_idx, lb, rb (half-open): a segmentation of most blocks; ties go to the earliest end, then the latest start.
 
-    The chain from column 0 is followed by pointer doubling: log2(blocks) joins.
+    Each start leads to one next start.  Within stretches of columns, where each start leads
+    out to is found in one pass backwards; the ways between stretches, few as they are, are
+    followed from column 0 by pointer doubling; then each stretch lists its blocks.
     """
     n = raw.agg(F.max("lb")).first()[0]
-    jump = settle(next_blocks(raw).select(F.col("lb").alias("a"), F.col("next_lb").alias("b")).where("b IS NOT NULL"), "jump")
     if n is None or raw.where("lb = 0 AND rb IS NOT NULL").isEmpty():
         raise ValueError("no segmentation: no block starts at column 0")
-    reached = raw.where("lb = 0").select(F.col("lb").alias("a"))
+    jump = settle(next_blocks(raw).select(F.col("lb").alias("a"), F.col("next_lb").alias("b")), "jump")
+    stretch = F.floor(F.col("a") / STRETCH).alias("s")
+    ways = settle(jump.select("a", "b", F.lit(False).alias("entered"), stretch).groupBy("s").applyInArrow(_way_out, "a bigint, b bigint"), "ways")
+    entries = ways.select(F.col("b").alias("a")).where("a IS NOT NULL").distinct()
+    hop = settle(ways.join(entries.unionByName(raw.where("lb = 0").select(F.col("lb").alias("a"))).distinct(), "a", "left_semi").where("b IS NOT NULL"), "hops")
+    reached = settle(raw.where("lb = 0").select(F.col("lb").alias("a")), "reached")
     while True:
-        more = reached.join(jump, "a").select(F.col("b").alias("a"))
+        more = reached.join(hop, "a").select(F.col("b").alias("a"))
         if more.isEmpty():
             break
         reached = settle(reached.unionByName(more).distinct(), "reached")
-        jump = settle(jump.join(jump.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")), "jump")
-    order = Window.orderBy("a")
-    return reached.select((F.row_number().over(order) - 1).cast("int").alias("block_idx"), F.col("a").alias("lb"), F.coalesce(F.lead("a").over(order), F.lit(n + 1)).cast("bigint").alias("rb"))
+        hop = settle(hop.join(hop.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")), "hops")
+    marked = jump.join(reached.withColumn("e", F.lit(True)), "a", "left").select("a", "b", F.coalesce("e", F.lit(False)).alias("entered"), stretch)
+    walked = settle(marked.groupBy("s").applyInArrow(_walk, "lb bigint, next bigint, k bigint").withColumn("s", F.floor(F.col("lb") / STRETCH)), "walked")
+    # a row for each stretch
+    base = walked.groupBy("s").agg(F.count("*").alias("c")).select("s", (F.sum("c").over(Window.orderBy("s")) - F.col("c")).alias("base"))
+    return walked.join(F.broadcast(base), "s").select((F.col("base") + F.col("k")).cast("int").alias("block_idx"), "lb", F.coalesce("next", F.lit(n + 1)).cast("bigint").alias("rb"))
 
 
-def min_longest_block(raw: DataFrame) -> DataFrame:
-    """One row: min_max_len, the least longest block of any segmentation. Bisection over the length, in one task.
+def min_longest_blocks(raw: DataFrame) -> DataFrame:
+    """block_idx, lb, rb (half-open): a segmentation whose longest block is as short as possible; each block ends as early as that allows.
 
-    Each candidate length takes one walk over the starts from the right; what is kept is one
-    number a column.
+    A bisection over the length, in one task by choice: each candidate takes one walk over the
+    starts from the right, and what is held is two numbers a valid column.
     """
     n = raw.agg(F.max("lb")).first()[0]
     if n is None:
@@ -156,32 +182,45 @@ def min_longest_block(raw: DataFrame) -> DataFrame:
         order = np.argsort(-lb)
         starts, ends, total = lb[order].tolist(), (rb[order] + 1).tolist(), n + 1
 
-        def feasible(limit: int) -> bool:
-            good = [total]  # starts from which the rest can be cut, descending
+        def chain(limit: int) -> dict[int, int] | None:
+            """Starts from which the rest can be cut, with the next one; None if column 0 isn't one."""
+            good, after = [total], {}  # descending
             for a, e in zip(starts, ends, strict=True):
                 lo, hi = 0, len(good)  # the last good start that isn't before e
                 while lo < hi:
                     mid = (lo + hi) // 2
                     lo, hi = (mid + 1, hi) if good[mid] >= e else (lo, mid)
                 if lo and good[lo - 1] - a <= limit:
+                    after[a] = good[lo - 1]
                     good.append(a)
-            return good[-1] == 0
+            return after if good[-1] == 0 else None
 
-        if feasible(total):
+        if chain(total) is not None:
             lo, hi = 1, total
             while lo < hi:
                 mid = (lo + hi) // 2
-                lo, hi = (lo, mid) if feasible(mid) else (mid + 1, hi)
-            yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64())], ["min_max_len"])
-
-    out = settle(raw.where("rb IS NOT NULL").select("lb", "rb").coalesce(1).mapInArrow(run, "min_max_len bigint"), "longest")
+                lo, hi = (lo, mid) if chain(mid) is not None else (mid + 1, hi)
+            after, at, out = chain(lo), 0, []
+            while at < total:
+                out.append((len(out), at, after[at]))
+                at = after[at]
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["block_idx", "lb", "rb"])
+
+    out = settle(raw.where("rb IS NOT NULL").select("lb", "rb").coalesce(1).mapInArrow(run, "block_idx int, lb bigint, rb bigint"), "longest")
     if out.isEmpty():
         raise ValueError("no segmentation: no block starts at column 0")
     return out
 
 
+def min_longest_block(raw: DataFrame) -> DataFrame:
+    """One row: min_max_len, the least longest block of any segmentation."""
+    return min_longest_blocks(raw).agg(F.max(F.col("rb") - F.col("lb")).alias("min_max_len"))
+
+
 def optimize(raw: DataFrame, objective: str) -> DataFrame:
-    return {"max-blocks": max_blocks, "min-longest": min_longest_block}[objective](raw)
+    """block_idx, lb, rb for either objective."""
+    return {"max-blocks": max_blocks, "min-longest": min_longest_blocks}[objective](raw)
 
 
 def check_segmentation(seg: DataFrame, raw: DataFrame) -> DataFrame:

@@ -44,10 +44,10 @@ class Index(dict):
         return self["nodes"].select("node_idx", "block_idx", "label").join(rows, "node_idx")
 
 
-def build_index(cells: DataFrame, seg: DataFrame | None = None, *, length: int = 96, skip_text: bool = False, skip_support: bool = False) -> Index:
+def build_index(cells: DataFrame, seg: DataFrame | None = None, *, skip_text: bool = False, skip_support: bool = False) -> Index:
     """All tables of an alignment and a segmentation (of most blocks, unless given)."""
     ranked = settle(A.with_rank(cells), "ranked")
-    seg = settle(G.max_blocks(settle(G.find_block_boundaries(ranked, length), "raw")) if seg is None else seg, "seg")
+    seg = settle(G.max_blocks(settle(G.find_block_boundaries(ranked), "raw")) if seg is None else seg, "seg")
     rows = settle(B.block_rows(ranked, seg), "block-rows")
     nodes = settle(B.nodes(rows), "nodes")
     edges = settle(B.edges(rows, nodes), "edges")

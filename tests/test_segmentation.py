@@ -46,7 +46,7 @@ def random_rows(seed):
 def test_against_brute_force(spark, seed):
     rows = random_rows(seed)
     ranked = A.with_rank(A.cells_of(spark.createDataFrame(list(enumerate(rows)), "seq_id int, seq string"))).cache()
-    raw = G.find_block_boundaries(ranked, 8, complete=True).cache()
+    raw = G.find_block_boundaries(ranked, 4).cache()
     got, want = {r.lb: r.rb for r in raw.collect()}, brute_bounds(rows)
     assert got == want
     most, least = brute_optimum(want, len(rows[0]))
@@ -61,6 +61,38 @@ def test_against_brute_force(spark, seed):
     assert all(a[2] == b[1] for a, b in zip(seg, seg[1:], strict=False))
     assert all(want[lb] is not None and rb >= want[lb] + 1 for _, lb, rb in seg)
     assert G.min_longest_block(raw).first()[0] == least
+    short = [tuple(r) for r in G.min_longest_blocks(raw).orderBy("block_idx").collect()]
+    assert short[0][1] == 0 and short[-1][2] == len(rows[0]) and max(b - a for _, a, b in short) == least
+    assert all(a[2] == b[1] for a, b in zip(short, short[1:], strict=False))
+    assert all(want[lb] is not None and rb >= want[lb] + 1 for _, lb, rb in short)
+    assert G.optimize(raw, "max-blocks").columns == G.optimize(raw, "min-longest").columns
+
+
+def test_repeats_longer_than_any_piece(spark):
+    r = random.Random(31)
+    some = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    unit = some(300)
+    first = unit + some(20) + unit + some(20)
+    rows = [first, first[:500] + ("T" if first[500] != "T" else "A") + first[501:]]
+    ranked = A.with_rank(A.cells_of(spark.createDataFrame(list(enumerate(rows)), "seq_id int, seq string"))).cache()
+    got = {(x.col, x.seq_id): x.d for x in G.unique_prefixes(ranked, 16).collect()}
+    for col in (0, 7, 150, 299, 310, 320, 400, 639):
+        for j, row in enumerate(rows):
+            at = lambda p: {i for u in rows for i in range(len(u)) if u.startswith(p, i)}
+            assert got[col, j] == next((n for n in range(1, len(row) - col + 1) if at(row[col : col + n]) == {col}), None)
+    assert got[0, 0] >= 180
+
+
+@pytest.mark.parametrize("stretch", [3, 5])
+def test_chains_over_many_stretches(spark, monkeypatch, stretch):
+    r = random.Random(stretch)
+    monkeypatch.setattr(G, "STRETCH", stretch)
+    raw = {a: (None if r.random() < 0.2 and a else min(59, a + r.randint(0, 6))) for a in range(60)}
+    most, _ = brute_optimum(raw, 60)
+    seg = [tuple(x) for x in G.max_blocks(spark.createDataFrame(list(raw.items()), "lb bigint, rb bigint")).orderBy("block_idx").collect()]
+    assert len(seg) == most and [x[0] for x in seg] == list(range(most)) and seg[-1][2] == 60
+    assert all(a[2] == b[1] for a, b in zip(seg, seg[1:], strict=False))
+    assert all(raw[lb] is not None and rb > raw[lb] for _, lb, rb in seg)
 
 
 def test_graph_invariants(spark, tmp_path):
