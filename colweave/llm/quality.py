@@ -36,7 +36,7 @@ THRESHOLD = 0.3
 
 
 def features(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinate and text of every feature of a window."""
+    """Coordinate and text of every feature that ends in a window's own tokens."""
     same = np.zeros(len(t), bool)
     same[1:] = (t.doc[1:] == t.doc[:-1]) & (t.hash[1:] == t.hash[:-1])
     size = t.end - t.at
@@ -49,17 +49,20 @@ def features(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     far = near[1:] & near[:-1]
     triple = mix(shape[2:] * np.uint64(9) + shape[1:-1] * np.uint64(5) + shape[:-2])[far]
     mask = np.uint64((1 << BITS) - 1)
-    at = np.concatenate([t.hash, pair, triple]) & mask
-    return at.astype(np.int64), np.concatenate([t.doc, t.doc[1:][near], t.doc[2:][far]])
+    own = slice(t.again, None)
+    ends = np.arange(len(t)) >= t.again
+    pair, triple = pair[ends[1:][near]], triple[ends[2:][far]]
+    at = np.concatenate([t.hash[own], pair, triple]) & mask
+    return at.astype(np.int64), np.concatenate([t.doc[own], t.doc[1:][near & ends[1:]], t.doc[2:][far & ends[2:]]])
 
 
 def dot(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
     """Weights' mean over each text's features, times SCALE."""
     total, count = np.zeros(len(texts)), np.zeros(len(texts))
-    for t in windows(texts):
+    for t in windows(texts, overlap=2):
         at, doc = features(t)
         total += np.bincount(doc, weights[at], len(texts))
-        count += np.bincount(t.doc, minlength=len(texts))
+        count += np.bincount(t.doc[t.again :], minlength=len(texts))
     return SCALE * total / np.maximum(count, 1)
 
 
@@ -70,9 +73,9 @@ def fit(texts: list[str], y: list[int]) -> tuple[np.ndarray, float]:
     rows = []
     for text in texts:
         parts, size = [], 0
-        for t in windows([text]):
+        for t in windows([text], overlap=2):
             parts.append(features(t)[0])
-            size += len(t)
+            size += len(t) - t.again
         at, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0))
         rows.append((np.append(at, n), np.append(SCALE * c / max(size, 1), 1.0)))
 

@@ -33,12 +33,12 @@ from colweave.llm.store import heavy_join, settle
 #: Fingerprints that share a segment value up to this number are compared one by one.
 BUCKET = 48
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """Unsigned 64-bit fingerprint: a bit is set if it is in over half of the shingles' XXH64."""
-    parts = (text or "").encode().translate(_LOWER).split()
+    parts = (text or "").encode().translate(LOWER).split()
     if not parts:
         return 0
     joined = b" ".join(parts)

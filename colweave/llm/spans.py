@@ -4,7 +4,8 @@ A text's bytes fall into letters (A-Z, a-z and all non-ASCII bytes), digits, whi
 signs.  A token is a run of letters, a run of digits, or a run of one and the same sign.
 Its hash is a polynomial over lower-cased bytes, modulo 2**64, taken from one running sum.
 Texts are handled in windows of bounded size; a longer text is cut at white space, so that
-memory doesn't follow the longest text.
+memory doesn't follow the longest text, and each of its windows can begin with the last
+tokens of the one before, so that nothing that spans a few tokens is lost at a cut.
 """
 
 from __future__ import annotations
@@ -47,10 +48,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    """Tokens of a window: starts, lengths, doc (index of the text), kind, hash, upper (A-Z in the token)."""
+    """Tokens of a window: starts, lengths, doc (index of the text), kind, hash, upper (A-Z in the token).
 
-    def __init__(self, data: np.ndarray, doc_of_start: np.ndarray, docs: np.ndarray):
-        self.data = data
+    The first ``again`` tokens were in the window before; ``words_before`` tokens other than
+    signs lie before the window in its text.
+    """
+
+    def __init__(self, data: np.ndarray, doc_of_start: np.ndarray, docs: np.ndarray, again: int = 0, words_before: int = 0):
+        self.data, self.again, self.words_before = data, again, words_before
         kind = _CLASS[data]
         fresh = np.ones(len(data), bool)
         fresh[1:] = (kind[1:] != kind[:-1]) | ((kind[1:] == SIGN) & (data[1:] != data[:-1]))
@@ -79,8 +84,33 @@ class Tokens:
         return len(self.at)
 
 
-def windows(texts: list[str | None]) -> Iterator[Tokens]:
-    """Tokens of all texts, window by window; ``doc`` counts texts from 0."""
+def _long(data: bytes, n: int, overlap: int, words: bool) -> Iterator[Tokens]:
+    """Windows of one long text."""
+    at = again = before = 0
+    while True:
+        end = len(data)
+        if end - at > WINDOW:
+            cut = max(data.rfind(b" ", at, at + WINDOW), data.rfind(b"\n", at, at + WINDOW)) + 1
+            end = cut if cut > at + WINDOW // 2 else at + WINDOW
+        t = Tokens(np.frombuffer(data, np.uint8, end - at, at), np.zeros(1, np.int64), np.array([n], np.int64), again, before)
+        yield t
+        if end == len(data):
+            return
+        counted = np.nonzero(t.kind != SIGN)[0] if words else np.arange(len(t))
+        first = int(counted[max(0, len(counted) - overlap)]) if overlap and len(counted) else len(t)
+        if first < len(t) and t.at[first] <= (end - at) // 2:
+            first = len(t)  # tokens as long as half a window: no window may be all repetition
+        before += int((t.kind[:first] != SIGN).sum())
+        again = len(t) - first
+        at = at + int(t.at[first]) if again else end
+
+
+def windows(texts: list[str | None], overlap: int = 0, words: bool = False) -> Iterator[Tokens]:
+    """Tokens of all texts, window by window; ``doc`` counts texts from 0.
+
+    Windows of a text that has several begin with the last ``overlap`` tokens (with ``words``,
+    tokens other than signs) of the one before.
+    """
     held: list[bytes] = []
     docs: list[int] = []
     size = 0
@@ -91,17 +121,16 @@ def windows(texts: list[str | None]) -> Iterator[Tokens]:
 
     for n, text in enumerate(texts):
         data = (text or "").encode()
-        while data:
-            part = data
-            if len(data) > WINDOW:
-                cut = max(data.rfind(b" ", 0, WINDOW), data.rfind(b"\n", 0, WINDOW)) + 1
-                part = data[: cut or WINDOW]
-            if size + len(part) > WINDOW and held:
-                yield done()
-                held, docs, size = [], [], 0
-            held.append(part)
-            docs.append(n)
-            size += len(part)
-            data = data[len(part) :]
+        if not data:
+            continue
+        if held and size + len(data) > WINDOW:
+            yield done()
+            held, docs, size = [], [], 0
+        if len(data) > WINDOW:
+            yield from _long(data, n, overlap, words)
+            continue
+        held.append(data)
+        docs.append(n)
+        size += len(data)
     if held:
         yield done()

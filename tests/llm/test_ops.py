@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from colweave.llm import components, decontaminate, langid, licenses, mixing, quality, simhash, spans, token_counts, token_shards, topk, toxicity
+from colweave.llm import components, decontaminate, langid, licenses, mixing, quality, simhash, similar, spans, token_counts, token_shards, topk, toxicity
 from colweave.llm.store import fold
 
 AWKWARD = [None, "", " ", "\n\t ", "a", "A. ", "word " * 5000, "x" * 3000, "same text", "same text", "é ñ ß", "<|endoftext|>", "the MIT License", "日本語 テキスト"]
@@ -123,6 +123,83 @@ def test_near_duplicates(spark, awkward, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
+def brute_similar(texts, size=5, least=0.8):
+    """Texts' component (least place), by comparing all of them."""
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b and not a or len(a & b) >= least * len(a | b) and a & b:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("bucket", [48, 2])
+def test_similar_groups(spark, bucket):
+    r = random.Random(21)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(900)] + ["the", "of", "and"] * 90
+    texts = [None, "", " ", "one two", "ONE  two", "two one", "one"]
+    for size in (40, 120, 300):
+        for _ in range(10):
+            base = [r.choice(vocabulary) for _ in range(size)]
+            for _ in range(r.choice((1, 3, 9))):
+                w = list(base)
+                for _ in range(r.randint(0, size // 25)):
+                    w[r.randrange(size)] = r.choice(vocabulary)
+                texts.append(" ".join(w))
+    # equal words in other orders
+    few = [r.choice(vocabulary) for _ in range(30)]
+    texts += [" ".join(few), " ".join(few[::-1]), " ".join(few[::-1]).upper(), " ".join(few[15:] + few[:15])]
+    texts += [texts[20], texts[20]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {x.doc_id: x.component for x in similar.similar_groups(docs, bucket=bucket).collect()}
+    want = brute_similar(texts)
+    first = {}
+    for i in range(len(texts)):
+        first.setdefault(got[i], i)
+    linked = sum(1 for i in range(len(texts)) for j in range(i) if want[i] == want[j])
+    met = sum(1 for i in range(len(texts)) for j in range(i) if want[i] == want[j] and got[i] == got[j])
+    assert len(got) == len(texts) and met >= 0.97 * linked
+    assert not [(i, j) for i in range(len(texts)) for j in range(i) if got[i] == got[j] and want[i] != want[j]]
+    assert similar.similar_groups(docs.limit(0)).count() == 0
+
+
+def test_wide_fingerprint():
+    import xxhash
+
+    for t in ("", "a", "The cat the CAT sat", "x y z " * 9):
+        words = {w.lower() for w in t.split()}
+        hashes = [int.from_bytes(xxhash.xxh3_128_digest(w.encode()), "little") for w in words]
+        bits = [sum(h >> i & 1 for h in hashes) * 2 > len(hashes) for i in range(128)]
+        want = tuple(sum(1 << i for i in range(63) if bits[at + i]) for at in (0, 64))
+        assert similar.wide_fingerprint(similar.words_of(t)) == want
+
+
+@pytest.mark.parametrize("words", [1, 3])
+def test_fingerprint_is_the_majority_of_bits(words):
+    import xxhash
+
+    r = random.Random(words)
+    for n in (0, 1, 2, 3, 4, 50):
+        w = [r.choice(["A", "bb", "ç", "dd!"]) for _ in range(n)]
+        shingles = [" ".join(w[i : i + words]) for i in range(max(1, n - words + 1))] if n else []
+        hashes = [xxhash.xxh64_intdigest(s.replace("A", "a").encode(), 42) for s in shingles]
+        want = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes)) if n else 0
+        assert simhash.fingerprint("\t" + "  ".join(w) + "\n", words) == want
+
+
 def test_top_k(spark):
     r = np.random.default_rng(2)
     rows = [(i, [float(x) for x in r.normal(size=6) / 3]) for i in range(300)] + [(7, rows_same) for rows_same in [[0.5] * 6]] + [(301, [0.5] * 6), (350, [0.5] * 6), (400, None), (401, [None] * 6), (402, [float("nan")] * 6), (403, [float("inf")] + [0.0] * 5), (404, []), (405, [1.0, 2.0]), (None, [0.1] * 6)]
@@ -192,6 +269,24 @@ def test_spans_hash_alike_anywhere():
     assert sum(len(w) for w in spans.windows([long])) == 400_000
 
 
+def test_windows_of_long_texts():
+    r = random.Random(13)
+    text = " ".join(r.choice(["cat", "dog!", "42", "###", "ñu"]) for _ in range(400_000))
+    whole = [w for t in spans.windows([text]) for w in t.hash.tolist()]
+    for overlap, words in ((2, False), (50, True)):
+        parts = list(spans.windows(["a b", text, "c"], overlap=overlap, words=words))
+        assert sum(len(t) - t.again for t in parts) == len(whole) + 3
+        assert [w for t in parts[1:-1] for w in t.hash[t.again :].tolist()] == whole
+        before = 0
+        for t in parts[1:-1]:
+            kinds = t.kind[t.again :] != spans.SIGN
+            assert t.words_before == before - int((t.kind[: t.again] != spans.SIGN).sum())
+            before += int(kinds.sum())
+    few = [quality.dot([text[: spans.WINDOW - 10]], np.arange(1 << quality.BITS, dtype=np.float32))]
+    at = [x for t in spans.windows([text], overlap=2) for x in quality.features(t)[0].tolist()]
+    assert few and len(at) == 3 * len(whole) - 3
+
+
 def test_quality(spark, awkward, no_docs, labels):
     r = random.Random(3)
     rows = [(i, (" ".join(r.choice(["the", "cat", "sat", "mat", "on"]) for _ in range(30)) if i % 3 else " ".join(r.choice(["x###", "y$$$", "z%%%"]) for _ in range(30)))) for i in range(240)]
@@ -329,6 +424,33 @@ def test_leaks(spark, awkward, no_docs):
     assert decontaminate.find_leaks(awkward, bench.limit(0)).count() == 0
 
 
+def test_leaks_short_items_long_texts_and_cosines(spark):
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    prose = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(k, " ".join(prose(30)) + ". " + " ".join(prose(6)) + ".") for k in range(600)] + [(1000, "b2b zebra crossing"), (1001, "Ñandú"), (1002, "echo echo echo " + " ".join(prose(9)))]
+    docs = [(1, " ".join(prose(170_000)) + " " + items[5][1]), (2, "A b2b, zebra CROSSING here"), (3, "zebra b2b crossing"), (4, "ñandú!"), (5, items[-1][1]), (6, items[7][1].upper())]
+    # one item lies across a window's end
+    far = prose(300_000)
+    cut = len(" ".join(far).encode()[: spans.WINDOW].decode().split())
+    docs.append((7, " ".join(far[: cut - 17] + items[9][1].split() + far[cut - 17 :])))
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(1, 5), (2, 1000), (4, 1001), (5, 1002), (6, 7), (7, 9)}
+    start = {x.doc_id: x.start_word for x in got}
+    assert abs(start[7] - cut) < 150 and abs(start[1] - 170_000) < 150 and start[2] == 1
+    assert all(-1e-3 <= x.cosine <= 1 + 1e-3 for x in got)
+    assert all(x.cosine > 0.9 for x in got if x.doc_id in (5, 6))
+
+
+def test_lengths_of_passages():
+    bucket = np.array([3, 3, 3, 5, 3, 5], np.int64)
+    weight = np.zeros(1 << decontaminate.BITS, np.float32)
+    weight[[3, 5]] = 2, 1
+    space = decontaminate.Space(weight, np.zeros(0, np.int32), np.zeros((0, 0), np.float32))
+    got = space.lengths(bucket, np.array([0, 2]), np.array([4, 6]))
+    assert np.allclose(got, [np.sqrt(6**2 + 1), np.sqrt(4**2 + 2**2)])
+
+
 @pytest.mark.parametrize("share", [0.01, 0.1, 0.3, 0.9])
 def test_leaks_of_items_that_are_copied_often(spark, share):
     """Texts of one passage, against the longest common subsequence of every text and item."""
