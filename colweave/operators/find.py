@@ -1,9 +1,12 @@
-"""Pattern location in a block graph's rows.
+"""Pattern location in a block graph.
 
 A pattern *expands* if some suffix of it occurs in the indexable text and every occurrence
 there starts with one and the same shortest-prefix label.  The answer of one that expands is
 the set of rows whose ungapped text holds the pattern, with its aligned position; of one that
 doesn't, the number of its occurrences in the indexable text.
+
+Occurrences are walked through the graph: a pattern starts within a node's label, and goes on
+along edges, one node a step, with the rows that pass through all nodes so far.
 """
 
 from __future__ import annotations
@@ -11,52 +14,92 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colweave.functions.scratch import settle
+from colweave.operators import suffixes as S
 from colweave.operators import text as T
 
+#: Characters by which patterns and the rests of labels are joined.
+HEAD = 6
+
 
 def expanding(patterns: DataFrame, lines: DataFrame, found: DataFrame) -> DataFrame:
     """pattern, did_expand.
 
-    Suffixes of patterns are looked up among the substrings of the text's parts by equality;
-    each occurrence carries the labels that start there (prefixes of the rest of its part).
+    For a suffix q that occurs: a shortest-prefix label is a prefix of it, or q is a prefix of
+    one that occurs as often.
     """
     tails = patterns.select("pattern", F.explode(F.transform(F.sequence(F.lit(1), F.length("pattern")), lambda i: F.substring(F.col("pattern"), i, F.length("pattern")))).alias("q")).where("q <> ''")
-    lengths = F.broadcast(tails.select(F.length("q").alias("len")).distinct())
-    parts = lines.select(F.monotonically_increasing_id().alias("part"), F.col("text"))
-    spots = parts.select("text", F.posexplode(F.split("text", "")).alias("pos", "c")).select(F.expr("substring(text, pos + 1)").alias("rest"))
-    sized = spots.groupBy("rest").agg(F.count("*").alias("n"))
-    hits = sized.join(lengths, F.length("rest") >= F.col("len")).withColumn("q", F.expr("substring(rest, 1, len)")).join(tails.select("q").distinct(), "q")
-    labels = found.where("is_shortest_prefix AND label <> ''").select("label", "node_idx")
-    starts = hits.select("q", "rest", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("rest")), lambda k: F.substring(F.col("rest"), F.lit(1), k))).alias("label")).join(labels, "label").groupBy("q", "node_idx").agg(F.sum("n").alias("with_label"))
-    totals = hits.groupBy("q").agg(F.sum("n").alias("n"))
-    good = starts.join(totals, "q").where("with_label = n").select("q").distinct()
+    labels = found.where("is_shortest_prefix AND label <> ''").select("label").distinct()
+    texts = lines.select(F.col("off").alias("text_id"), F.col("text").alias("s"))
+    words = tails.select(F.col("q").alias("word")).unionByName(labels.select(F.col("label").alias("word"))).distinct()
+    counts = settle(T.word_counts(lambda size: S.text_blocks(texts, size), words), "word-counts")
+    q = tails.select("q").distinct().join(counts.withColumnsRenamed({"word": "q", "n": "n_q"}), "q")
+    v = labels.join(counts.withColumnsRenamed({"word": "label", "n": "n_v"}), "label")
+    prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n)))
+    longest = q.agg(F.max(F.length("q"))).first()[0] or 0
+    inside = q.select("q", prefixes("q").alias("label")).join(labels, "label", "left_semi").select("q")
+    heads = v.select("n_v", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("label"), F.lit(longest))), lambda n: F.substring(F.col("label"), F.lit(1), n))).alias("q")) if longest else v.select("n_v", F.col("label").alias("q")).limit(0)
+    around = q.join(heads, "q").where("n_q = n_v").select("q")
+    good = inside.unionByName(around).distinct()
     return patterns.join(tails.join(good, "q", "left_semi").select("pattern").distinct().withColumn("e", F.lit(True)), "pattern", "left").select(*patterns.columns, F.coalesce("e", F.lit(False)).alias("did_expand"))
 
 
-def occurrences(patterns: DataFrame, ranked: DataFrame, texts: DataFrame) -> DataFrame:
-    """pattern, seq_id, pos (ungapped), col (aligned): every occurrence in an ungapped row, by equality on substrings."""
-    lengths = F.broadcast(patterns.select(F.length("pattern").alias("len")).distinct())
-    spread = texts.join(lengths, F.col("len") <= F.length("s")).select("text_id", "s", "len", F.explode(F.sequence(F.lit(0), F.length("s") - F.col("len"))).alias("pos"))
-    kmers = spread.select(F.col("text_id").alias("seq_id"), "pos", F.substring(F.col("s"), F.col("pos") + 1, F.col("len")).alias("pattern"))
-    hits = kmers.join(F.broadcast(patterns.select("pattern").distinct()), "pattern")
-    place = ranked.where("ch <> '-'").select("seq_id", F.col("nb").alias("pos"), "col")
-    return hits.join(place, ["seq_id", "pos"])
+def node_rows(found: DataFrame, paths: DataFrame) -> DataFrame:
+    """node_idx, block_idx, label, rows (sorted)."""
+    rows = paths.groupBy("node_idx").agg(F.array_sort(F.collect_list("seq_id")).alias("rows"))
+    return found.select("node_idx", "block_idx", "label").join(rows, "node_idx")
+
+
+def locate(patterns: DataFrame, found: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """pattern, node_idx, block_idx, offset (in the node's label), rows (sorted): every occurrence that some row passes through.
+
+    As many rounds as the longest way of a pattern has nodes.
+    """
+    nodes = settle(node_rows(found, paths), "node-rows")
+    rests = nodes.where("label <> ''").select("node_idx", "block_idx", "rows", "label", F.explode(F.sequence(F.lit(0), F.length("label") - 1)).alias("offset"))
+    rests = rests.select("node_idx", "block_idx", "rows", "offset", F.expr("substring(label, offset + 1)").alias("rest"))
+    heads = lambda df, c: df.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.length(c), F.lit(HEAD))))).withColumn("head", F.substring(F.col(c), F.lit(1), F.col("size")))
+    asked = patterns.select("pattern").where("pattern <> ''").distinct()
+    # each pair of rest and pattern meets at the longest head that both have
+    met = heads(rests, "rest").join(heads(asked, "pattern"), ["size", "head"]).where(F.col("size") == F.least(F.length("rest"), F.length("pattern"), F.lit(HEAD)))
+    met = met.where(F.col("rest").startswith(F.col("pattern")) | F.col("pattern").startswith(F.col("rest")))
+    state = ["pattern", "node_idx", "block_idx", "offset", "rows", "at", "done"]
+    now = settle(met.select("pattern", "node_idx", "block_idx", "offset", "rows", F.col("node_idx").alias("at"), F.length("rest").alias("done")), "starts")
+    out = now.where("done >= length(pattern)")
+    step = edges.select(F.col("lhs_idx").alias("at"), F.col("rhs_idx").alias("to")).join(nodes.select(F.col("node_idx").alias("to"), "label", F.col("rows").alias("more")), "to")
+    step = settle(step, "steps")
+    while True:
+        now = now.where("done < length(pattern)")
+        if now.isEmpty():
+            break
+        left = F.expr("substring(pattern, done + 1)")
+        ahead = now.join(step, "at").withColumn("rows", F.array_intersect("rows", "more")).where((F.size("rows") > 0) & (F.col("label").startswith(left) | left.startswith(F.col("label"))))
+        now = settle(ahead.select("pattern", "node_idx", "block_idx", "offset", "rows", F.col("to").alias("at"), (F.col("done") + F.length("label")).alias("done")).select(*state), "walks")
+        out = out.unionByName(now.where("done >= length(pattern)"))
+    # ways that part and meet again end at different nodes: their rows are those of one occurrence
+    return out.groupBy("pattern", "node_idx", "block_idx", "offset").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rows")))).alias("rows"))
 
 
-def find(patterns: DataFrame, ranked: DataFrame, texts: DataFrame, seg: DataFrame, lines: DataFrame, found: DataFrame) -> DataFrame:
+def find(patterns: DataFrame, ranked: DataFrame, seg: DataFrame, lines: DataFrame, found: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
     """pattern, did_expand, match_count, block_aln_pos, match_offset, matches (row ids joined by ',').
 
-    block_aln_pos is the start of the block of the occurrence's first column; match_offset
-    counts aligned columns from there.  Patterns that don't expand have the number of
-    occurrences in the indexable text, position and offset 0 and no rows.
+    block_aln_pos is the start of the block of the first occurrence by aligned column;
+    match_offset counts aligned columns from there.  Patterns that don't expand have the number
+    of occurrences in the indexable text, position and offset 0 and no rows.
     """
-    marked = expanding(patterns.select("pattern").distinct(), lines, found)
-    hits = occurrences(marked.where("did_expand"), ranked, texts)
-    first = hits.groupBy("pattern").agg(F.min("col").cast("bigint").alias("col"), F.array_join(F.array_sort(F.collect_set("seq_id")), ",").alias("matches"), F.count_distinct("seq_id").alias("rows"))
-    starts = seg.select("lb", "rb")
-    placed = first.join(F.broadcast(starts), (F.col("col") >= F.col("lb")) & (F.col("col") < F.col("rb"))).select("pattern", "matches", "rows", "lb", (F.col("col") - F.col("lb")).alias("off"))
-    raw = T.pattern_counts(lines.select(F.lit(0).alias("text_id"), F.col("text").alias("s")), marked.where("NOT did_expand").select("pattern"))
-    return marked.join(placed, "pattern", "left").join(raw, "pattern", "left").select("pattern", "did_expand", F.coalesce("rows", "n", F.lit(0)).cast("bigint").alias("match_count"), F.coalesce("lb", F.lit(0)).alias("block_aln_pos"), F.coalesce("off", F.lit(0)).alias("match_offset"), F.coalesce("matches", F.lit("")).alias("matches"))
+    marked = settle(expanding(patterns.select("pattern").distinct(), lines, found), "expanding")
+    spots = settle(locate(marked.where("did_expand"), found, edges, paths), "occurrences")
+    rows = spots.groupBy("pattern").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rows")))).alias("ids"), F.min("block_idx").alias("block_idx"))
+    # columns are asked of the gap index for the first block's occurrences only
+    first = spots.join(rows.select("pattern", "block_idx"), ["pattern", "block_idx"]).select("pattern", "block_idx", "offset", F.explode("rows").alias("seq_id"))
+    base = ranked.join(seg.select("block_idx", F.col("lb").cast("int").alias("col")), "col").select("block_idx", "seq_id", F.col("nb").alias("before"))
+    place = ranked.where("ch <> '-'").select("seq_id", "nb", "col")
+    placed = first.join(base, ["block_idx", "seq_id"]).withColumn("nb", F.col("before") + F.col("offset")).join(place, ["seq_id", "nb"])
+    start = placed.groupBy("pattern", "block_idx").agg(F.min("col").cast("bigint").alias("col")).join(seg.select("block_idx", "lb"), "block_idx")
+    answer = rows.drop("block_idx").join(start, "pattern").select("pattern", F.size("ids").alias("rows"), F.array_join("ids", ",").alias("matches"), "lb", (F.col("col") - F.col("lb")).alias("off"))
+    raw = T.pattern_counts(lines.select(F.col("off").alias("text_id"), F.col("text").alias("s")), marked.where("NOT did_expand").select("pattern"))
+    both = marked.join(answer, "pattern", "left").join(raw, "pattern", "left")
+    return both.select("pattern", "did_expand", F.coalesce("rows", "n", F.lit(0)).cast("bigint").alias("match_count"), F.coalesce("lb", F.lit(0)).alias("block_aln_pos"), F.coalesce("off", F.lit(0)).alias("match_offset"), F.coalesce("matches", F.lit("")).alias("matches"))
 
 
 def rows_through(paths: DataFrame, chosen: DataFrame, every: bool) -> DataFrame:

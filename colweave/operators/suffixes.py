@@ -173,7 +173,7 @@ def suffix_order(texts: DataFrame, length: int = PIECE) -> DataFrame:
     last: DataFrame | None = None
     blocks = settle(text_blocks(texts, BLOCK), "blocks")
     size = F.length("s")
-    now = texts.where(size > 0).select(F.col("text_id").cast("bigint"), F.explode(F.sequence(F.lit(0), size - 1)).cast("bigint").alias("pos"), size.cast("bigint").alias("all"))
+    now = texts.where(size > 0).select(F.col("text_id").cast("bigint"), F.explode(F.sequence(F.lit(0).cast("bigint"), size.cast("bigint") - 1)).alias("pos"), size.cast("bigint").alias("all"))
     now = now.select("text_id", "pos", (F.col("all") - F.col("pos")).alias("size"), F.lit(0).cast("bigint").alias("group"))
     base = None
     offset, step = 0, length

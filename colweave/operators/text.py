@@ -1,81 +1,111 @@
-"""Suffix-order operators over a table of texts (text_id, s): suffix arrays, common prefixes, transforms, counts.
-
-Suffixes are compared by their first ``length`` characters, ties by (text_id, pos): exact as
-long as no repeat is longer, which ``complete`` suffix arrays ensure by prefix doubling.
-"""
+"""Text operators over a table of texts (text_id, s): order of suffixes, ranges and counts of patterns, transforms, runs."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colweave.functions.scratch import settle
+from colweave.operators import suffixes as S
+
+#: Characters by which longer words are looked up before they are compared.
+SEED = 12
 
 
 def suffixes(texts: DataFrame, length: int) -> DataFrame:
-    """text_id, pos (from 0), suf, prev_char ('$' before the start)."""
-    spread = texts.where(F.length("s") > 0).select("text_id", "s", F.explode(F.sequence(F.lit(0), F.length("s") - 1)).alias("pos"))
-    return spread.select("text_id", "pos", F.substring(F.col("s"), F.col("pos") + 1, F.lit(length)).alias("suf"), F.when(F.col("pos") == 0, "$").otherwise(F.substring(F.col("s"), F.col("pos"), F.lit(1))).alias("prev_char"))
-
-
-def suffix_array(texts: DataFrame, length: int, head: int = 2) -> DataFrame:
-    """Suffixes with idx (rank from 0) and lcp with the one before; sorted in parts by their first characters."""
-    cut = suffixes(texts, length).withColumn("head", F.substring("suf", 1, head))
-    sizes = cut.groupBy("head").agg(F.count("*").alias("n"), F.max(F.struct("suf", "text_id", "pos")).alias("last"))
-    over = Window.orderBy("head")
-    base = sizes.select("head", (F.sum("n").over(over) - F.col("n")).alias("base"), F.lag("last.suf").over(over).alias("left"))
-    order = Window.partitionBy("head").orderBy("suf", "text_id", "pos")
-    placed = cut.withColumn("own", F.row_number().over(order) - 1).withColumn("before", F.lag("suf").over(order)).join(F.broadcast(base), "head")
-    before = F.coalesce("before", "left")
-    size = F.least(F.length("suf"), F.length(before))
-    same = F.zip_with(F.split(F.substring(F.col("suf"), F.lit(1), size), ""), F.split(F.substring(before, F.lit(1), size), ""), lambda x, y: x == y)
-    first = F.array_position(same, F.lit(False))
-    lcp = F.when(before.isNull() | (size == 0), 0).when(first == 0, size).otherwise(first - 1)
-    return placed.select((F.col("own") + F.col("base")).cast("bigint").alias("idx"), "text_id", "pos", "suf", "prev_char", lcp.cast("int").alias("lcp"))
-
-
-def doubled_ranks(texts: DataFrame) -> DataFrame:
-    """text_id, pos, rank: exact ranks of whole suffixes by prefix doubling, equal ones alike; log2(longest repeat) rounds."""
-    order = Window.orderBy("k")
-    start = suffixes(texts, 1)
-    keys = start.select("suf").distinct().select("suf", F.col("suf").alias("k"))
-    now = settle(start.join(F.broadcast(keys.select("suf", F.dense_rank().over(order).cast("bigint").alias("rank"))), "suf").select("text_id", "pos", "rank"), "ranks")
-    step, classes = 1, now.select("rank").distinct().count()
-    while True:
-        ahead = now.select("text_id", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
-        pairs = now.join(ahead, ["text_id", "pos"], "left").select("text_id", "pos", F.struct("rank", F.coalesce("next", F.lit(0)).alias("next")).alias("k"))
-        # ranks of distinct pairs, dealt by the first rank: the old ranks leave room for the new ones
-        sizes = pairs.select("k").distinct()
-        inner = sizes.withColumn("i", F.row_number().over(Window.partitionBy("k.rank").orderBy("k")))
-        base = inner.groupBy(F.col("k.rank").alias("r")).agg(F.max("i").alias("n")).select("r", (F.sum("n").over(Window.orderBy("r")) - F.col("n")).alias("b"))
-        named = inner.join(base, F.col("k.rank") == F.col("r")).select("k", (F.col("b") + F.col("i")).cast("bigint").alias("rank"))
-        now = settle(pairs.join(named, "k").select("text_id", "pos", "rank"), "ranks")
-        step, count = step * 2, now.select("rank").distinct().count()
-        if count == classes:
-            return now
-        classes = count
-
-
-def pattern_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, n: occurrences in all texts, overlapping ones included, through an equi-join on substrings of the patterns' lengths."""
-    lengths = F.broadcast(patterns.select(F.length("pattern").alias("len")).distinct())
-    spread = texts.join(lengths, F.col("len") <= F.length("s")).select("len", "s", F.explode(F.sequence(F.lit(0), F.length("s") - F.col("len"))).alias("pos"))
-    kmers = spread.select(F.substring(F.col("s"), F.col("pos") + 1, F.col("len")).alias("pattern"))
-    found = kmers.join(F.broadcast(patterns.select("pattern").distinct()), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"))
-    return patterns.select("pattern").distinct().join(found, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"))
+    """text_id, pos (from 0), suf (its first ``length`` characters, ``suffixes.BLOCK`` at most), prev_char ('$' before the start)."""
+    blocks = S.text_blocks(texts, S.BLOCK)
+    spread = blocks.select("text_id", "block", "text", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"))
+    here = spread.select("text_id", (F.col("block") * S.BLOCK + F.col("i")).alias("pos"), F.substring(F.col("text"), F.col("i") + 1, F.lit(length)).alias("suf"))
+    before = here.select("text_id", (F.col("pos") + 1).alias("pos"), F.substring("suf", 1, 1).alias("c"))
+    return here.join(before, ["text_id", "pos"], "left").select("text_id", F.col("pos").cast("int").alias("pos"), "suf", F.coalesce("c", F.lit("$")).alias("prev_char"))
 
 
-def left_extensions(texts: DataFrame, length: int) -> DataFrame:
-    """kmer, symbols: sorted distinct characters before each substring of ``length`` characters."""
-    return suffixes(texts, length).where(F.length("suf") == length).groupBy(F.col("suf").alias("kmer")).agg(F.array_join(F.array_sort(F.collect_set("prev_char")), "").alias("symbols"))
+def suffix_array(texts: DataFrame) -> DataFrame:
+    """text_id, pos, idx (rank from 0), lcp (with the one before), ch (the character before it): whole suffixes, equal ones by text_id and pos."""
+    return S.suffix_order(texts)
 
 
 def bwt(ordered: DataFrame) -> DataFrame:
-    return ordered.select("idx", F.col("prev_char").alias("ch"))
+    return ordered.select("idx", "ch")
+
+
+def _spots(blocks: DataFrame, longest: int) -> DataFrame:
+    """win: the next ``longest`` characters from every position."""
+    spread = blocks.select("text_id", "block", "text", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"))
+    return spread.select("text_id", "block", "i", F.substring(F.col("text"), F.col("i") + 1, F.lit(longest)).alias("win"))
+
+
+def _seeded(words: DataFrame) -> DataFrame:
+    """word, size (of its seed), seed."""
+    size = F.least(F.length("word"), F.lit(SEED))
+    return words.where("word <> ''").select("word", size.alias("size"), F.substring(F.col("word"), F.lit(1), size).alias("seed"))
+
+
+def word_counts(blocks_of: Callable[[int], DataFrame], words: DataFrame) -> DataFrame:
+    """word, n: occurrences in all texts of each different word that occurs, overlapping ones included.
+
+    ``blocks_of`` gives the texts in blocks of a size.  Linear in the texts: from every position one substring for each length of a seed (``SEED``
+    characters at most), counted before they meet the words; longer words are compared where
+    their seed occurs.
+    """
+    seeded = _seeded(words.select("word").distinct())
+    facts = seeded.agg(F.max(F.length("word")).alias("longest"), F.collect_set("size").alias("sizes")).first()
+    if not facts.longest:
+        return words.select("word", F.lit(0).cast("bigint").alias("n")).limit(0)
+    blocks = blocks_of(max(S.BLOCK, facts.longest))
+    spots = _spots(blocks, facts.longest).select("win", F.explode(F.lit(sorted(facts.sizes))).alias("size")).where(F.length("win") >= F.col("size"))
+    keyed = spots.select("win", "size", F.substring(F.col("win"), F.lit(1), F.col("size")).alias("seed"))
+    short = keyed.groupBy("size", "seed").agg(F.count("*").alias("n")).join(seeded.where(F.length("word") == F.col("size")), ["size", "seed"]).select("word", "n")
+    long = keyed.where(F.length("win") > SEED).join(seeded.where(F.length("word") > SEED), ["size", "seed"]).where(F.col("win").startswith(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
+    return short.unionByName(long)
+
+
+def pattern_counts(texts: DataFrame | Callable[[int], DataFrame], patterns: DataFrame) -> DataFrame:
+    """pattern, n: occurrences of each different pattern in texts, or in what gives their blocks; 0 for those that don't occur."""
+    each = patterns.select("pattern").distinct()
+    found = word_counts(texts if callable(texts) else lambda size: S.text_blocks(texts, size), each.select(F.col("pattern").alias("word"))).withColumnRenamed("word", "pattern")
+    return each.join(found, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def pattern_ranges(texts: DataFrame, patterns: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """pattern, lb, rb (closed): ranks of the suffixes that start with each pattern that occurs."""
+    order = suffix_array(texts) if order is None else order
+    seeded = _seeded(patterns.select(F.col("pattern").alias("word")).distinct())
+    facts = seeded.agg(F.max(F.length("word")).alias("longest"), F.collect_set("size").alias("sizes")).first()
+    size = max(S.BLOCK, facts.longest or 1)
+    spots = _spots(S.text_blocks(texts, size), facts.longest or 1).select("text_id", (F.col("block") * size + F.col("i")).alias("pos"), "win", F.explode(F.lit(sorted(facts.sizes or [1]))).alias("size"))
+    met = spots.select("*", F.substring(F.col("win"), F.lit(1), F.col("size")).alias("seed")).join(seeded, ["size", "seed"]).where(F.col("win").startswith(F.col("word")))
+    return met.select("text_id", F.col("pos").cast("int").alias("pos"), "word").join(order.select("text_id", "pos", "idx"), ["text_id", "pos"]).groupBy(F.col("word").alias("pattern")).agg(F.min("idx").alias("lb"), F.max("idx").alias("rb"))
+
+
+def bidirectional_ranges(texts: DataFrame, patterns: DataFrame, order: DataFrame | None = None, reverse_order: DataFrame | None = None) -> DataFrame:
+    """pattern, lb, rb, co_lb, co_rb: ranks of suffixes that start with the pattern, and of reversed prefixes that start with it reversed."""
+    back = texts.select("text_id", F.reverse("s").alias("s"))
+    ahead = pattern_ranges(texts, patterns, order)
+    behind = pattern_ranges(back, patterns.select(F.reverse("pattern").alias("pattern")), reverse_order).select(F.reverse("pattern").alias("pattern"), F.col("lb").alias("co_lb"), F.col("rb").alias("co_rb"))
+    return ahead.join(behind, "pattern")
+
+
+def left_extensions(texts: DataFrame, length: int) -> DataFrame:
+    """kmer, symbols: sorted distinct characters before each substring of ``length`` characters."""
+    return suffixes(texts, length).where(F.length("suf") == length).groupBy(F.col("suf").alias("kmer")).agg(F.array_join(F.array_sort(F.collect_set("prev_char")), "").alias("symbols"))
 
 
-def run_lengths(values: DataFrame, part: str, order: str, value: str) -> DataFrame:
-    """part, run (from 0), value, n: maximal runs of equal values along ``order``."""
-    w = Window.partitionBy(part).orderBy(order)
-    marked = values.withColumn("__new", F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)).withColumn("run", (F.sum("__new").over(w) - 1).cast("bigint"))
-    return marked.groupBy(part, "run").agg(F.first(value).alias(value), F.count("*").alias("n"))
+def run_lengths(values: DataFrame, part: str, order: str, value: str, stretch: int = 4096) -> DataFrame:
+    """part, run (from 0), value, n: maximal runs of equal values along the integers ``order``, from 0 without holes.
+
+    A run starts where the value differs from the one before; runs are numbered in stretches.
+    """
+    cut = values.select(part, order, value, F.floor(F.col(order) / stretch).alias("__s"))
+    inner = Window.partitionBy(part, "__s").orderBy(order)
+    # the last value of a stretch stands before the first one of the next
+    ends = cut.groupBy(part, "__s").agg(F.max_by(F.struct(value), order).alias("__e")).select(part, (F.col("__s") + 1).alias("__s"), "__e")
+    before = F.when(F.row_number().over(inner) == 1, F.col("__e")).otherwise(F.lag(F.struct(value)).over(inner))
+    marked = cut.join(ends, [part, "__s"], "left").withColumn("__new", F.when(before.isNotNull() & before[value].eqNullSafe(F.col(value)), 0).otherwise(1))
+    sums = marked.groupBy(part, "__s").agg(F.sum("__new").alias("__n"))
+    base = sums.select(part, "__s", (F.sum("__n").over(Window.partitionBy(part).orderBy("__s")) - F.col("__n")).alias("__b"))
+    run = (F.sum("__new").over(inner) + F.col("__b") - 1).cast("bigint")
+    numbered = marked.join(base, [part, "__s"]).withColumn("run", run)
+    return numbered.groupBy(part, "run").agg(F.first(value).alias(value), F.count("*").alias("n"))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from colweave.functions.order import numbered
 from colweave.functions.scratch import settle
 from colweave.operators import alignment as A
 from colweave.operators import find as Q
 from colweave.operators import graph as B
 from colweave.operators import segmentation as G
+from colweave.operators import suffixes as S
 from colweave.operators import text as X
 from colweave.operators import tools as T
 from colweave.plans.oracle import sql
@@ -22,7 +22,7 @@ ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    """The derived alignment's tables for a session and folder, each computed once when first asked for."""
+    """The derived alignment's tables for a folder's present files, each computed once when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir, self._known = spark, sf_dir.rstrip("/"), {}
@@ -47,13 +47,9 @@ class Tables:
     def msa(self) -> DataFrame:
         return A.rows_of(self.cells)
 
-    @property
-    def ungapped(self) -> DataFrame:
-        return self.msa.select(F.col("seq_id").alias("text_id"), A.degap(F.col("seq")).alias("s"))
-
     @property
     def prefixes(self) -> DataFrame:
-        return self._once("prefixes", lambda: G.unique_prefixes(self.ranked, 96))
+        return self._once("prefixes", lambda: G.unique_prefixes(self.ranked))
 
     @property
     def raw(self) -> DataFrame:
@@ -96,13 +92,29 @@ class Tables:
         return own.unionByName(self.spark.createDataFrame([("ACGTTGCAACGT",), ("GG",)], "pattern string")).distinct()
 
 
-@lru_cache(maxsize=8)
-def _tables(app: str, session: int, sf_dir: str) -> Tables:
-    return Tables(SparkSession.active(), sf_dir)
+_KNOWN: dict[tuple, Tables] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells the state of the files that ``Tables`` are derived from: names, sizes and times of change."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir.rstrip('/')}/part.parquet").select("path", "length", F.col("modificationTime").cast("double").alias("time"))
+    one = files.agg(F.count("*"), F.sum("length"), F.max("time"), F.bit_xor(F.xxhash64("path", "length", "time"))).first()
+    return tuple(one)
+
+
+def forget() -> None:
+    """Let the next query compute all that it needs."""
+    _KNOWN.clear()
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    t = _tables(spark.sparkContext.applicationId, id(spark), sf_dir)
+    """Tables of a folder, shared by queries of one application as long as its files stay as they are."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _stamp(spark, sf_dir))
+    if key not in _KNOWN:
+        for old in [k for k in _KNOWN if k[:2] == key[:2] or k[0] != key[0]]:
+            del _KNOWN[old]
+        _KNOWN[key] = Tables(spark, sf_dir)
+    t = _KNOWN[key]
     t.spark = spark
     return t
 
@@ -201,12 +213,8 @@ def length_summary(t: Tables) -> DataFrame:
 
 @query("SELECT CAST(row_number() OVER (ORDER BY rb DESC, lb DESC) AS INT) AS pos, lb, rb FROM ivs")
 def intervals_by_rb(t: Tables) -> DataFrame:
-    """Positions in two levels: blocks of right bounds, then within them."""
-    half = t.raw.where("rb IS NOT NULL").select("lb", (F.col("rb") + 1).alias("rb")).withColumn("s", F.floor(F.col("rb") / 4096))
-    sizes = half.groupBy("s").agg(F.count("*").alias("n"))
-    base = sizes.select("s", (F.sum("n").over(Window.orderBy(F.desc("s"))) - F.col("n")).alias("base"))
-    own = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("rb"), F.desc("lb")))
-    return half.withColumn("own", own).join(F.broadcast(base), "s").select((F.col("own") + F.col("base")).cast("int").alias("pos"), "lb", "rb")
+    half = t.raw.where("rb IS NOT NULL").select("lb", (F.col("rb") + 1).alias("rb"))
+    return numbered(half, [F.desc("rb"), F.desc("lb")], "pos").select((F.col("pos") + 1).cast("int").alias("pos"), "lb", "rb")
 
 
 @query("SELECT block_idx, lb, rb FROM seg")
@@ -214,11 +222,16 @@ def max_blocks(t: Tables) -> DataFrame:
     return G.max_blocks(t.raw)
 
 
-@query(None)
+@query("SELECT list_extract(best, 1) AS min_max_len FROM least WHERE a = 0")
 def min_max_block_len(t: Tables) -> DataFrame:
     return G.min_longest_block(t.raw)
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY a) - 1 AS INT) AS block_idx, a AS lb, coalesce(lead(a) OVER (ORDER BY a), (SELECT max(lb) + 1 FROM raw)) AS rb FROM shortchain WHERE a <= (SELECT max(lb) FROM raw)")
+def min_longest_blocks(t: Tables) -> DataFrame:
+    return G.min_longest_blocks(t.raw)
+
+
 @query("SELECT s.block_idx, s.lb, s.rb, coalesce(s.rb >= r.rb + 1, false) AS ok FROM (SELECT block_idx, lb, rb FROM seg UNION ALL SELECT block_idx + 1000000, lb + 1, lb + 3 FROM seg) s LEFT JOIN raw r ON r.lb = s.lb")
 def check_segmentation(t: Tables) -> DataFrame:
     wrong = t.seg.select((F.col("block_idx") + 1000000).alias("block_idx"), (F.col("lb") + 1).alias("lb"), (F.col("lb") + 3).alias("rb"))
@@ -324,9 +337,10 @@ def path_or(t: Tables) -> DataFrame:
     return Q.rows_through(t.paths, t.nodes.where("node_idx % 7 = 0 AND node_idx < 70"), every=False)
 
 
-@query("SELECT seq_id FROM paths WHERE node_idx IN (SELECT min(node_idx) FROM nodes WHERE block_idx <= 1 GROUP BY block_idx) GROUP BY seq_id HAVING count(DISTINCT node_idx) = (SELECT count(DISTINCT block_idx) FROM nodes WHERE block_idx <= 1)")
+@query("SELECT seq_id FROM paths WHERE node_idx IN (SELECT node_idx FROM paths JOIN nodes USING (node_idx) WHERE seq_id = 3 AND block_idx <= 1) GROUP BY seq_id HAVING count(DISTINCT node_idx) = (SELECT count(DISTINCT block_idx) FROM nodes WHERE block_idx <= 1)")
 def path_and(t: Tables) -> DataFrame:
-    chosen = t.nodes.where("block_idx <= 1").groupBy("block_idx").agg(F.min("node_idx").alias("node_idx"))
+    """Rows that run with row 3 through the first two blocks."""
+    chosen = t.paths.where("seq_id = 3").join(t.nodes.where("block_idx <= 1"), "node_idx").select("node_idx")
     return Q.rows_through(t.paths, chosen, every=True)
 
 
@@ -337,9 +351,64 @@ def match_paths(t: Tables) -> DataFrame:
     return both.groupBy("lhs_idx", "rhs_idx").agg(F.array_join(F.array_sort(F.collect_list("seq_id")), ",").alias("matches"), F.count("*").alias("n"))
 
 
-@query("SELECT block_idx, lhs, rhs FROM edges WHERE starts_with(lhs_label || rhs_label, 'ACG')")
+@query("SELECT DISTINCT h.head, e.block_idx, e.lhs, e.rhs FROM edges e JOIN (SELECT DISTINCT substr(pattern, 1, 5) AS head FROM pats) h ON starts_with(e.lhs_label || e.rhs_label, h.head)")
 def right_edges(t: Tables) -> DataFrame:
-    return t.edges.where(F.concat("lhs_label", "rhs_label").startswith("ACG")).select("block_idx", "lhs", "rhs")
+    heads = t.patterns.select(F.substring("pattern", 1, 5).alias("head")).distinct()
+    return B.right_edges(t.edges, heads).select("head", "block_idx", "lhs", "rhs")
+
+
+@query("SELECT e.rhs_idx AS node_idx, c.tail, e.lhs_idx FROM edges e JOIN (SELECT node_idx, substr(label, -2) AS tail FROM nodes WHERE node_idx % 5 = 0) c ON c.node_idx = e.rhs_idx WHERE ends_with(e.lhs_label || e.rhs_label, c.tail)")
+def left_neighbours(t: Tables) -> DataFrame:
+    return B.left_neighbours(t.edges, t.nodes.where("node_idx % 5 = 0").select("node_idx", F.expr("substring(label, -2)").alias("tail")))
+
+
+@query("""
+SELECT 'X' AS vector, pos, CAST(label_len AS BIGINT) AS value FROM shortest UNION ALL SELECT 'N', pos, block_idx FROM shortest
+UNION ALL SELECT 'I', row_number() OVER (ORDER BY reverse(label), block_idx) - 1, node_idx FROM nodes
+UNION ALL SELECT 'B', block_idx, height FROM blocks UNION ALL SELECT 'M', block_idx, aligned_position FROM blocks
+UNION ALL SELECT 'D', alpha, lhs_idx FROM ealpha UNION ALL SELECT 'A', alpha, lhs FROM ealpha UNION ALL SELECT 'R', alpha, rho_diff FROM ealpha
+UNION ALL SELECT 'At', alpha_tilde, rhs FROM ealpha UNION ALL SELECT 'L', alpha_tilde, rho_diff FROM ealpha""")
+def support_vectors(t: Tables) -> DataFrame:
+    return B.support_vectors(t.nodes, t.edges, B.edge_ranks(t.edges), B.blocks(t.nodes, t.seg))
+
+
+@query("SELECT block_idx, height, CAST(sum(height + 1) OVER (ORDER BY block_idx) - 1 AS BIGINT) AS mark FROM blocks")
+def unary_heights(t: Tables) -> DataFrame:
+    return B.unary(B.blocks(t.nodes, t.seg).select("block_idx", "height"), "block_idx", "height")
+
+
+@query("SELECT max(block_idx) + 1 AS block_idx, (SELECT CAST(max(col) + 1 AS BIGINT) FROM cells) AS aligned_position, 0 AS height, count(*) AS node_csum, CAST(sum(label_len) AS BIGINT) AS node_label_length_csum FROM nodes")
+def sentinel_block(t: Tables) -> DataFrame:
+    return B.sentinel(t.nodes, t.ranked)
+
+
+@query("SELECT seq_id, col, covered, coalesce(lag(covered, 1) OVER w, 0) AS lag1, coalesce(lag(covered, 2) OVER w, 0) AS lag2 FROM (SELECT seq_id, col, CAST(nb + CASE WHEN ch <> '-' THEN 1 ELSE 0 END AS INT) AS covered FROM ranked) WINDOW w AS (PARTITION BY seq_id ORDER BY col)")
+def running_coverage(t: Tables) -> DataFrame:
+    return T.running_coverage(t.ranked)
+
+
+@query("SELECT seq_id, count(*) AS n FROM (SELECT seq_id FROM cells WHERE col < 3 UNION ALL SELECT seq_id + 4 FROM cells WHERE col = 0) GROUP BY seq_id HAVING count(*) > 1")
+def repeated_ids(t: Tables) -> DataFrame:
+    return T.repeated_ids(t.cells.where("col < 3").select("seq_id").unionByName(t.cells.where("col = 0").select((F.col("seq_id") + 4).alias("seq_id"))))
+
+
+@query("SELECT lb, rb, length(bin(rb)) AS bits, CAST(((rb + 62) // 63) * 63 AS BIGINT) AS padded FROM raw WHERE rb > 0")
+def bit_widths(t: Tables) -> DataFrame:
+    return t.raw.where("rb > 0").select("lb", "rb", T.bits_needed(F.col("rb")).cast("bigint").alias("bits"), T.round_up(F.col("rb"), 63).alias("padded"))
+
+
+@query("SELECT pattern, (SELECT count(*) FROM parts WHERE ends_with(text, pattern || '#')) AS n FROM pats")
+def terminated_count(t: Tables) -> DataFrame:
+    """Patterns at the end of the indexable text's parts."""
+    texts = t.lines.select(F.col("off").alias("text_id"), F.col("text").alias("s"))
+    counts = X.pattern_counts(texts, t.patterns.select(F.concat("pattern", F.lit("#")).alias("pattern")))
+    return counts.select(F.expr("substring(pattern, 1, length(pattern) - 1)").alias("pattern"), "n")
+
+
+@query("SELECT a.pattern, a.lb, a.rb, b.lb AS co_lb, b.rb AS co_rb FROM (SELECT pattern, min(idx) AS lb, max(idx) AS rb FROM sa JOIN kmers_ ON starts_with(suf, pattern) GROUP BY pattern) a JOIN (SELECT pattern, min(idx) AS lb, max(idx) AS rb FROM rsa JOIN kmers_ ON starts_with(suf, reverse(pattern)) GROUP BY pattern) b USING (pattern)")
+def bidirectional_ranges(t: Tables) -> DataFrame:
+    patterns = t.names.select(F.substring("s", 1, 3).alias("pattern")).unionByName(t.names.select(F.substring("s", 2, 4).alias("pattern"))).where("pattern <> ''").distinct()
+    return X.bidirectional_ranges(t.names, patterns)
 
 
 @query("SELECT block_idx, lhs, rhs FROM edges WHERE ends_with(lhs_label || rhs_label, 'TA')")
@@ -361,11 +430,11 @@ def compare_gap_index(t: Tables) -> DataFrame:
     return c.groupBy("seq_id").agg(F.count_if(F.col("status") == "SAME").alias("same"), F.count_if(F.col("status") != "SAME").alias("different"))
 
 
-@query("SELECT key, coalesce(string_agg(substr(s, CAST(i AS BIGINT) + 1, 1), '' ORDER BY i), '') AS kept FROM (SELECT key, s, unnest(range(length(s))) AS i FROM evt) x WHERE NOT EXISTS (SELECT 1 FROM evr r WHERE r.key = x.key AND i >= r.lb AND i < r.rb) GROUP BY key")
+@query("SELECT t.key, coalesce(k.kept, '') AS kept FROM evt t LEFT JOIN (SELECT key, string_agg(substr(s, CAST(i AS BIGINT) + 1, 1), '' ORDER BY i) AS kept FROM (SELECT key, s, unnest(range(length(s))) AS i FROM evt) x WHERE NOT EXISTS (SELECT 1 FROM evr r WHERE r.key = x.key AND i >= r.lb AND i < r.rb) GROUP BY key) k ON k.key = t.key")
 def remove_ranges(t: Tables) -> DataFrame:
     e = t.read("events").select(F.col("user_id").alias("key"), (F.col("event_id") % 19).alias("lb"), (F.col("event_id") % 19 + 1 + F.col("event_id") % 7).alias("rb"))
     texts = e.select("key").distinct().select("key", F.concat(F.lit("the quick brown fox "), F.col("key").cast("string")).alias("s"))
-    return T.remove_ranges(texts, e).where("kept <> ''")
+    return T.remove_ranges(texts, e)
 
 
 @query("SELECT seq_id, run, any_value(v) AS ch, count(*) AS n FROM (SELECT seq_id, v, CAST(sum(fresh) OVER (PARTITION BY seq_id ORDER BY col) - 1 AS BIGINT) AS run FROM (SELECT seq_id, col, ch AS v, CASE WHEN ch = lag(ch) OVER (PARTITION BY seq_id ORDER BY col) THEN 0 ELSE 1 END AS fresh FROM cells)) GROUP BY seq_id, run")
@@ -373,24 +442,31 @@ def run_lengths(t: Tables) -> DataFrame:
     return X.run_lengths(t.cells, "seq_id", "col", "ch")
 
 
-@query("SELECT lb, rb >> 3 AS high, rb & 7 AS low FROM raw WHERE rb IS NOT NULL")
+@query("SELECT lb, v >> 3 AS high, v & 7 AS low, (v >> 3) + lb AS mark FROM (SELECT lb, CAST(max(coalesce(rb, 0)) OVER (ORDER BY lb) AS BIGINT) AS v FROM raw)")
 def elias_split(t: Tables) -> DataFrame:
-    return T.elias_split(t.raw.where("rb IS NOT NULL"), "rb", 3).select("lb", "high", "low")
+    """The running maxima of right bounds."""
+    most = t.raw.select("lb", F.coalesce("rb", F.lit(0)).alias("rb"))
+    cut = most.withColumn("s", F.floor(F.col("lb") / 4096))
+    tops = cut.groupBy("s").agg(F.max("rb").alias("top"))
+    before = tops.select("s", F.max("top").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    own = F.max("rb").over(Window.partitionBy("s").orderBy("lb"))
+    values = cut.withColumn("own", own).join(F.broadcast(before), "s").select("lb", F.greatest("own", "before").cast("bigint").alias("v"))
+    return T.elias_split(values, "v", 3, "lb").select("lb", "high", "low", "mark")
 
 
 @query("SELECT idx, text_id, pos FROM sa")
 def suffix_array(t: Tables) -> DataFrame:
-    return X.suffix_array(t.names, 32).select("idx", "text_id", "pos")
+    return X.suffix_array(t.names).select("idx", "text_id", "pos")
 
 
-@query("SELECT idx, CAST(CASE WHEN p IS NULL THEN 0 ELSE (SELECT count(*) FROM (SELECT unnest(range(1, 33)) AS k) z WHERE k <= length(suf) AND k <= length(p) AND substr(suf, 1, CAST(k AS BIGINT)) = substr(p, 1, CAST(k AS BIGINT))) END AS INT) AS lcp FROM (SELECT idx, suf, lag(suf) OVER (ORDER BY idx) AS p FROM sa)")
+@query("SELECT idx, CAST(CASE WHEN p IS NULL THEN 0 ELSE (SELECT count(*) FROM (SELECT unnest(range(1, least(length(suf), length(p)) + 1)) AS k) z WHERE substr(suf, 1, CAST(k AS BIGINT)) = substr(p, 1, CAST(k AS BIGINT))) END AS INT) AS lcp FROM (SELECT idx, suf, lag(suf) OVER (ORDER BY idx) AS p FROM sa)")
 def lcp_array(t: Tables) -> DataFrame:
-    return X.suffix_array(t.names, 32).select("idx", "lcp")
+    return X.suffix_array(t.names).select("idx", "lcp")
 
 
 @query("SELECT idx, prev_char AS ch FROM sa")
 def bwt(t: Tables) -> DataFrame:
-    return X.bwt(X.suffix_array(t.names, 32))
+    return X.bwt(X.suffix_array(t.names))
 
 
 @query("SELECT substr(suf, 1, 3) AS kmer, string_agg(DISTINCT prev_char, '' ORDER BY prev_char) AS symbols FROM sufs WHERE length(suf) >= 3 GROUP BY 1")
@@ -400,15 +476,15 @@ def left_extensions(t: Tables) -> DataFrame:
 
 @query("SELECT pattern, (SELECT count(*) FROM (SELECT s, unnest(range(1, length(s) + 1)) AS p FROM ungapped) u WHERE substr(s, p, length(pattern)) = pattern) AS n FROM pats")
 def pattern_count(t: Tables) -> DataFrame:
-    return X.pattern_counts(t.ungapped, t.patterns)
+    return X.pattern_counts(lambda size: S.cell_blocks(t.ranked, size), t.patterns)
 
 
 @query("SELECT * FROM found_")
 def find_patterns_batch(t: Tables) -> DataFrame:
-    return Q.find(t.patterns, t.ranked, t.ungapped, t.seg, t.lines, t.nodes)
+    return Q.find(t.patterns, t.ranked, t.seg, t.lines, t.nodes, t.edges, t.paths)
 
 
 @query("SELECT * FROM found_ WHERE pattern = (SELECT max(pattern) FROM pats WHERE length(pattern) = 30)")
 def find_pattern(t: Tables) -> DataFrame:
     one = t.patterns.where("length(pattern) = 30").agg(F.max("pattern").alias("pattern"))
-    return Q.find(one, t.ranked, t.ungapped, t.seg, t.lines, t.nodes)
+    return Q.find(one, t.ranked, t.seg, t.lines, t.nodes, t.edges, t.paths)

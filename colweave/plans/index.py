@@ -10,21 +10,32 @@ from colweave.operators import alignment as A
 from colweave.operators import find as Q
 from colweave.operators import graph as B
 from colweave.operators import segmentation as G
+from colweave.operators import text as X
 from colweave.operators import tools as T
 
-TABLES = ("ranked", "seg", "nodes", "paths", "edges", "blocks", "lines")
+#: Tables of a whole index; those that can be left out, by the option that does.
+TABLES = ("ranked", "seg", "nodes", "edges", "paths", "blocks", "vectors", "lines")
+OPTIONAL = {"paths": "skip_support", "blocks": "skip_support", "vectors": "skip_support", "lines": "skip_text"}
 
 
 class Index(dict):
-    """Tables by name."""
+    """Tables by name; those that the build skipped aren't there."""
 
     def save(self, folder: str) -> None:
         for name in TABLES:
-            self[name].write.mode("overwrite").parquet(f"{folder}/{name}")
+            if name in self:
+                self[name].write.mode("overwrite").parquet(f"{folder}/{name}")
+        left_out = [(name,) for name in TABLES if name not in self]
+        self["seg"].sparkSession.createDataFrame(left_out, "name string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/skipped")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Index:
-        return cls({name: spark.read.parquet(f"{folder}/{name}") for name in TABLES})
+        skipped = {r.name for r in spark.read.parquet(f"{folder}/skipped").collect()}
+        return cls({name: spark.read.parquet(f"{folder}/{name}") for name in TABLES if name not in skipped})
+
+    def __missing__(self, name: str) -> DataFrame:
+        why = f": it was built with {OPTIONAL[name]}" if name in OPTIONAL else ""
+        raise ValueError(f"the index has no table {name}{why}")
 
     @staticmethod
     def space(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,11 +43,8 @@ class Index(dict):
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder).select("path", "length")
         return files.groupBy(F.element_at(F.split("path", "/"), -2).alias("table")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
-    def ungapped(self) -> DataFrame:
-        return A.rows_of(self["ranked"]).select(F.col("seq_id").alias("text_id"), A.degap(F.col("seq")).alias("s"))
-
     def find(self, patterns: DataFrame) -> DataFrame:
-        return Q.find(patterns, self["ranked"], self.ungapped(), self["seg"], self["lines"], self["nodes"])
+        return Q.find(patterns, *(self[name] for name in ("ranked", "seg", "lines", "nodes", "edges", "paths")))
 
     def describe(self) -> DataFrame:
         """node_idx, block_idx, label, rows, n: the rows of each node."""
@@ -53,13 +61,63 @@ def build_index(cells: DataFrame, seg: DataFrame | None = None, *, skip_text: bo
     edges = settle(B.edges(rows, nodes), "edges")
     out = Index(ranked=ranked, seg=seg, rows=rows, nodes=nodes, edges=edges)
     if not skip_support:
-        out |= {"paths": B.node_paths(rows, nodes), "blocks": B.blocks(nodes, seg)}
+        graph_blocks = settle(B.blocks(nodes, seg), "blocks")
+        out |= {"paths": B.node_paths(rows, nodes), "blocks": graph_blocks, "vectors": B.support_vectors(nodes, edges, B.edge_ranks(edges), graph_blocks)}
     if not skip_text:
         out["lines"] = B.text_offsets(B.indexable_lines(nodes, edges))
     return out
 
 
+#: Columns that tell the rows of a table apart.
+KEYS = {"ranked": ["seq_id", "col"], "seg": ["block_idx"], "nodes": ["block_idx", "label"], "edges": ["block_idx", "lhs", "rhs"], "paths": ["node_idx", "seq_id"], "blocks": ["block_idx"], "vectors": ["vector", "pos"], "lines": ["off"]}
+
+
 def compare_indices(left: Index, right: Index) -> DataFrame:
-    """Status of every node label by block, over both indices."""
-    keyed = lambda x: x["nodes"].select("block_idx", "label", "node_rank", "node_idx", "is_shortest_prefix")
-    return T.compare(keyed(left), keyed(right), ["block_idx", "label"])
+    """table, status, n: rows of all tables that either index has, by whether both have them (SAME, DIFFERENT, LEFT, RIGHT)."""
+    out = None
+    for name in TABLES:
+        if name not in left and name not in right:
+            continue
+        one, other = (x[name] if name in x else (right if x is left else left)[name].limit(0) for x in (left, right))
+        found = T.compare(one, other.select(one.columns), KEYS[name]).groupBy("status").agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "status", "n")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def save_gap_index(cells: DataFrame, folder: str) -> None:
+    """The gap index alone: seq_id, col, ch, nb."""
+    A.with_rank(cells).write.mode("overwrite").partitionBy("seq_id").parquet(folder)
+
+
+def load_gap_index(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("col int, ch string, nb int, seq_id int").parquet(folder).select("seq_id", "col", "ch", "nb")
+
+
+def compare_gap_indices(left: DataFrame, right: DataFrame) -> DataFrame:
+    """seq_id, same, different: cells of two stored gap indices."""
+    index = lambda r: r.select("seq_id", "col", (F.col("ch") == "-").alias("gap"), "nb")
+    c = T.compare(index(left), index(right), ["seq_id", "col"])
+    return c.groupBy("seq_id").agg(F.count_if(F.col("status") == "SAME").alias("same"), F.count_if(F.col("status") != "SAME").alias("different"))
+
+
+def save_suffix_order(order: DataFrame, folder: str) -> None:
+    """A suffix order by ranges of idx, so that parts hold consecutive ranks."""
+    order.repartitionByRange("idx").sortWithinPartitions("idx").write.mode("overwrite").parquet(folder)
+
+
+def suffix_order_of(texts: DataFrame, stored: str | None = None) -> DataFrame:
+    """The suffix order of texts: a stored one (its rows have to be as many as the texts have characters), or a new one."""
+    if stored is None:
+        return X.suffix_array(texts)
+    order = texts.sparkSession.read.parquet(stored)
+    want, have = texts.agg(F.coalesce(F.sum(F.length("s")), F.lit(0))).first()[0], order.count()
+    if want != have:
+        raise ValueError(f"the stored order has {have} suffixes, the texts have {want}")
+    return order
+
+
+def both_or_neither(forward: str | None, reverse: str | None) -> bool:
+    """Whether stored forward and reverse texts are given; one without the other raises."""
+    if (forward is None) != (reverse is None):
+        raise ValueError("a stored forward text needs a stored reverse text, and the other way round")
+    return forward is not None

@@ -20,8 +20,12 @@ FROM part CROSS JOIN seqs""",
     "ranked2": "SELECT seq_id, col, ch, CAST(coalesce(sum(CASE WHEN ch <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS nb FROM cells2",
     "msa": "SELECT seq_id, string_agg(ch, '' ORDER BY col) AS seq FROM cells GROUP BY seq_id",
     "ungapped": "SELECT seq_id, replace(seq, '-', '') AS s FROM msa",
-    "wins": "SELECT seq_id, nb, col, string_agg(ch, '') OVER (PARTITION BY seq_id ORDER BY col ROWS BETWEEN CURRENT ROW AND 95 FOLLOWING) AS win FROM ranked WHERE ch <> '-'",
-    "lens": "SELECT CAST(unnest(range(1, 97)) AS INT) AS l",
+    "whole": "SELECT c.seq_id, c.nb, substr(u.s, c.nb + 1, length(u.s)) AS suf FROM ranked c JOIN ungapped u USING (seq_id) WHERE c.ch <> '-'",
+    "steps_": "SELECT suf, lag(suf) OVER (ORDER BY suf) AS p FROM whole",
+    "shared": "SELECT max(CAST((SELECT count(*) FROM (SELECT unnest(range(1, least(length(suf), length(p)) // 32 + 1)) AS k) z WHERE substr(suf, 1, 32 * CAST(k AS BIGINT)) = substr(p, 1, 32 * CAST(k AS BIGINT))) AS BIGINT)) AS n FROM steps_",
+    "longest": "SELECT 32 * coalesce(n, 0) + 33 AS n FROM shared",
+    "wins": "SELECT seq_id, nb, substr(suf, 1, (SELECT n FROM longest)) AS win FROM whole",
+    "lens": "SELECT CAST(unnest(range(1, (SELECT n + 1 FROM longest))) AS INT) AS l",
     "mem": "SELECT c.col, c.seq_id, c.nb, w.win FROM ranked c JOIN wins w USING (seq_id, nb)",
     "tx": "SELECT l, substr(win, 1, l) AS k, count(*) AS n FROM wins, lens WHERE length(win) >= l GROUP BY ALL",
     "mk": "SELECT col, seq_id, nb, l, substr(win, 1, l) AS k FROM mem, lens WHERE length(win) >= l",
@@ -33,6 +37,8 @@ FROM part CROSS JOIN seqs""",
     "ivs": "SELECT lb, rb + 1 AS rb FROM raw WHERE rb IS NOT NULL",
     "nxt": "SELECT x.lb, (SELECT y.lb FROM ivs y WHERE y.lb >= x.rb ORDER BY y.rb, y.lb DESC LIMIT 1) AS nb FROM ivs x",
     "chain": "SELECT CAST(0 AS BIGINT) AS a UNION ALL SELECT nxt.nb FROM chain JOIN nxt ON nxt.lb = chain.a WHERE nxt.nb IS NOT NULL",
+    "least": "SELECT (SELECT max(lb) + 1 FROM raw) AS a, [CAST(0 AS BIGINT)] AS best UNION ALL SELECT p.a - 1, list_prepend(CASE WHEN r.rb IS NULL THEN 1099511627776 ELSE list_min([greatest(y - p.a + 1, p.best[y - p.a + 1]) FOR y IN range(r.rb + 1, (SELECT max(lb) + 2 FROM raw))]) END, p.best) FROM least p JOIN raw r ON r.lb = p.a - 1",
+    "shortchain": "SELECT CAST(0 AS BIGINT) AS a UNION ALL SELECT list_min([y FOR y IN range(r.rb + 1, (SELECT max(lb) + 2 FROM raw)) IF f.best[y + 1] <= f.best[1]]) FROM shortchain c JOIN raw r ON r.lb = c.a JOIN (SELECT best FROM least WHERE a = 0) f ON true",
     "seg": "SELECT CAST(row_number() OVER (ORDER BY a) - 1 AS INT) AS block_idx, a AS lb, coalesce(lead(a) OVER (ORDER BY a), (SELECT max(lb) + 1 FROM raw)) AS rb FROM chain",
     "brows": "SELECT g.block_idx, c.seq_id, coalesce(string_agg(CASE WHEN c.ch = '-' THEN '' ELSE c.ch END, '' ORDER BY c.col), '') AS label FROM cells c JOIN seg g ON c.col >= g.lb AND c.col < g.rb GROUP BY ALL",
     "labels_": "SELECT DISTINCT block_idx, label FROM brows",
@@ -45,9 +51,14 @@ FROM part CROSS JOIN seqs""",
     "parts": "SELECT 'Segment' AS kind, block_idx, node_rank AS lhs, CAST(NULL AS INT) AS rhs, label_len AS lhs_size, CAST(NULL AS INT) AS rhs_size, label || '#' AS text FROM nodes WHERE block_idx = 0 UNION ALL SELECT 'Edge', block_idx, lhs, rhs, CAST(length(lhs_label) AS INT), CAST(length(rhs_label) AS INT), lhs_label || rhs_label || '#' FROM edges",
     "offs": "SELECT *, CAST(1 + coalesce(sum(length(text)) OVER (ORDER BY block_idx, coalesce(rhs, -1), lhs ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM parts",
     "itext": "SELECT '#' || string_agg(text, '' ORDER BY off) AS s FROM offs",
-    "names": "SELECT CAST(p_partkey AS BIGINT) AS text_id, p_name AS s FROM part WHERE p_partkey < 100000000 AND p_name IS NOT NULL",
-    "sufs": "SELECT text_id, CAST(pos AS INT) AS pos, substr(s, CAST(pos AS BIGINT) + 1, 32) AS suf, CASE WHEN pos = 0 THEN '$' ELSE substr(s, CAST(pos AS BIGINT), 1) END AS prev_char FROM (SELECT text_id, s, unnest(range(length(s))) AS pos FROM names)",
+    "names": "SELECT CAST(p_partkey AS BIGINT) AS text_id, p_name AS s FROM part WHERE p_name IS NOT NULL",
+    "sufs": "SELECT text_id, CAST(pos AS INT) AS pos, substr(s, CAST(pos AS BIGINT) + 1, length(s)) AS suf, CASE WHEN pos = 0 THEN '$' ELSE substr(s, CAST(pos AS BIGINT), 1) END AS prev_char FROM (SELECT text_id, s, unnest(range(length(s))) AS pos FROM names)",
     "sa": "SELECT CAST(row_number() OVER (ORDER BY suf, text_id, pos) - 1 AS BIGINT) AS idx, text_id, pos, suf, prev_char FROM sufs",
+    "rnames": "SELECT text_id, reverse(s) AS s FROM names",
+    "rsa": "SELECT CAST(row_number() OVER (ORDER BY suf, text_id, pos) - 1 AS BIGINT) AS idx, suf FROM (SELECT text_id, pos, substr(s, CAST(pos AS BIGINT) + 1, length(s)) AS suf FROM (SELECT text_id, s, unnest(range(length(s))) AS pos FROM rnames))",
+    "kmers_": "SELECT DISTINCT pattern FROM (SELECT substr(s, 1, 3) AS pattern FROM names UNION ALL SELECT substr(s, 2, 4) FROM names) WHERE pattern <> ''",
+    "shortest": "SELECT row_number() OVER (ORDER BY label, block_idx) - 1 AS pos, label_len, block_idx FROM nodes WHERE is_shortest_prefix",
+    "ealpha": "SELECT *, row_number() OVER (ORDER BY lhs_label || rhs_label || '#', block_idx, lhs, rhs) - 1 AS alpha, row_number() OVER (ORDER BY reverse(lhs_label || rhs_label), block_idx, lhs, rhs) - 1 AS alpha_tilde FROM edges",
     "pats": "SELECT DISTINCT substr(s, p, l) AS pattern FROM (SELECT substr(replace(string_agg(ch, '' ORDER BY col), '-', ''), 1, 400) AS s FROM cells WHERE seq_id = 0) q, (SELECT unnest(range(1, 180, 23)) AS p) a, (SELECT unnest([3, 6, 9, 14, 30]) AS l) b UNION SELECT 'ACGTTGCAACGT' UNION SELECT 'GG'",
     "ptails": "SELECT pattern, substr(pattern, i, length(pattern)) AS q FROM (SELECT pattern, unnest(range(1, length(pattern) + 1)) AS i FROM pats)",
     "spots": "SELECT substr(text, p, length(text)) AS rest FROM (SELECT text, unnest(range(1, length(text) + 1)) AS p FROM parts)",
@@ -64,7 +75,7 @@ FROM part CROSS JOIN seqs""",
     "evr": "SELECT user_id AS key, lb, lb + 1 + event_id % 7 AS rb FROM (SELECT user_id, event_id, event_id % 19 AS lb FROM events)",
     "evt": "SELECT user_id AS key, 'the quick brown fox ' || CAST(user_id AS VARCHAR) AS s FROM (SELECT DISTINCT user_id FROM events)",
 }
-_MATERIALIZED = {"ranked", "wins", "mem", "mk", "mc", "tx", "raw", "ivs", "nxt", "brows", "labels_", "nodes", "own", "edges", "parts", "sufs", "spots", "phits", "seg"}
+_MATERIALIZED = {"whole", "longest", "sa", "least", "ranked", "wins", "mem", "mk", "mc", "tx", "raw", "ivs", "nxt", "brows", "labels_", "nodes", "own", "edges", "parts", "sufs", "spots", "phits", "seg"}
 
 
 def sql(final: str) -> str:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +29,26 @@ def read_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     Rows of unequal length raise an error when the result is used.
     """
-    order = spark.createDataFrame(list(enumerate(paths)), "seq_id int, path string")
-    texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\s+$", "").alias("seq"))
-    tail = lambda c: F.substring_index(c, "/", -1)
-    full = texts.join(F.broadcast(order), F.expr("endswith(file, path)") | (F.lit(len({p.rsplit("/", 1)[-1] for p in paths}) == len(paths)) & (tail("file") == tail("path")))).select("seq_id", "seq")
+    order = spark.createDataFrame([(k, _uri(spark, p)) for k, p in enumerate(paths)], "seq_id int, file string")
+    texts = spark.read.text(sorted(set(paths)), wholetext=True).select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("file"), F.regexp_replace("value", r"\s+$", "").alias("seq"))
+    full = order.join(texts, "file").select("seq_id", "seq")
     size = full.agg(F.min(F.length("seq")).alias("lo"), F.max(F.length("seq")).alias("hi"))
     checked = size.select(F.assert_true(F.col("lo") == F.col("hi"), "rows of unequal length").alias("ok"))
-    return full.join(F.broadcast(checked), F.col("ok").isNull()).select("seq_id", "seq")
+    return full.join(F.broadcast(checked), F.col("ok").isNull()).select("seq_id", "seq")  # one row
+
+
+def _uri(spark: SparkSession, path: str) -> str:
+    """The path as files name themselves when they are read."""
+    full = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub("^file:/+", "file:/", full.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(full).toUri().toString())
+
+
+def map_columns(rows: DataFrame, step: int, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, *, reverse: bool = False) -> DataFrame:
+    """``function`` over batches of (seq_id, lb, chars): every row in ranges of ``step`` columns; with ``reverse`` each range backwards, the last one first."""
+    ranges = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(step))
+    cut = rows.select("seq_id", "seq", F.explode(F.reverse(ranges) if reverse else ranges).alias("lb"))
+    chars = F.substring(F.col("seq"), F.col("lb") + 1, F.lit(step))
+    return cut.select("seq_id", "lb", (F.reverse(chars) if reverse else chars).alias("chars")).mapInArrow(function, schema)
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:

@@ -29,3 +29,12 @@ def test_oracle(spark, duck, name, tmp_path):
     QUERIES[name](spark, DIR).write.parquet(str(tmp_path / "q"))
     got = duck.sql(f"SELECT * FROM '{tmp_path}/q/*.parquet'").df()
     assert _rows(got) == _rows(duck.sql(ORACLES[name]).df())
+
+
+def test_changed_files_give_new_rows(spark, tmp_path):
+    part = spark.read.parquet(f"{DIR}/part.parquet")
+    for n in (30, 60):
+        part.where(f"p_partkey < {n}").write.mode("overwrite").parquet(str(tmp_path / "part.parquet"))
+        assert QUERIES["gap_rank"](spark, str(tmp_path)).count() == 8 * n
+        gaps = sum((k + 5 * j) % 29 == 0 for k in range(n) for j in range(8))
+        assert QUERIES["gap_select"](spark, str(tmp_path)).count() == 8 * n - gaps

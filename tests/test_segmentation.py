@@ -7,7 +7,8 @@ import pytest
 from colweave.operators import alignment as A
 from colweave.operators import graph as B
 from colweave.operators import segmentation as G
-from colweave.plans.index import Index, build_index, compare_indices
+from colweave.plans.index import TABLES, Index, both_or_neither, build_index, compare_gap_indices, compare_indices, load_gap_index, save_gap_index, save_suffix_order, suffix_order_of
+from colweave.streaming.patterns import answer, pattern_stream
 
 
 def brute_bounds(rows):
@@ -111,12 +112,46 @@ def test_graph_invariants(spark, tmp_path):
     assert all(text[r.off : r.off + len(r.text)] == r.text for r in index["lines"].collect())
     index.save(str(tmp_path / "index"))
     space = {r.table: r.bytes for r in Index.space(spark, str(tmp_path / "index")).collect()}
-    assert {"nodes", "edges", "seg"} <= set(space) and min(space.values()) > 0
+    assert {"nodes", "edges", "seg", "vectors"} <= set(space) and min(space.values()) > 0
     again = Index.load(spark, str(tmp_path / "index"))
-    assert {r.status for r in compare_indices(index, again).collect()} == {"SAME"}
-    found = {r.pattern: r for r in again.find(spark.createDataFrame([("ACGTACGGT",), ("TTTT",)], "pattern string")).collect()}
-    assert found["TTTT"].match_count == 0 and not found["TTTT"].did_expand
-    hit = found["ACGTACGGT"]
-    if hit.did_expand:
-        assert hit.matches == ",".join(str(j) for j, r in enumerate(rows) if "ACGTACGGT" in r.replace("-", ""))
+    assert {(r.table, r.status) for r in compare_indices(index, again).collect()} == {(t, "SAME") for t in TABLES}
+    few = build_index(cells, seg, skip_text=True, skip_support=True)
+    few.save(str(tmp_path / "few"))
+    few = Index.load(spark, str(tmp_path / "few"))
+    assert "lines" not in few and {(r.table, r.status) for r in compare_indices(few, again).collect()} >= {("nodes", "SAME"), ("paths", "RIGHT"), ("lines", "RIGHT")}
+    with pytest.raises(ValueError, match="skip_text"):
+        few.find(spark.createDataFrame([("ACG",)], "pattern string"))
+    save_gap_index(cells, str(tmp_path / "gaps"))
+    assert all(r.different == 0 and r.same == 16 for r in compare_gap_indices(index["ranked"], load_gap_index(spark, str(tmp_path / "gaps"))).collect())
+    asked = ["ACGTACGGT", "TTTT", "GTTAACCGT", "AACCT", "CGGTTT", "T", "ACGTACGGTTAACCGT", "GGTTAACC"]
+    found = {r.pattern: r for r in again.find(spark.createDataFrame([(p,) for p in asked], "pattern string")).collect()}
+    bare = [r.replace("-", "") for r in rows]
+    for p in asked:
+        hit = found[p]
+        if hit.did_expand:
+            at = [(j, k) for j, r in enumerate(bare) for k in range(len(r)) if r.startswith(p, k)]
+            assert hit.matches == ",".join(map(str, sorted({j for j, _ in at}))) and hit.match_count == len({j for j, _ in at})
+            if at:
+                column = min([i for i, c in enumerate(rows[j]) if c != "-"][k] for j, k in at)
+                lb = max(x for x in (0, 5, 10) if x <= column)
+                assert (hit.block_aln_pos, hit.match_offset) == (lb, column - lb)
+        else:
+            assert hit.match_count == sum(r.text.startswith(p, k) for r in index["lines"].collect() for k in range(len(r.text)))
+    assert any(found[p].did_expand and found[p].match_count for p in asked)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "p.txt").write_text(" ".join(asked[:3]))
+    answer(pattern_stream(spark, str(tmp_path / "in")), again.find, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(240)
+    assert {tuple(r[c] for c in found[asked[0]].asDict()) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {tuple(found[p]) for p in asked[:3]}
     assert B.stats(index["nodes"], index["edges"], index["ranked"]).count() == 1
+
+
+def test_stored_suffix_order(spark, tmp_path):
+    texts = spark.createDataFrame([(0, "banana"), (1, "an")], "text_id bigint, s string")
+    save_suffix_order(suffix_order_of(texts), str(tmp_path / "order"))
+    again = suffix_order_of(texts, str(tmp_path / "order"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, suffix_order_of(texts).collect()))
+    with pytest.raises(ValueError, match="suffixes"):
+        suffix_order_of(texts.limit(1), str(tmp_path / "order"))
+    assert both_or_neither("a", "b") and not both_or_neither(None, None)
+    with pytest.raises(ValueError, match="needs"):
+        both_or_neither("a", None)
