@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colweave.llm.store import settle
+from colweave.llm.store import settle, shuffle_width
 
 #: Rows from which pivots are chosen; pivots; rings around each.
 SAMPLE, PIVOTS, RINGS = 2048, 16, 32
-#: Rows and queries that meet in one block.
-ROWS_IN_BLOCK, QUERIES_IN_BLOCK = 1024, 2048
+#: Rows and queries that meet in one block; probes in one batch.
+ROWS_IN_BLOCK, QUERIES_IN_BLOCK, PROBES = 256, 2048, 4096
 
 _KEY = ["dim", "pivot", "ring", "block", "ask"]
 
@@ -112,25 +112,30 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 25
     def plan(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out = []
-                for i, q, floor in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    own = rings[rings["dim"] == len(q)]
+                sizes = np.array([len(x) for x in b.column(1)], np.int64)
+                for dim in np.unique(sizes).tolist():
+                    own = rings[rings["dim"] == dim]
                     if not len(own):
                         continue
-                    x = np.array([q], np.int64)
-                    gaps = _to_pivots(x, pivots.get(len(q), np.zeros((1, len(q)))))[0][own["pivot"].to_numpy()]
-                    gap = np.maximum(0, np.maximum(own["near"].to_numpy() - gaps, gaps - own["far"].to_numpy()))
-                    size = float((x.astype(np.float64) ** 2).sum())
-                    bound = (size + own["norm"].to_numpy() ** 2 - gap**2) / 2
-                    bound += 1 + 1e-9 * (size + own["norm"].to_numpy() ** 2)  # rounding
+                    part = b.filter(pa.array(sizes == dim))
+                    x, ids = _vectors(part.column(1)), part.column(0).to_numpy()
+                    floor = part.column(2).cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                    far = _to_pivots(x, pivots.get(dim, np.zeros((1, dim))))[:, own["pivot"].to_numpy()]
+                    gap = np.maximum(0, np.maximum(own["near"].to_numpy() - far, far - own["far"].to_numpy()))
+                    norms = (x.astype(np.float64) ** 2).sum(axis=1)[:, None] + own["norm"].to_numpy()[None, :] ** 2
+                    bound = (norms - gap**2) / 2 + 1 + 1e-9 * norms  # rounding
                     ready = own["n"].to_numpy() > k
-                    best = int(np.where(ready, bound, -np.inf).argmax() if ready.any() else bound.argmax())
-                    chosen = [best] if first else [j for j in np.nonzero(bound >= (-np.inf if floor is None else floor))[0] if j != best]
-                    for j in chosen:
-                        r = own.iloc[j]
-                        out += [(int(r["dim"]), int(r["pivot"]), int(r["ring"]), s, int(i % asks), i, q) for s in range(int(r["blocks"]))]
-                cols = list(zip(*out, strict=True)) if out else [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int32()] * 5, pa.int64(), pa.list_(pa.int64())), strict=True)], [*_KEY, "query_id", "q"])
+                    best = np.where(ready, bound, -np.inf).argmax(axis=1) if ready.any() else bound.argmax(axis=1)
+                    mine = np.zeros(bound.shape, bool)
+                    mine[np.arange(len(x)), best] = True
+                    q, ring = np.nonzero(mine if first else (bound >= floor[:, None]) & ~mine)
+                    n = own["blocks"].to_numpy()[ring].astype(np.int64)
+                    block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    q, ring = np.repeat(q, n), np.repeat(ring, n)
+                    for at in range(0, len(q), PROBES):
+                        z = slice(at, at + PROBES)
+                        named = [np.full(len(q[z]), dim), own["pivot"].to_numpy()[ring[z]], own["ring"].to_numpy()[ring[z]], block[z], ids[q[z]] % asks]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in named), pa.array(ids[q[z]]), part.column(1).take(pa.array(q[z]))], [*_KEY, "query_id", "q"])
 
         return run
 
@@ -150,7 +155,8 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 25
         return pa.table([asked[rows][kept], ids[cols][kept], s[rows, cols][kept]], names)
 
     def scan(floors: DataFrame, first: bool) -> DataFrame:
-        probes = floors.mapInArrow(plan(first), "dim int, pivot int, ring int, block int, ask int, query_id long, q array<bigint>")
+        # few rows, each of which asks many rings: dealt anew, so that all tasks plan
+        probes = floors.repartition(shuffle_width(spark)).mapInArrow(plan(first), "dim int, pivot int, ring int, block int, ask int, query_id long, q array<bigint>")
         return dealt.groupBy(*_KEY).cogroup(probes.groupBy(*_KEY)).applyInArrow(meet, "query_id long, vec_id long, score long")
 
     start = settle(scan(queries.withColumn("floor", F.lit(None).cast("long")), True), "first-ring")

@@ -4,15 +4,16 @@ Fitting (on a bounded sample of labelled rows): occurrences of each token, and o
 ``STEM`` bytes of longer ones, are counted in toxic and in clean documents; their log-odds
 ratio under an informative Dirichlet prior (the pooled frequencies) is kept, shrunk by its
 z-score, for the ``ENTRIES`` most telling tokens.  Every other token scores -DRIFT, so a
-walk over clean text falls.
+walk over clean text falls.  Each labelled row is scored once by a model whose counts it had no
+part in (``FOLDS`` of them); these scores calibrate what follows.
 
 Scoring: one linear scan finds all maximal segments of positive score (each kept segment
 beats all of its own ends and every segment that overlaps it).  A segment's score S has the
 extreme-value tail P(max > S) = 1 - exp(-K n exp(-lambda S)) in a clean text of n tokens,
-where lambda solves E[exp(lambda s)] = 1 over clean tokens.  Segments with an expected number
-of chance occurrences under ``CHANCE`` are significant; a document's evidence is the sum of
-their -log(K n) + lambda S, and one logistic curve, fitted on a part of the sample that the
-counts don't see, turns evidence into a probability.
+where lambda solves E[exp(lambda s)] = 1 over clean tokens, and K is the likeliest value for
+the best segments of the sample's clean rows.  Segments with an expected number of chance
+occurrences under ``CHANCE`` are significant; a document's evidence is the sum of their
+-log(K n) + lambda S, and one logistic curve turns evidence into a probability.
 
 Defined results: null and wordless texts have no segments and score by the curve's
 intercept; repeated rows score alike; without labelled rows of both kinds every score is 0.
@@ -34,14 +35,16 @@ from colweave.llm.store import settle
 
 #: Most labelled rows that the model is fitted on.
 TRAIN_ROWS = 20_000
+#: Parts of the sample, each scored by a model of the others.
+FOLDS = 5
 #: Most tokens and stems with a score of their own, and fewest documents that hold one.
-ENTRIES, LEAST = 50_000, 3
+ENTRIES, LEAST = 50_000, 2
 #: Bytes of a stem; weight of the prior in tokens; step of a token that tells nothing; full weight from this z-score on.
 STEM, PRIOR, DRIFT, FULL_Z = 5, 20_000.0, 0.5, 4.0
 #: A token of a smaller z-score tells nothing.
-LEAST_Z = 2.5
-#: Constant of the extreme-value tail, and the expected chance occurrences that a significant segment stays under.
-K, CHANCE = 0.1, 0.05
+LEAST_Z = 2.0
+#: The expected chance occurrences that a significant segment stays under.
+CHANCE = 0.05
 #: Score from which a text is called toxic.
 THRESHOLD = 0.3
 
@@ -54,8 +57,9 @@ class Model:
     odds: np.ndarray
     sieve: np.ndarray  # by the lowest 20 bits: whether any key has them
     lam: float
-    slope: float
-    intercept: float
+    k: float = 0.1
+    slope: float = 1.0
+    intercept: float = 0.0
 
 
 def _hashes(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,8 +118,8 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, r - x) for a, b, x, r, _ in found]
 
 
-def passages(m: Model, texts: list[str | None]) -> tuple[list[list[tuple[int, int, float]]], np.ndarray]:
-    """Of each text: its significant segments by token position (start, end, -log of expected chance occurrences), and its number of tokens."""
+def all_segments(m: Model, texts: list[str | None]) -> tuple[list[list[tuple[int, int, float]]], np.ndarray]:
+    """Of each text: its maximal segments by token position (start, end, score), and its number of tokens."""
     parts: list[list[np.ndarray]] = [[] for _ in texts]
     for t in windows(texts):
         s = token_scores(m, t)
@@ -123,36 +127,47 @@ def passages(m: Model, texts: list[str | None]) -> tuple[list[list[tuple[int, in
         for own, at in zip(np.split(s, cuts), [0, *cuts], strict=True):
             if len(own):
                 parts[t.doc[at]].append(own)
-    found, sizes = [], np.array([sum(map(len, p)) for p in parts], np.int64)
-    for p, n in zip(parts, sizes, strict=True):
-        kept = []
-        if any((x > 0).any() for x in p):
-            for a, b, s in segments(np.concatenate(p)):
-                evidence = m.lam * s - np.log(K * n)
-                if evidence > -np.log(CHANCE):
-                    kept.append((a, b, float(evidence)))
-        found.append(kept)
-    return found, sizes
+    sizes = np.array([sum(map(len, p)) for p in parts], np.int64)
+    return [segments(np.concatenate(p)) if any((x > 0).any() for x in p) else [] for p in parts], sizes
+
+
+def evidence_of(score: float, lam: float, k: float, n: int) -> float:
+    """-log of the expected chance occurrences of a segment of that score in n clean tokens; 0 if they aren't under CHANCE."""
+    e = lam * score - float(np.log(k * n))
+    return e if e > -np.log(CHANCE) else 0.0
+
+
+def passages(m: Model, texts: list[str | None]) -> list[list[tuple[int, int, float]]]:
+    """Of each text: its significant segments by token position (start, end, evidence)."""
+    found, sizes = all_segments(m, texts)
+    return [[(a, b, e) for a, b, s in own if (e := evidence_of(s, m.lam, m.k, int(n))) > 0] for own, n in zip(found, sizes, strict=True)]
 
 
 def _evidence(found: list[list[tuple[int, int, float]]]) -> np.ndarray:
     return np.log1p(np.array([sum(x[2] for x in f) for f in found]))
 
 
+def tail_constant(best: np.ndarray, sizes: np.ndarray, lam: np.ndarray) -> float:
+    """The likeliest K for the best scores of clean texts (0: no segment), each under its model's lambda."""
+    mass = float((sizes * np.exp(-lam * best)).sum())
+    seen = int((best > 0).sum())
+    return seen / mass if seen and mass > 0 else 0.1
+
+
 def _counts(sample: DataFrame) -> DataFrame:
-    """key, toxic, clean (occurrences), docs: of tokens and stems, added up in each batch first."""
+    """key, part, toxic, clean (occurrences), docs: of tokens and stems by part of the sample, added up in each batch first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, y = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), np.int64)
+            texts, y, parts = b.column(0).to_pylist(), *(np.array(b.column(k).to_pylist(), np.int64) for k in (1, 2))
             for t in windows(texts):
                 own, long, stem = _hashes(t)
                 key = np.concatenate([own, stem[long]])
                 doc = np.concatenate([t.doc, t.doc[long]])
-                order = np.lexsort((doc, key))
+                order = np.lexsort((doc, parts[doc], key))
                 key, doc = key[order], doc[order]
                 new = np.ones(len(key), bool)
-                new[1:] = key[1:] != key[:-1]
+                new[1:] = (key[1:] != key[:-1]) | (parts[doc[1:]] != parts[doc[:-1]])
                 first_in_doc = new.copy()
                 first_in_doc[1:] |= doc[1:] != doc[:-1]
                 at = np.nonzero(new)[0]
@@ -161,9 +176,10 @@ def _counts(sample: DataFrame) -> DataFrame:
                 toxic = np.add.reduceat((y[doc] > 0).astype(np.int64), at)
                 every = np.diff(np.append(at, len(key)))
                 docs = np.add.reduceat(first_in_doc.astype(np.int64), at)
-                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(toxic), pa.array(every - toxic), pa.array(docs)], ["key", "toxic", "clean", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(parts[doc[at]].astype(np.int32)), pa.array(toxic), pa.array(every - toxic), pa.array(docs)], ["key", "part", "toxic", "clean", "docs"])
 
-    return sample.select("text", "y").mapInArrow(run, "key long, toxic long, clean long, docs long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("docs").alias("docs"))
+    each = sample.select("text", "y", "part").mapInArrow(run, "key long, part int, toxic long, clean long, docs long")
+    return each.groupBy("key", "part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("docs").alias("docs"))
 
 
 def _root(mass: np.ndarray, score: np.ndarray) -> float:
@@ -192,11 +208,23 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 0.0)), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Fit on the bounded sample; the table of scores (ENTRIES rows) comes to the driver."""
-    sample = settle(labelled_sample(docs, labels, label, learn, TRAIN_ROWS, id_col=id_col, text_col=text_col), "labelled")
-    part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5))
-    counts = settle(_counts(sample.where(part != 0)), "token-odds")
+def model_of(key: np.ndarray, odds: np.ndarray, z: np.ndarray, mass: np.ndarray) -> Model:
+    """A model from tokens' hashes, log-odds ratios, z-scores, and shares of all clean tokens."""
+    order = np.argsort(key)
+    key, odds, z, mass = key[order], odds[order], z[order], mass[order]
+    scored = odds * np.minimum(1.0, np.abs(z) / FULL_Z)
+    scored = np.where(scored > 0, scored, np.maximum(scored, -1.0))
+    sieve = np.zeros(1 << 20, bool)
+    sieve[(key & np.uint64(0xFFFFF)).astype(np.int64)] = True
+    # tokens and stems both have mass here; the rest of the walk is drift
+    other = max(0.0, 1.0 - mass.sum())
+    lam = _root(np.append(mass, other + 1e-12) / max(1.0, mass.sum()), np.append(scored - DRIFT, -DRIFT))
+    return Model(key, scored, sieve, lam)
+
+
+def _fitted(counts: DataFrame) -> Model | None:
+    """A model from counts (key, toxic, clean, docs, a key's rows to be added up); the ENTRIES most telling keys come to the driver."""
+    counts = counts.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("docs").alias("docs"))
     totals = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     if not totals.t or not totals.c:
         return None
@@ -207,26 +235,41 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str = "to
     z = odds / F.sqrt(1 / (F.col("toxic") + pooled) + 1 / (F.col("clean") + pooled))
     told = counts.where(F.col("docs") >= LEAST).select("key", odds.alias("odds"), z.alias("z"), (F.col("clean") / c).alias("mass")).where(F.abs("z") >= LEAST_Z)
     best = told.orderBy(F.desc(F.abs("z")), "key").limit(ENTRIES).toPandas()
-    keys = best["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    z_, odds_, mass = (best[x].to_numpy(np.float64)[order] for x in ("z", "odds", "mass"))
-    scored = odds_ * np.minimum(1.0, np.abs(z_) / FULL_Z)
-    scored = np.where(scored > 0, scored, np.maximum(scored, -1.0))
-    keys = keys[order]
-    sieve = np.zeros(1 << 20, bool)
-    sieve[(keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
-    # tokens and stems both have mass here; the rest of the walk is drift
-    other = max(0.0, 1.0 - mass.sum())
-    lam = _root(np.append(mass, other + 1e-12) / max(1.0, mass.sum()), np.append(scored - DRIFT, -DRIFT))
-    model = Model(keys, scored, sieve, lam, 1.0, 0.0)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return model_of(best["key"].to_numpy(np.int64).view(np.uint64), *(best[x].to_numpy(np.float64) for x in ("odds", "z", "mass")))
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """Fit on the bounded sample; the tables of scores (ENTRIES rows) and one row a labelled row come to the driver."""
+    part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int")
+    sample = settle(labelled_sample(docs, labels, label, learn, TRAIN_ROWS, id_col=id_col, text_col=text_col).withColumn("part", part), "labelled")
+    counts = settle(_counts(sample), "token-odds")
+    model = _fitted(counts)
+    if model is None:
+        return None
+    others = [_fitted(counts.where(F.col("part") != k)) for k in range(FOLDS)]
+    shared = docs.sparkSession.sparkContext.broadcast(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_evidence(passages(shared.value, b.column(0).to_pylist())[0])), b.column(1)], ["x", "y"])
-
-    rows = sample.where(part == 0).select("text", "y").mapInArrow(run, "x double, y int").toPandas()
-    model.slope, model.intercept = _curve(rows["x"].to_numpy(np.float64), (rows["y"].to_numpy() > 0).astype(np.float64))
+            texts, parts = b.column(0).to_pylist(), b.column(2).to_pylist()
+            scores: list[list[float]] = [[] for _ in texts]
+            sizes = np.zeros(len(texts), np.int64)
+            for k in set(parts):
+                own = [i for i, p in enumerate(parts) if p == k]
+                if shared.value[k] is not None:
+                    found, n = all_segments(shared.value[k], [texts[i] for i in own])
+                    sizes[own] = n
+                    for i, f in zip(own, found, strict=True):
+                        scores[i] = [x[2] for x in f]
+            yield pa.RecordBatch.from_arrays([pa.array(scores, pa.list_(pa.float64())), pa.array(sizes), b.column(1), b.column(2)], ["scores", "n", "y", "part"])
+
+    rows = sample.select("text", "y", "part").mapInArrow(run, "scores array<double>, n bigint, y int, part int").toPandas()
+    lam = np.array([others[k].lam if others[k] else 1.0 for k in rows["part"]])
+    y, n = rows["y"].to_numpy() > 0, rows["n"].to_numpy(np.int64)
+    best = np.array([max(s, default=0.0) for s in rows["scores"]])
+    model.k = tail_constant(best[~y], n[~y], lam[~y])
+    x = np.log1p(np.array([sum(evidence_of(v, a, model.k, int(m)) for v in s) for s, a, m in zip(rows["scores"], lam, n, strict=True)]))
+    model.slope, model.intercept = _curve(x, y.astype(np.float64))
     return model
 
 
@@ -239,7 +282,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, *, id_col: str = "doc_i
         m = shared.value
         for b in batches:
             texts = b.column(1).to_pylist()
-            found = passages(m, texts)[0] if m else [[] for _ in texts]
+            found = passages(m, texts) if m else [[] for _ in texts]
             p = 1 / (1 + np.exp(-np.clip(m.slope * _evidence(found) + m.intercept, -30, 30))) if m else np.zeros(len(texts))
             spans = pa.array([[{"start": a, "end": e, "evidence": v} for a, e, v in f] for f in found], passage)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32)), spans], [id_col, "score", "predicted", "passages"])

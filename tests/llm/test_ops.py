@@ -315,6 +315,77 @@ def test_maximal_segments():
         assert [(a, b) for a, b, _ in toxicity.segments(np.array(s, float))] == brute(s)
 
 
+def test_toxic_odds_and_calibration(spark):
+    """Log-odds under the Dirichlet prior, lambda and K, each by its definition."""
+    import math
+    from collections import Counter
+
+    r = random.Random(15)
+    docs = []
+    for _ in range(60):
+        y = int(r.random() < 0.3)
+        docs.append((" ".join(r.choice(["cat", "sat", "mat", "hut"] + ["vile", "scum"] * (3 * y)) for _ in range(r.randint(5, 30))), y, 0))
+    sample = spark.createDataFrame(docs, "text string, y int, part int")
+    m = toxicity._fitted(toxicity._counts(sample))
+    toxic, clean = (Counter(w for t, y, _ in docs if y == k for w in t.split()) for k in (1, 0))
+    nt, nc = sum(toxic.values()), sum(clean.values())
+    hashes = {w: int(next(spans.windows([w])).hash[0]) for w in set(toxic) | set(clean)}
+    want = {}
+    for w, h in hashes.items():
+        a = toxicity.PRIOR * (toxic[w] + clean[w]) / (nt + nc)
+        odds = math.log((toxic[w] + a) / (nt + toxicity.PRIOR - toxic[w] - a)) - math.log((clean[w] + a) / (nc + toxicity.PRIOR - clean[w] - a))
+        z = odds / math.sqrt(1 / (toxic[w] + a) + 1 / (clean[w] + a))
+        if abs(z) >= toxicity.LEAST_Z:
+            want[h] = max(odds * min(1, abs(z) / toxicity.FULL_Z), -1.0)
+    assert want and dict(zip(m.keys.tolist(), m.odds.tolist(), strict=True)) == pytest.approx(want)
+    mass = {h: clean[w] / nc for w, h in hashes.items() if h in want}
+    total = sum(p * math.exp(m.lam * (want[h] - toxicity.DRIFT)) for h, p in mass.items()) + (1 - sum(mass.values())) * math.exp(-m.lam * toxicity.DRIFT)
+    assert total == pytest.approx(1, abs=1e-6)
+    # K: the likelihood of best scores, and of texts without a segment, is greatest there
+    gen = np.random.default_rng(1)
+    sizes = gen.integers(50, 500, 4000)
+    best = np.maximum(0, np.log(0.02 * sizes / gen.exponential(size=4000)) / 1.7)
+    k = toxicity.tail_constant(best, sizes, np.full(4000, 1.7))
+    like = lambda k: np.where(best > 0, np.log(k) - k * sizes * np.exp(-1.7 * best), -k * sizes).sum()
+    assert abs(k / 0.02 - 1) < 0.1 and like(k) > max(like(0.97 * k), like(1.03 * k))
+
+
+def test_quality_fit_is_ftrl():
+    """The model against follow-the-regularised-leader, coordinate by coordinate."""
+    import math
+
+    r = random.Random(16)
+    texts = [" ".join(r.choice(["a1", "b!", "Cc", "dd"]) for _ in range(r.randint(0, 8))) for _ in range(40)]
+    y = [int("a1" in t) for t in texts]
+    w, b0 = quality.fit(texts, y)
+    z, s, n = {}, {}, 1 << quality.BITS
+    rows = []
+    for t in texts:
+        at = [int(x) for win in spans.windows([t]) for x in quality.features(win)[0]]
+        size = sum(len(win) for win in spans.windows([t]))
+        rows.append({**{k: quality.SCALE * at.count(k) / size for k in set(at)}, n: 1.0})
+
+    def weight(k):
+        if k not in z:
+            return 0.0
+        l1 = 0.0 if k == n else quality.L1
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((quality.BETA + math.sqrt(s[k])) / quality.ALPHA + quality.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(quality.EPOCHS):
+        for i in order.permutation(len(rows)):
+            x = rows[i]
+            now = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(now[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - y[i]) * v
+                step = (math.sqrt(s.get(k, 0.0) + g * g) - math.sqrt(s.get(k, 0.0))) / quality.ALPHA
+                z[k] = z.get(k, 0.0) + g - step * now[k]
+                s[k] = s.get(k, 0.0) + g * g
+    assert b0 == pytest.approx(weight(n)) and len(z) > 10
+    assert all(w[k] == pytest.approx(weight(k), abs=1e-5) for k in z if k != n) and (w != 0).sum() <= len(z)
+
+
 def test_toxicity(spark, awkward, no_docs, labels):
     r = random.Random(4)
     clean = ["the", "cat", "sat", "mat", "on", "hill", "house"]
