@@ -322,9 +322,9 @@ def test_toxic_odds_and_calibration(spark):
 
     r = random.Random(15)
     docs = []
-    for _ in range(60):
+    for _ in range(2500):
         y = int(r.random() < 0.3)
-        docs.append((" ".join(r.choice(["cat", "sat", "mat", "hut"] + ["vile", "scum"] * (3 * y)) for _ in range(r.randint(5, 30))), y, 0))
+        docs.append((" ".join(r.choice(["cat", "sat", "mat", "hut"] * 4 + ["vile", "scum"] * (1 + 12 * y)) for _ in range(r.randint(5, 30))), y, 0))
     sample = spark.createDataFrame(docs, "text string, y int, part int")
     m = toxicity._fitted(toxicity._counts(sample))
     toxic, clean = (Counter(w for t, y, _ in docs if y == k for w in t.split()) for k in (1, 0))
