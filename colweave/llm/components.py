@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from colweave.llm.store import heavy_join, settle
 
 
-def _stars(pairs: DataFrame) -> DataFrame:
+def _stars(pairs: DataFrame, total: int) -> DataFrame:
     """Each node u's other ends v, with the least of u and all its v."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    return heavy_join(pairs, settle(least, "least"), "u", "n").select("u", "v", F.least("u", "m").alias("m"))
+    return heavy_join(pairs, settle(least, "least"), "u", "n", total=total).select("u", "v", F.least("u", "m").alias("m"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,15 +24,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     of very many edges are joined by broadcast.
     """
     now = settle(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+    sign = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
+    mark = sign(now)
+    while mark.n:
+        seen = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = settle(_stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        small = _stars(large)
+        large = settle(_stars(both, 2 * mark.n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        small = _stars(large, mark.n)
         hung = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = settle(hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        mark = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
+        mark = sign(now)
         if mark == seen:
             break
-        seen = mark
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

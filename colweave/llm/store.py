@@ -61,13 +61,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def heavy_join(rows: DataFrame, values: DataFrame, key: str, weight: str, share: float = 0.001) -> DataFrame:
+def heavy_join(rows: DataFrame, values: DataFrame, key: str, weight: str, share: float = 0.001, total: int | None = None) -> DataFrame:
     """``rows`` joined with ``values`` (one row a key, with ``weight``, the rows that have it; dropped), keys of any size.
 
     A key of over ``share`` of all rows would be one task's: there are at most 1 / share such
     keys, and they are broadcast.  The rest meet by a shuffle.
     """
-    total = values.agg(F.sum(weight)).first()[0] or 0
+    total = (values.agg(F.sum(weight)).first()[0] or 0) if total is None else total
     hot = F.col(weight) > max(total * share, 1)
     few = values.where(hot).drop(weight).withColumn("__hot", F.lit(True))
     marked = rows.join(F.broadcast(few.select(key, "__hot")), key, "left")
