@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,16 +54,23 @@ class Index(dict):
         return self["nodes"].select("node_idx", "block_idx", "label").join(rows, "node_idx")
 
 
-def build_index(cells: DataFrame, seg: DataFrame | None = None, *, skip_text: bool = False, skip_support: bool = False) -> Index:
-    """All tables of an alignment and a segmentation (of most blocks, unless given)."""
-    ranked = settle(A.with_rank(cells), "ranked")
-    seg = settle(G.max_blocks(settle(G.find_block_boundaries(ranked), "raw")) if seg is None else seg, "seg")
-    rows = settle(B.block_rows(ranked, seg), "block-rows")
-    nodes = settle(B.nodes(rows), "nodes")
-    edges = settle(B.edges(rows, nodes), "edges")
+def build_index(cells: DataFrame, seg: DataFrame | None = None, *, skip_text: bool = False, skip_support: bool = False, progress: Callable[[str], None] | None = None) -> Index:
+    """All tables of an alignment and a segmentation (of most blocks, unless given); ``progress`` hears of each table that is written."""
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        out = settle(df, name)
+        if progress is not None:
+            progress(name)
+        return out
+
+    ranked = written(A.with_rank(cells), "ranked")
+    seg = written(G.max_blocks(written(G.find_block_boundaries(ranked), "raw")) if seg is None else seg, "seg")
+    rows = written(B.block_rows(ranked, seg), "block-rows")
+    nodes = written(B.nodes(rows), "nodes")
+    edges = written(B.edges(rows, nodes), "edges")
     out = Index(ranked=ranked, seg=seg, rows=rows, nodes=nodes, edges=edges)
     if not skip_support:
-        graph_blocks = settle(B.blocks(nodes, seg), "blocks")
+        graph_blocks = written(B.blocks(nodes, seg), "blocks")
         out |= {"paths": B.node_paths(rows, nodes), "blocks": graph_blocks, "vectors": B.support_vectors(nodes, edges, B.edge_ranks(edges), graph_blocks)}
     if not skip_text:
         out["lines"] = B.text_offsets(B.indexable_lines(nodes, edges))

@@ -100,7 +100,9 @@ def test_graph_invariants(spark, tmp_path):
     rows = ["ACGTACGGTTAACCGT", "ACGTAC-GTTAACC-T", "ACCTACGGT-AACCGT", "AC-TACGGTTTACCGT"]
     cells = A.cells_of(spark.createDataFrame(list(enumerate(rows)), "seq_id int, seq string"))
     seg = spark.createDataFrame([(0, 0, 5), (1, 5, 10), (2, 10, 16)], "block_idx int, lb bigint, rb bigint")
-    index = build_index(cells, seg)
+    told = []
+    index = build_index(cells, seg, progress=told.append)
+    assert told == ["ranked", "seg", "block-rows", "nodes", "edges", "blocks"]
     walk = {}
     for r in index["rows"].orderBy("seq_id", "block_idx").collect():
         walk[r.seq_id] = walk.get(r.seq_id, "") + r.label
