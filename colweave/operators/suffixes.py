@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colweave.functions.scratch import settle
@@ -82,7 +82,7 @@ def _sorted_part(offset: int, length: int):
         same = group[1:] == group[:-1]
         return np.where(same, offset + count, -1), same & (count == length)
 
-    def rows(part, at, c, kept, up, down, klass, edge) -> pa.RecordBatch:
+    def rows(part, at, kept, up, down, klass, edge) -> pa.RecordBatch:
         text_id, pos, size, group = kept
         n = len(pos)
         cols = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), pa.array(text_id), pa.array(pos), pa.array(size), pa.array(group), pa.array(up.astype(np.int32)), pa.array(down.astype(np.int32)), pa.array(klass), pa.array(edge, pa.string())]
@@ -104,11 +104,11 @@ def _sorted_part(offset: int, length: int):
             if n:
                 classes = klass + np.concatenate([[0], np.cumsum(~alike)])
                 edge = [str(piece[0]) if at + k == 0 else None for k in range(n)]
-                yield rows(part, at, 0, [x[:n] for x in own], np.concatenate([[up0], count[:-1]]), count, classes[:n], edge)
+                yield rows(part, at, [x[:n] for x in own], np.concatenate([[up0], count[:-1]]), count, classes[:n], edge)
                 at, klass, up0 = at + n, int(classes[n]), int(count[-1])
             held = [x[n:] for x in own], piece[n:]
         if held is not None:  # the last row of the part: -2 stands for a neighbour in another part
-            yield rows(part, at, 0, held[0], np.array([up0]), np.array([-2]), np.array([klass]), [str(held[1][0])])
+            yield rows(part, at, held[0], np.array([up0]), np.array([-2]), np.array([klass]), [str(held[1][0])])
 
     return run, "part int, at bigint, text_id bigint, pos bigint, size bigint, `group` bigint, up int, down int, `class` bigint, edge string"
 
@@ -170,7 +170,6 @@ def suffix_order(texts: DataFrame, length: int = PIECE) -> DataFrame:
 
     Exact for repeats of any length.
     """
-    last: DataFrame | None = None
     blocks = settle(text_blocks(texts, BLOCK), "blocks")
     size = F.length("s")
     now = texts.where(size > 0).select(F.col("text_id").cast("bigint"), F.explode(F.sequence(F.lit(0).cast("bigint"), size.cast("bigint") - 1)).alias("pos"), size.cast("bigint").alias("all"))
@@ -199,7 +198,8 @@ def suffix_order(texts: DataFrame, length: int = PIECE) -> DataFrame:
         now = settle(rest.where("first IS NOT NULL").select("text_id", "pos", "size", F.col("class").alias("group")), "rest")
         base = crowd.select(F.col("class").alias("group"), F.col("first.idx").alias("first_idx"), F.col("first.lcp").alias("first_lcp"))
         offset, step = offset + step, offset + step
-    for p in parts:
-        last = p if last is None else last.unionByName(p)
+    last = parts[0]
+    for p in parts[1:]:
+        last = last.unionByName(p)
     before = windows(blocks, 1).select("text_id", (F.col("pos") + 1).alias("pos"), F.col("win").alias("ch"))
     return last.join(before, ["text_id", "pos"], "left").select("text_id", F.col("pos").cast("int").alias("pos"), F.col("idx").cast("bigint").alias("idx"), F.least(F.col("lcp"), F.col("size")).cast("int").alias("lcp"), F.coalesce("ch", F.lit("$")).alias("ch"))
