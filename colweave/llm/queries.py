@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from colweave.llm.clusters import cluster
 from colweave.llm.decontaminate import find_leaks
 from colweave.llm.langid import learn_languages, score_languages
 from colweave.llm.licenses import scan_licenses
@@ -98,3 +99,31 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(read_table(spark, sf_dir, "embeddings"), count=8, rounds=10, scale=1024.0, dims=64, seed=3)
+
+
+def _rounds(n: int) -> str:
+    """Common table expressions c0 to c<n> (c, v) of centroids over kept vectors k (r, vec_id, v), and the last assignment ``placed``."""
+    near = "SELECT k.r, any_value(k.vec_id) AS vec_id, any_value(k.v) AS v, min({{'d': list_inner_product(k.v, k.v) - 2 * list_inner_product(k.v, c.v) + list_inner_product(c.v, c.v), 'c': c.c}}) AS b FROM k, {0} c GROUP BY k.r"
+    out = ["c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM k WHERE vec_id IS NOT NULL QUALIFY c < 8)"]
+    for i in range(1, n + 1):
+        out.append(f"a{i} AS MATERIALIZED ({near.format(f'c{i - 1}')})")
+        sums = f"SELECT b.c AS c, j, CAST(sum(CAST(v[j] AS BIGINT)) AS BIGINT) AS s, count(*) AS n FROM a{i}, range(1, 65) t(j) GROUP BY ALL"
+        out.append(f"c{i} AS MATERIALIZED (SELECT o.c AS c, coalesce(w.v, o.v) AS v FROM c{i - 1} o LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY j) AS v FROM ({sums}) GROUP BY c) w ON w.c = o.c)")
+    out.append(f"placed AS MATERIALIZED ({near.format(f'c{n}')})")
+    return ", ".join(out)
+
+
+ORACLES["op11_centroids"] = f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, CAST(vec_id AS BIGINT) AS vec_id, [floor(1024.0 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF isfinite(x)]) = 64),
+{_rounds(10)}
+SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, CAST(b.d AS BIGINT) AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string([CAST(x AS BIGINT) FOR x IN f.v], ',')) AS centroid_sha256
+FROM placed p JOIN c10 f ON f.c = p.b.c
+"""
