@@ -13,6 +13,7 @@ from colweave.llm.langid import learn_languages, score_languages
 from colweave.llm.licenses import scan_licenses
 from colweave.llm.mixing import mix
 from colweave.llm.quality import quality
+from colweave.llm.relative import strip_repeats
 from colweave.llm.simhash import near_duplicates
 from colweave.llm.store import fold, read_table, ship
 from colweave.llm.token_counts import count_tokens
@@ -127,3 +128,23 @@ SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, CAST(b.d AS BIGINT) AS distance,
   CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string([CAST(x AS BIGINT) FOR x IN f.v], ',')) AS centroid_sha256
 FROM placed p JOIN c10 f ON f.c = p.b.c
 """
+
+
+@query
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strip_repeats(read_table(spark, sf_dir, "documents"), window=50).drop("text", "factors")
+
+
+ORACLES["op12_substring_dedup"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS MATERIALIZED (
+  SELECT r, doc_id, i, w[i] AS word, CASE WHEN i + 49 <= len(w) AND doc_id IS NOT NULL THEN md5(array_to_string(w[i:i + 49], ' ')) END AS k
+  FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+f AS (SELECT k, min(doc_id) AS first FROM p WHERE k IS NOT NULL GROUP BY k),
+m AS (SELECT p.*, coalesce(f.first < p.doc_id, false) AS again FROM p LEFT JOIN f ON f.k = p.k),
+c AS (SELECT r, i, word, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m),
+g AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY r)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.r = d.r
+"""
