@@ -20,6 +20,7 @@ from colweave.llm.token_counts import count_tokens
 from colweave.llm.token_shards import token_shards
 from colweave.llm.topk import top_k
 from colweave.llm.toxicity import toxicity
+from colweave.llm.variants import variants
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +149,34 @@ g AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN g ON g.r = d.r
 """
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(read_table(spark, sf_dir, "documents"), every=199, least_letters=6, least=5, ratio=5)
+
+
+ORACLES["op13_spelling_variants"] = r"""
+WITH RECURSIVE tab AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS MATERIALIZED (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, [CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run), '..')]),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM runs, tab),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+spots AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS z FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+near AS MATERIALIZED (
+  SELECT DISTINCT x.word, y.word AS other, y.n AS other_n FROM spots x JOIN spots y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM spots x JOIN words y ON x.a || x.z = y.word
+  UNION SELECT y.word, x.word, x.n FROM spots x JOIN words y ON x.a || x.z = y.word),
+best AS (SELECT word, count(*) AS n_near, min({'n': -other_n, 'w': other}) AS b FROM near GROUP BY word),
+formed AS MATERIALIZED (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.n >= 5 * n THEN b.w END AS form, CASE WHEN -b.n >= 5 * n THEN -b.n END AS form_n FROM words LEFT JOIN best ON best.word = words.word),
+ways(word, root, form) AS (
+  SELECT word, word, form FROM formed UNION ALL SELECT w.word, f.word, f.form FROM ways w JOIN formed f ON f.word = w.form)
+SELECT f.word, f.form, w.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n FROM formed f JOIN ways w ON w.word = f.word AND w.form IS NULL
+"""
