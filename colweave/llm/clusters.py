@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colweave.llm.store import settle
-from colweave.llm.topk import integer_vectors
 
 #: Components that are added before centroids are abandoned again; rows that are looked at together.
 STEP, ROWS = 8, 4096
@@ -117,7 +116,9 @@ def cluster(vectors: DataFrame, *, count: int = 8, rounds: int = 10, scale: floa
     the smaller vector); each of ``rounds`` rounds assigns all vectors and moves the centroids.
     """
     spark = vectors.sparkSession
-    kept = settle(integer_vectors(vectors, id_col, vector_col, scale).where(F.size("v") == dims), "vectors")
+    x = F.col(vector_col)
+    whole = (F.size(x) == dims) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
+    kept = settle(vectors.where(whole).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double"))).alias("v")), "vectors")
     first = kept.where("vec_id IS NOT NULL").orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256), "v").limit(count).collect()
     schema = "vec_id bigint, cluster int, distance bigint"
     if not first:
