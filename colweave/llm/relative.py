@@ -180,7 +180,7 @@ def _windows(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x.as_py())) for x in (d, r)] + [pa.array((at + base).astype(np.int32)), *map(pa.array, keys)], names)
                     a = z
 
-    lists = wanted.groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    lists = settle(wanted.groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "boundaries")
     one = texts.join(lists, ["doc_id", "row"]).select("doc_id", "row", "text", "spans")
     return one.mapInArrow(run, "doc_id long, row long, at int, k1 long, k2 long")
 
@@ -196,13 +196,14 @@ def matches(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_c
     known = blocks.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.min("content").alias("c"), F.max("content").alias("d"))
     shared = settle(known.where("a < z").select("anchor", (F.col("c") < F.col("d")).alias("differ")), "anchors")
     index = settle(blocks.join(shared, "anchor"), "index")
-    first = index.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "lo")).alias("f"))
+    # minima are written before they meet their rows: a join of two tables is split where a key is hot
+    first = settle(index.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "lo")).alias("f")), "firsts")
     placed = settle(index.join(first, ["anchor", "content"]).select("doc_id", "row", "lo", "hi", F.col("f.doc_id").alias("source"), F.col("f.lo").alias("source_start"), "differ"), "placed")
     whole = placed.where("source < doc_id").select("doc_id", "row", F.col("lo").alias("start"), (F.col("hi") + window).alias("end"), "source", "source_start")
     # boundaries: blocks that differ from others of their anchor, each in the first document that has it
     own = settle(_windows(texts, placed.where("differ AND source = doc_id"), window), "windows")
     earliest = own.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id < last").drop("last")
-    part = own.join(earliest, ["k1", "k2"]).where("f.doc_id < doc_id").select("doc_id", "row", F.col("at").alias("start"), (F.col("at") + window).alias("end"), F.col("f.doc_id").alias("source"), F.col("f.at").alias("source_start"))
+    part = own.join(settle(earliest, "earliest"), ["k1", "k2"]).where("f.doc_id < doc_id").select("doc_id", "row", F.col("at").alias("start"), (F.col("at") + window).alias("end"), F.col("f.doc_id").alias("source"), F.col("f.at").alias("source_start"))
     return whole.unionByName(part)
 
 
@@ -238,8 +239,8 @@ def factored(pieces: list[tuple[int, int, int, int]]) -> list[tuple[int, int, in
 
 def strip_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, text (kept words joined by a space), factors (start, end, source, source_start; disjoint, in order) of every row."""
-    found = settle(matches(docs, window=window, id_col=id_col, text_col=text_col), "matches")
-    lists = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end", "source", "source_start")).alias("pieces"))
+    found = matches(docs, window=window, id_col=id_col, text_col=text_col)
+    lists = settle(found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end", "source", "source_start")).alias("pieces")), "pieces")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "text", "factors"]
     factor = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
 
