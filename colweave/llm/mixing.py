@@ -63,6 +63,8 @@ def _buckets(text: Column) -> Column:
 def learn_domains(docs: DataFrame, labels: DataFrame, domains: list[str]) -> tuple[DataFrame, list[float]]:
     """Log-likelihoods: bucket, ll (one a domain, less the first one's); and log-priors."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of().alias("domain")).where("doc_id IS NOT NULL AND domain IS NOT NULL")
+    # labels of ids that no document has are none: they don't use up the bound
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     sample = known.orderBy(F.xxhash64("doc_id", "domain"), "doc_id", "domain").limit(TRAIN_ROWS)
     # TRAIN_ROWS rows at most: texts stay where they are, and counts are combined before the shuffle
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("domain", _buckets(F.col("text")).alias("b"))
