@@ -3,13 +3,38 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, where neither their path nor their folder is sure to have it."""
+    root = Path(__file__).resolve().parent.parent.parent
+    known = {os.path.abspath(p) for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep))}
+    app = spark.sparkContext.applicationId
+    if str(root) in known or app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='colweave-')}/colweave", "zip", root, "colweave")
+    spark.sparkContext.addPyFile(archive)
+
+
+def present(df: DataFrame) -> bool:
+    """Whether the files that a written table is read from are all there."""
+    spark = df.sparkSession
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    folders = {p.getParent().toString(): p for p in paths}
+    conf = spark._jsc.hadoopConfiguration()
+    # a table is emptied as a whole: one look into each folder
+    return bool(paths) and all(p.getFileSystem(conf).exists(p) for p in folders.values())
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colweave.functions.order import numbered
-from colweave.functions.scratch import settle
+from colweave.functions.scratch import present, settle, ship
 from colweave.operators import alignment as A
 from colweave.operators import find as Q
 from colweave.operators import graph as B
@@ -15,7 +15,7 @@ from colweave.operators import suffixes as S
 from colweave.operators import text as X
 from colweave.operators import tools as T
 from colweave.plans.oracle import sql
-from colweave.sources.alignments import column_range, derived_cells
+from colweave.sources.alignments import derived_cells
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +28,7 @@ class Tables:
         self.spark, self.dir, self._known = spark, sf_dir.rstrip("/"), {}
 
     def _once(self, name: str, make) -> DataFrame:
-        if name not in self._known:
+        if name not in self._known or not present(self._known[name]):
             self._known[name] = settle(make(), name)
         return self._known[name]
 
@@ -43,9 +43,9 @@ class Tables:
     def ranked(self) -> DataFrame:
         return self._once("ranked", lambda: A.with_rank(self.cells))
 
-    @property
-    def msa(self) -> DataFrame:
-        return A.rows_of(self.cells)
+    def columns(self, lb: int, rb: int) -> DataFrame:
+        """seq_id, seq: columns [lb, rb) of the aligned rows; no other column is read into them."""
+        return A.rows_of(self.cells.where(F.col("col").between(lb, rb - 1)))
 
     @property
     def prefixes(self) -> DataFrame:
@@ -86,7 +86,8 @@ class Tables:
     @property
     def patterns(self) -> DataFrame:
         """Slices of the first row, and two strangers."""
-        s = self.cells.where("seq_id = 0").groupBy().agg(F.substring(A.degap(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "ch"))), lambda x: x["ch"]), "")), 1, 400).alias("s"))
+        # the first 400 characters, by their ranks
+        s = self.ranked.where("seq_id = 0 AND nb < 400 AND ch <> '-'").groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "ch"))), lambda x: x["ch"]), "").alias("s"))
         cut = s.select("s", F.explode(F.sequence(F.lit(1), F.lit(179), F.lit(23))).alias("p")).withColumn("l", F.explode(F.lit([3, 6, 9, 14, 30])))
         own = cut.select(F.substring(F.col("s"), F.col("p"), F.col("l")).alias("pattern"))
         return own.unionByName(self.spark.createDataFrame([("ACGTTGCAACGT",), ("GG",)], "pattern string")).distinct()
@@ -124,7 +125,12 @@ def query(final: str | None):
 
     def register(f):
         name = f.__name__.rstrip("_")
-        QUERIES[name] = lambda spark, sf_dir: f(tables(spark, sf_dir))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(tables(spark, sf_dir))
+
+        QUERIES[name] = run
         if final:
             ORACLES[name] = sql(final)
         return f
@@ -149,7 +155,7 @@ def valid_columns(t: Tables) -> DataFrame:
 
 @query("SELECT seq_id, replace(substr(seq, 11, 40), '-', '') AS seq FROM msa")
 def degap(t: Tables) -> DataFrame:
-    return column_range(t.msa, 10, 50).select("seq_id", A.degap(F.col("seq")).alias("seq"))
+    return t.columns(10, 50).select("seq_id", A.degap(F.col("seq")).alias("seq"))
 
 
 @query("SELECT seq_id, CAST(sum(CASE WHEN ch = '-' THEN 1 ELSE 0 END) AS BIGINT) AS gaps, count(*) AS length FROM cells GROUP BY seq_id")
@@ -174,7 +180,7 @@ def valid_blocks(t: Tables) -> DataFrame:
 
 @query("SELECT CAST(a.seq_id AS INT) AS a, CAST(b.seq_id AS INT) AS b, CASE WHEN replace(substr(a.seq, 1, 30), '-', '') < replace(substr(b.seq, 1, 30), '-', '') THEN -1 WHEN replace(substr(a.seq, 1, 30), '-', '') = replace(substr(b.seq, 1, 30), '-', '') THEN 0 ELSE 1 END AS cmp FROM msa a JOIN msa b ON b.seq_id = (a.seq_id + 1) % 8")
 def gap_insensitive_cmp(t: Tables) -> DataFrame:
-    m = column_range(t.msa, 0, 30)
+    m = t.columns(0, 30)
     other = m.select(F.col("seq_id").alias("b"), F.col("seq").alias("o"))
     return m.join(other, (F.col("seq_id") + 1) % 8 == F.col("b")).select(F.col("seq_id").alias("a"), "b", A.gap_insensitive_order(F.col("seq"), F.col("o")).alias("cmp"))
 

@@ -2,10 +2,14 @@
 
 import glob
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
+from colweave.functions import scratch
 from colweave.plans.catalog import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -38,3 +42,30 @@ def test_changed_files_give_new_rows(spark, tmp_path):
         assert QUERIES["gap_rank"](spark, str(tmp_path)).count() == 8 * n
         gaps = sum((k + 5 * j) % 29 == 0 for k in range(n) for j in range(8))
         assert QUERIES["gap_select"](spark, str(tmp_path)).count() == 8 * n - gaps
+
+
+def test_tables_that_are_gone_are_made_again(spark, tmp_path, monkeypatch):
+    """Somebody empties the shared folder between two queries."""
+    monkeypatch.setattr(scratch, "_LOCAL", [f"file://{tmp_path}/one"])
+    spark.read.parquet(f"{DIR}/part.parquet").where("p_partkey < 60").write.parquet(str(tmp_path / "in" / "part.parquet"))
+    want = sorted(map(tuple, QUERIES["gap_select"](spark, str(tmp_path / "in")).collect()))
+    shutil.rmtree(tmp_path / "one")
+    assert want and sorted(map(tuple, QUERIES["gap_select"](spark, str(tmp_path / "in")).collect())) == want
+
+
+def test_from_another_folder(tmp_path):
+    """Workers get the package though neither their folder nor PYTHONPATH has it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+from colweave.functions import scratch
+from colweave.plans.catalog import QUERIES
+spark.read.parquet("{DIR}/part.parquet").where("p_partkey < 40").write.parquet("{tmp_path}/in/part.parquet")
+print("rows", QUERIES["block_boundaries"](spark, "{tmp_path}/in").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 40" in out.stdout, out.stderr[-2000:]
