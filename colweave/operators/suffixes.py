@@ -8,7 +8,7 @@ long.  So repeats of any length are told apart, and the work follows the repeats
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -170,16 +170,29 @@ def suffix_order(texts: DataFrame, length: int = PIECE) -> DataFrame:
 
     Exact for repeats of any length.
     """
-    blocks = settle(text_blocks(texts, BLOCK), "blocks")
     size = F.length("s")
     now = texts.where(size > 0).select(F.col("text_id").cast("bigint"), F.explode(F.sequence(F.lit(0).cast("bigint"), size.cast("bigint") - 1)).alias("pos"), size.cast("bigint").alias("all"))
-    now = now.select("text_id", "pos", (F.col("all") - F.col("pos")).alias("size"), F.lit(0).cast("bigint").alias("group"))
+    return _order(now.select("text_id", "pos", (F.col("all") - F.col("pos")).alias("size")), lambda n: text_blocks(texts, n), length)
+
+
+def cell_order(ranked: DataFrame, length: int = PIECE) -> DataFrame:
+    """The same of the ungapped rows of an alignment, whose rows aren't put together for it; text_id is seq_id."""
+    kept = ranked.where("ch <> '-'")
+    sizes = kept.groupBy("seq_id").agg(F.count("*").alias("all"))
+    now = kept.join(sizes, "seq_id").select(F.col("seq_id").cast("bigint").alias("text_id"), F.col("nb").cast("bigint").alias("pos"), (F.col("all") - F.col("nb")).alias("size"))
+    return _order(now, lambda n: cell_blocks(ranked, n), length)
+
+
+def _order(suffixes: DataFrame, blocks_of: Callable[[int], DataFrame], length: int) -> DataFrame:
+    """The order of suffixes (text_id, pos, size) of texts that ``blocks_of`` gives in blocks of a size."""
+    now = suffixes.withColumn("group", F.lit(0).cast("bigint"))
+    blocks = settle(blocks_of(BLOCK), "blocks")
     base = None
     offset, step = 0, length
     parts: list[DataFrame] = []
     while True:
         if step > BLOCK:
-            blocks = settle(text_blocks(texts, step), "blocks")
+            blocks = settle(blocks_of(step), "blocks")
         placed = sorted_suffixes(pieces(now, blocks, max(BLOCK, step), offset, step), offset, step)
         # a group's places start at its rank in the round before; its first suffix shares what the group shared
         if base is None:

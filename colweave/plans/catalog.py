@@ -10,10 +10,12 @@ from colweave.functions.scratch import present, settle, ship
 from colweave.operators import alignment as A
 from colweave.operators import find as Q
 from colweave.operators import graph as B
+from colweave.operators import ranges as N
 from colweave.operators import segmentation as G
 from colweave.operators import suffixes as S
 from colweave.operators import text as X
 from colweave.operators import tools as T
+from colweave.operators import tree as R
 from colweave.plans.oracle import sql
 from colweave.sources.alignments import derived_cells
 
@@ -83,6 +85,29 @@ class Tables:
     def names(self) -> DataFrame:
         return self.read("part").where("p_name IS NOT NULL").select(F.col("p_partkey").cast("bigint").alias("text_id"), F.col("p_name").alias("s"))
 
+    @property
+    def order(self) -> DataFrame:
+        return self._once("order", lambda: X.suffix_array(self.names))
+
+    @property
+    def back_order(self) -> DataFrame:
+        return self._once("back-order", lambda: X.suffix_array(self.names.select("text_id", F.reverse("s").alias("s"))))
+
+    @property
+    def rows_order(self) -> DataFrame:
+        """The order of the ungapped rows."""
+        return self._once("rows-order", lambda: S.cell_order(self.ranked))
+
+    def rank_tables(self, order: DataFrame, last: DataFrame, name: str) -> N.RankTables:
+        built: list[N.RankTables] = []
+
+        def part(k: int) -> DataFrame:
+            if not built:
+                built.append(N.rank_tables(order, last))
+            return (built[0].blocks, built[0].symbols)[k]
+
+        return N.RankTables(self._once(f"{name}-blocks", lambda: part(0)), self._once(f"{name}-symbols", lambda: part(1)))
+
     @property
     def patterns(self) -> DataFrame:
         """Slices of the first row, and two strangers."""
@@ -470,6 +495,11 @@ def lcp_array(t: Tables) -> DataFrame:
     return X.suffix_array(t.names).select("idx", "lcp")
 
 
+@query("SELECT lb, rb, CAST(depth AS INT) AS depth, parent_lb, parent_rb, parent_depth FROM tup")
+def suffix_tree_nodes(t: Tables) -> DataFrame:
+    return R.suffix_tree(t.order)
+
+
 @query("SELECT idx, prev_char AS ch FROM sa")
 def bwt(t: Tables) -> DataFrame:
     return X.bwt(X.suffix_array(t.names))
@@ -485,6 +515,22 @@ def pattern_count(t: Tables) -> DataFrame:
     return X.pattern_counts(lambda size: S.cell_blocks(t.ranked, size), t.patterns)
 
 
+@query("SELECT pattern, (SELECT count(*) FROM (SELECT s, unnest(range(1, length(s) + 1)) AS p FROM ungapped) u WHERE substr(s, p, length(pattern)) = pattern) AS n FROM pats")
+def stored_pattern_count(t: Tables) -> DataFrame:
+    """The same counts from the order's tables alone."""
+    last = t.ranked.where("ch <> '-'").groupBy("seq_id").agg(F.max_by("ch", "nb").alias("ch"))
+    return N.stored_counts(t.patterns, t.rank_tables(t.rows_order, last, "rows"))
+
+
+@query("SELECT a.pattern, a.lb, a.rb, b.lb AS co_lb, b.rb AS co_rb FROM (SELECT pattern, min(idx) AS lb, max(idx) AS rb FROM sa JOIN kmers_ ON starts_with(suf, pattern) GROUP BY pattern) a JOIN (SELECT pattern, min(idx) AS lb, max(idx) AS rb FROM rsa JOIN kmers_ ON starts_with(suf, reverse(pattern)) GROUP BY pattern) b USING (pattern)")
+def alternating_ranges(t: Tables) -> DataFrame:
+    """Both ranges of each pattern in step, extended from its middle to the left and to the right in turn."""
+    patterns = t.names.select(F.substring("s", 1, 3).alias("pattern")).unionByName(t.names.select(F.substring("s", 2, 4).alias("pattern")))
+    back = t.names.select("text_id", F.reverse("s").alias("s"))
+    ahead, behind = t.rank_tables(t.order, N.last_symbols(t.names), "ahead"), t.rank_tables(t.back_order, N.last_symbols(back), "behind")
+    return N.alternating_ranges(patterns, ahead, behind)
+
+
 @query("SELECT * FROM found_")
 def find_patterns_batch(t: Tables) -> DataFrame:
     return Q.find(t.patterns, t.ranked, t.seg, t.lines, t.nodes, t.edges, t.paths)

@@ -54,6 +54,10 @@ FROM part CROSS JOIN seqs""",
     "names": "SELECT CAST(p_partkey AS BIGINT) AS text_id, p_name AS s FROM part WHERE p_name IS NOT NULL",
     "sufs": "SELECT text_id, CAST(pos AS INT) AS pos, substr(s, CAST(pos AS BIGINT) + 1, length(s)) AS suf, CASE WHEN pos = 0 THEN '$' ELSE substr(s, CAST(pos AS BIGINT), 1) END AS prev_char FROM (SELECT text_id, s, unnest(range(length(s))) AS pos FROM names)",
     "sa": "SELECT CAST(row_number() OVER (ORDER BY suf, text_id, pos) - 1 AS BIGINT) AS idx, text_id, pos, suf, prev_char FROM sufs",
+    "sal": "SELECT idx, suf, CAST(CASE WHEN p IS NULL THEN 0 ELSE (SELECT count(*) FROM (SELECT unnest(range(1, least(length(suf), length(p)) + 1)) AS k) z WHERE substr(suf, 1, CAST(k AS BIGINT)) = substr(p, 1, CAST(k AS BIGINT))) END AS INT) AS lcp FROM (SELECT idx, suf, lag(suf) OVER (ORDER BY idx) AS p FROM sa)",
+    "tpre": "SELECT DISTINCT lcp AS depth, substr(suf, 1, lcp) AS pre FROM sal WHERE idx > 0",
+    "tnode": "SELECT depth, pre, min(idx) AS lb, max(idx) AS rb FROM tpre JOIN (SELECT idx, suf, unnest(range(length(suf) + 1)) AS d FROM sal) x ON x.d = depth AND substr(x.suf, 1, CAST(x.d AS BIGINT)) = pre GROUP BY ALL",
+    "tup": "SELECT n.lb, n.rb, n.depth, max_by(p.lb, p.depth) AS parent_lb, max_by(p.rb, p.depth) AS parent_rb, CAST(max(p.depth) AS INT) AS parent_depth FROM tnode n LEFT JOIN tnode p ON p.depth < n.depth AND starts_with(n.pre, p.pre) GROUP BY ALL",
     "rnames": "SELECT text_id, reverse(s) AS s FROM names",
     "rsa": "SELECT CAST(row_number() OVER (ORDER BY suf, text_id, pos) - 1 AS BIGINT) AS idx, suf FROM (SELECT text_id, pos, substr(s, CAST(pos AS BIGINT) + 1, length(s)) AS suf FROM (SELECT text_id, s, unnest(range(length(s))) AS pos FROM rnames))",
     "kmers_": "SELECT DISTINCT pattern FROM (SELECT substr(s, 1, 3) AS pattern FROM names UNION ALL SELECT substr(s, 2, 4) FROM names) WHERE pattern <> ''",
@@ -75,7 +79,7 @@ FROM part CROSS JOIN seqs""",
     "evr": "SELECT user_id AS key, lb, lb + 1 + event_id % 7 AS rb FROM (SELECT user_id, event_id, event_id % 19 AS lb FROM events)",
     "evt": "SELECT user_id AS key, 'the quick brown fox ' || CAST(user_id AS VARCHAR) AS s FROM (SELECT DISTINCT user_id FROM events)",
 }
-_MATERIALIZED = {"whole", "longest", "sa", "least", "ranked", "wins", "mem", "mk", "mc", "tx", "raw", "ivs", "nxt", "brows", "labels_", "nodes", "own", "edges", "parts", "sufs", "spots", "phits", "seg"}
+_MATERIALIZED = {"sal", "tpre", "tnode", "whole", "longest", "sa", "least", "ranked", "wins", "mem", "mk", "mc", "tx", "raw", "ivs", "nxt", "brows", "labels_", "nodes", "own", "edges", "parts", "sufs", "spots", "phits", "seg"}
 
 
 def sql(final: str) -> str:
