@@ -47,10 +47,8 @@ def _runs(text: str) -> Iterator[list[str]]:
         at = end
 
 
-def altered(run: str, crc: int, every: int) -> str:
-    """The run without one code point, if ``every`` divides crc."""
-    if crc % every:
-        return run
+def without(run: str, crc: int) -> str:
+    """The run without the code point that crc names."""
     k = crc % len(run)
     return run[:k] + run[k + 1 :]
 
@@ -59,7 +57,7 @@ def word_counts(docs: DataFrame, *, every: int = 199, least_letters: int = 6, le
     """word, n: words of at least ``least_letters`` code points and ``least`` occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        counts: dict[str, int] = {}
 
         def out() -> pa.RecordBatch:
             rows = pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
@@ -72,9 +70,12 @@ def word_counts(docs: DataFrame, *, every: int = 199, least_letters: int = 6, le
                 for found in _runs(t.as_py()):
                     for word, n in Counter(found).items():
                         if len(word) >= least_letters:
-                            word = altered(word, zlib.crc32(word.encode(), start), every)
-                            if len(word) >= least_letters:
-                                counts[word] += n
+                            crc = zlib.crc32(word.encode(), start)
+                            if crc % every == 0:
+                                word = without(word, crc)
+                                if len(word) < least_letters:
+                                    continue
+                            counts[word] = counts.get(word, 0) + n
                     if len(counts) > COUNTED:
                         yield out()
         if counts:
@@ -90,24 +91,39 @@ def one_apart(a: str, b: str) -> bool:
         a, b = b, a
     if len(b) - len(a) > 1 or a == b:
         return False
-    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    k = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        k += 1
     return a[k + (len(a) == len(b)) :] == b[k + 1 :]
 
 
 class Halves:
-    """An automaton over both halves of words of one length."""
+    """An automaton over both halves of words of one length.
+
+    The half that is not whole has its edit in one of its own two parts, and the other part is
+    whole: the words of a half are filed under each of these parts as well, so that what is left
+    for the distance to decide shares three quarters with the word.
+    """
 
     def __init__(self, words: list[str]):
-        self.size = len(words[0]) if words else 0
-        self.left: dict[str, list[int]] = {}
-        self.right: dict[str, list[int]] = {}
         self.words = words
-        for k, w in enumerate(words):
-            self.left.setdefault(w[: self.size // 2], []).append(k)
-            self.right.setdefault(w[self.size // 2 :], []).append(k)
+        self.size = len(words[0]) if words else 0
+        self.half = self.size // 2
+        #: ends of the first and the third quarter
+        self.cuts = self.half // 2, self.half + (self.size - self.half) // 2
+        self.left: dict[tuple[str, int, str], list[int]] = {}
+        self.right: dict[tuple[str, int, str], list[int]] = {}
         self.automaton = ahocorasick.Automaton()
-        for half in self.left.keys() | self.right.keys():
-            self.automaton.add_word(half, half)
+        one, three = self.cuts
+        for k, w in enumerate(words):
+            first, second = w[: self.half], w[self.half :]
+            for files, half, parts in ((self.left, first, (w[self.half : three], w[three:])), (self.right, second, (w[:one], w[one : self.half]))):
+                for n, part in enumerate(parts):
+                    files.setdefault((half, n, part), []).append(k)
+            self.automaton.add_word(first, first)
+            self.automaton.add_word(second, second)
         if words:
             self.automaton.make_automaton()
 
@@ -116,11 +132,16 @@ class Halves:
         found: set[int] = set()
         if not self.words:
             return found
+        one, three = self.cuts
+        n, tail = len(word), self.size - self.half
+        asked: set[int] = set()
         for end, half in self.automaton.iter(word):
-            if end + 1 == len(half):  # a first half at its own offset
-                found.update(k for k in self.left.get(half, ()) if k not in found and one_apart(word, self.words[k]))
-            if end + 1 == len(word):  # a second half, its offset moved by the difference of lengths
-                found.update(k for k in self.right.get(half, ()) if k not in found and one_apart(word, self.words[k]))
+            if end + 1 == self.half == len(half):  # a first half at its own offset
+                asked.update(self.left.get((half, 0, word[self.half : three]), ()), self.left.get((half, 1, word[n - self.size + three :]), ()))
+            if end + 1 == n and len(half) == tail:  # a second half, its offset moved by the difference of lengths
+                asked.update(self.right.get((half, 0, word[:one]), ()), self.right.get((half, 1, word[n - self.size + one : n - tail]), ()))
+        words = self.words
+        found.update(k for k in asked if one_apart(word, words[k]))
         return found
 
 
