@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from colweave.functions.scratch import settle
 
-#: Ranks of a block; ranks that one task cuts into blocks; steps between written tables.
-WIDTH, PART, STEPS = 512, 1 << 17, 4
+#: Ranks of a block; ranks that one task cuts into blocks.
+WIDTH, PART = 512, 1 << 17
 #: Stands for the start of a text among symbols.
 START = "\x01"
 
@@ -128,16 +128,11 @@ def stored_ranges(patterns: DataFrame, tables: RankTables) -> DataFrame:
     """pattern, lb, rb of each different pattern that occurs, from its end to its start."""
     asked = patterns.select("pattern").where("pattern <> ''").distinct().withColumn("k", F.length("pattern"))
     now = settle(started(tables, asked.withColumn("c", _letter(F.col("k")))).drop("c"), "ranges")
-    done = []
-    while not now.isEmpty():
-        for _ in range(STEPS):
-            done.append(now.where("k = 1").select("pattern", "lb", "rb"))
-            going = now.where("k > 1").withColumn("k", F.col("k") - 1)
-            now = extended(tables, going.withColumn("c", _letter(F.col("k")))).drop("c")
-        now = settle(now, "ranges")
-    out = now.select("pattern", "lb", "rb")
-    for d in done:
-        out = out.unionByName(d)
+    out = now.where("k = 1").select("pattern", "lb", "rb")
+    while not (now := now.where("k > 1")).isEmpty():
+        going = now.withColumn("k", F.col("k") - 1)
+        now = settle(extended(tables, going.withColumn("c", _letter(F.col("k")))).drop("c"), "ranges")
+        out = out.unionByName(now.where("k = 1").select("pattern", "lb", "rb"))
     return out
 
 
@@ -157,19 +152,14 @@ def alternating_ranges(patterns: DataFrame, ahead: RankTables, back: RankTables)
     size = F.length("pattern")
     asked = patterns.select("pattern").where("pattern <> ''").distinct().withColumn("a", F.floor((size + 1) / 2)).withColumn("z", F.col("a"))
     now = settle(started(ahead, asked.withColumn("c", _letter(F.col("a"))), "c", "lb", "rb", "co_lb", "co_rb").drop("c"), "states")
-    done, turn = [], 0
-    while not now.isEmpty():
-        for _ in range(STEPS):
-            whole = (F.col("a") == 1) & (F.col("z") == size)
-            done.append(now.where(whole).select("pattern", "lb", "rb", "co_lb", "co_rb"))
-            left = (F.col("a") > 1) & (F.lit(turn % 2 == 0) | (F.col("z") == size))
-            one = now.where(~whole & left).withColumn("a", F.col("a") - 1)
-            other = now.where(~whole & ~left).withColumn("z", F.col("z") + 1)
-            one = extended(ahead, one.withColumn("c", _letter(F.col("a"))), co=("co_lb", "co_rb"))
-            other = extended(back, other.withColumn("c", _letter(F.col("z"))), lb="co_lb", rb="co_rb", co=("lb", "rb"))
-            now, turn = one.unionByName(other).drop("c"), turn + 1
-        now = settle(now, "states")
-    out = now.select("pattern", "lb", "rb", "co_lb", "co_rb")
-    for d in done:
-        out = out.unionByName(d)
+    whole, turn = (F.col("a") == 1) & (F.col("z") == size), 0
+    out = now.where(whole).select("pattern", "lb", "rb", "co_lb", "co_rb")
+    while not (now := now.where(~whole)).isEmpty():
+        left = (F.col("a") > 1) & (F.lit(turn % 2 == 0) | (F.col("z") == size))
+        one = now.where(left).withColumn("a", F.col("a") - 1)
+        other = now.where(~left).withColumn("z", F.col("z") + 1)
+        one = extended(ahead, one.withColumn("c", _letter(F.col("a"))), co=("co_lb", "co_rb"))
+        other = extended(back, other.withColumn("c", _letter(F.col("z"))), lb="co_lb", rb="co_rb", co=("lb", "rb"))
+        now, turn = settle(one.unionByName(other).drop("c"), "states"), turn + 1
+        out = out.unionByName(now.where(whole).select("pattern", "lb", "rb", "co_lb", "co_rb"))
     return out

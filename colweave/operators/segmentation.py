@@ -146,12 +146,16 @@ def max_blocks(raw: DataFrame) -> DataFrame:
     n = raw.agg(F.max("lb")).first()[0]
     if n is None or raw.where("lb = 0 AND rb IS NOT NULL").isEmpty():
         raise ValueError("no segmentation: no block starts at column 0")
-    jump = settle(next_blocks(raw).select(F.col("lb").alias("a"), F.col("next_lb").alias("b")), "jump")
+    return _chain(settle(next_blocks(raw).select(F.col("lb").alias("a"), F.col("next_lb").alias("b")), "jump"), n + 1)
+
+
+def _chain(jump: DataFrame, total: int) -> DataFrame:
+    """block_idx, lb, rb of the chain of starts from column 0 on, where each start a leads to b (null or no start: the end)."""
     stretch = F.floor(F.col("a") / STRETCH).alias("s")
     ways = settle(jump.select("a", "b", F.lit(False).alias("entered"), stretch).groupBy("s").applyInArrow(_way_out, "a bigint, b bigint"), "ways")
     entries = ways.select(F.col("b").alias("a")).where("a IS NOT NULL").distinct()
-    hop = settle(ways.join(entries.unionByName(raw.where("lb = 0").select(F.col("lb").alias("a"))).distinct(), "a", "left_semi").where("b IS NOT NULL"), "hops")
-    reached = settle(raw.where("lb = 0").select(F.col("lb").alias("a")), "reached")
+    hop = settle(ways.join(entries.unionByName(jump.where("a = 0").select("a")).distinct(), "a", "left_semi").where("b IS NOT NULL"), "hops")
+    reached = settle(jump.where("a = 0").select("a"), "reached")
     while True:
         more = reached.join(hop, "a").select(F.col("b").alias("a"))
         if more.isEmpty():
@@ -162,55 +166,133 @@ def max_blocks(raw: DataFrame) -> DataFrame:
     walked = settle(marked.groupBy("s").applyInArrow(_walk, "lb bigint, next bigint, k bigint").withColumn("s", F.floor(F.col("lb") / STRETCH)), "walked")
     # a row for each stretch
     base = walked.groupBy("s").agg(F.count("*").alias("c")).select("s", (F.sum("c").over(Window.orderBy("s")) - F.col("c")).alias("base"))
-    return walked.join(F.broadcast(base), "s").select((F.col("base") + F.col("k")).cast("int").alias("block_idx"), "lb", F.coalesce("next", F.lit(n + 1)).cast("bigint").alias("rb"))
+    return walked.join(F.broadcast(base), "s").select((F.col("base") + F.col("k")).cast("int").alias("block_idx"), "lb", F.coalesce("next", F.lit(total)).cast("bigint").alias("rb"))
+
 
+def _good(a: list[int], e: list[int], base: int, border: int, right: np.ndarray | None, limit: int) -> tuple[list[int], list[int]]:
+    """Starts ``a`` of columns [base, border) from which the rest can be cut in blocks of at most ``limit`` columns, and the next start of each.
 
-def min_longest_blocks(raw: DataFrame) -> DataFrame:
+    ``right``: the good starts of the next ``limit`` columns, in order (None: all of them are).
+    The next start is the first good one at or after the least end ``e``.
+    """
+    size = border - base
+    if right is None:
+        beyond = list(range(border, border + limit + 1))
+    else:
+        at = np.searchsorted(right, np.arange(border, border + limit + 1))
+        beyond = np.append(right, -1)[at].tolist()
+    ahead = [-1] * size + beyond
+    good, after = [], []
+    k = len(a) - 1
+    for c in range(size - 1, -1, -1):
+        if k >= 0 and a[k] - base == c:
+            if e[k] - a[k] <= limit and 0 <= (y := ahead[e[k] - base]) <= a[k] + limit:
+                ahead[c] = a[k]
+                good.append(a[k])
+                after.append(y)
+            else:
+                ahead[c] = ahead[c + 1]
+            k -= 1
+        else:
+            ahead[c] = ahead[c + 1]
+    return good[::-1], after[::-1]
+
+
+def _stretch_states(limits: list[int], width: int, total: int, jumps: bool):
+    """A function over a stretch's starts and the next stretch's states: its own states for each limit; with ``jumps`` the next starts of its good ones.
+
+    A state is the good starts of a stretch's first ``limit`` columns, between what is good for
+    certain (``lower``) and what may be (``upper``, null: any column).
+    """
+    last = (total - 1) // width
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        s = key[0].as_py()
+        left = left.drop_null().sort_by("a")
+        a, e = left["a"].to_pylist(), left["e"].to_pylist()
+        base, border = s * width, min(total, (s + 1) * width)
+        known = {r["limit"]: (r["upper"], r["lower"]) for r in right.to_pylist()}
+        rows = []
+        for limit in limits if s >= 0 else []:
+            upper, lower = ([total], [total]) if s == last else known[limit]
+            most, after = _good(a, e, base, border, None if upper is None else np.array(upper, np.int64), limit)
+            least = most if upper is not None and len(upper) == len(lower) else _good(a, e, base, border, np.array(lower, np.int64), limit)[0]
+            if jumps:
+                rows += [(x, y) for x, y in zip(most, after, strict=True)]
+            else:
+                end = [total] if s == last else []
+                rows.append((s, limit, *([x for x in [*g, *end] if x < base + limit] for g in (most, least))))
+        names, kinds = (["a", "b"], (pa.int64(), pa.int64())) if jumps else (["s", "limit", "upper", "lower"], (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    return run, "a bigint, b bigint" if jumps else "s bigint, `limit` bigint, upper array<bigint>, lower array<bigint>"
+
+
+def _settled_states(starts: DataFrame, limits: list[int], width: int, total: int, whole: bool) -> tuple[set[int], DataFrame]:
+    """The limits by which all columns can be cut, and the states; with ``whole`` those of all stretches are certain.
+
+    All stretches are looked at together, at first without knowing what is good to their right:
+    whatever holds for nothing and for everything there is certain.  Each further round takes
+    the states of the round before, and at least one more stretch from the right is certain.
+    Blocks are short beside stretches, so two rounds are the rule.
+    """
+    spark = starts.sparkSession
+    last = (total - 1) // width
+    run, schema = _stretch_states(limits, width, total, jumps=False)
+    unknown = spark.range(1, last + 1).select(F.col("id").alias("s"), F.explode(F.lit(limits).cast("array<bigint>")).alias("limit"), F.lit(None).cast("array<bigint>").alias("upper"), F.array().cast("array<bigint>").alias("lower"))
+    # a stretch without starts has a state as well
+    states = unknown
+    while True:
+        asked = states.where("s > 0").withColumn("s", F.col("s") - 1)
+        states = settle(starts.groupBy("s").cogroup(asked.groupBy("s")).applyInArrow(run, schema), "states")
+        first = {r["limit"]: (r.may, r.sure) for r in states.where("s = 0").select("limit", F.array_contains("upper", F.lit(0)).alias("may"), F.array_contains("lower", F.lit(0)).alias("sure")).collect()}
+        if whole:
+            certain = states.where("size(upper) <> size(lower)").isEmpty()
+        else:
+            certain = all(may == sure for may, sure in first.values())
+        if certain:
+            return {k for k, (may, sure) in first.items() if sure}, states
+
+
+def min_longest_blocks(raw: DataFrame, stretch: int = STRETCH, many: int = 16) -> DataFrame:
     """block_idx, lb, rb (half-open): a segmentation whose longest block is as short as possible; each block ends as early as that allows.
 
-    A bisection over the length, in one task by choice: each candidate takes one walk over the
-    starts from the right, and what is held is two numbers a valid column.
+    The least length is searched with ``many`` lengths at a time: first powers of two, then
+    between the last one that is too short and the first one that isn't.  A length is tried
+    over stretches of columns, at least as wide as itself, that meet only in the good starts
+    within it of a border: no task holds all columns unless a block has to be as long.
     """
     n = raw.agg(F.max("lb")).first()[0]
     if n is None:
         raise ValueError("no segmentation: no columns")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        lb = np.concatenate([b.column(0).to_numpy() for b in rows]) if rows else np.zeros(0, np.int64)
-        rb = np.concatenate([b.column(1).to_numpy() for b in rows]) if rows else np.zeros(0, np.int64)
-        order = np.argsort(-lb)
-        starts, ends, total = lb[order].tolist(), (rb[order] + 1).tolist(), n + 1
-
-        def chain(limit: int) -> dict[int, int] | None:
-            """Starts from which the rest can be cut, with the next one; None if column 0 isn't one."""
-            good, after = [total], {}  # descending
-            for a, e in zip(starts, ends, strict=True):
-                lo, hi = 0, len(good)  # the last good start that isn't before e
-                while lo < hi:
-                    mid = (lo + hi) // 2
-                    lo, hi = (mid + 1, hi) if good[mid] >= e else (lo, mid)
-                if lo and good[lo - 1] - a <= limit:
-                    after[a] = good[lo - 1]
-                    good.append(a)
-            return after if good[-1] == 0 else None
-
-        if chain(total) is not None:
-            lo, hi = 1, total
-            while lo < hi:
-                mid = (lo + hi) // 2
-                lo, hi = (lo, mid) if chain(mid) is not None else (mid + 1, hi)
-            after, at, out = chain(lo), 0, []
-            while at < total:
-                out.append((len(out), at, after[at]))
-                at = after[at]
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["block_idx", "lb", "rb"])
-
-    out = settle(raw.where("rb IS NOT NULL").select("lb", "rb").coalesce(1).mapInArrow(run, "block_idx int, lb bigint, rb bigint"), "longest")
-    if out.isEmpty():
-        raise ValueError("no segmentation: no block starts at column 0")
-    return out
+    total = n + 1
+
+    def cut(width: int) -> DataFrame:
+        own = raw.where("rb IS NOT NULL").select(F.col("lb").alias("a"), (F.col("rb") + 1).alias("e"), F.floor(F.col("lb") / width).alias("s"))
+        # the last stretch has a row even where nothing starts in it
+        return settle(own.unionByName(own.sparkSession.createDataFrame([((total - 1) // width,)], "s bigint").select(F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("e"), "s")), "starts")
+
+    width = stretch
+    starts = cut(width)
+    tried, hi = [1 << k for k in range(stretch.bit_length()) if 1 << k <= min(stretch, 2 * total)], None
+    lo = 0
+    while hi is None:
+        good = _settled_states(starts, tried, width, total, whole=False)[0]
+        hi, lo = min(good, default=None), max([lo, *(x for x in tried if x not in good)])
+        if hi is None:
+            if lo >= total:
+                raise ValueError("no segmentation: no block starts at column 0")
+            width = 2 * lo
+            starts, tried = cut(width), [width]
+    while hi - lo > 1:
+        tried = sorted({lo + max(1, (hi - lo) * k // (many + 1)) for k in range(1, many + 1)} - {hi})
+        good = _settled_states(starts, tried, width, total, whole=False)[0]
+        hi, lo = min([hi, *good]), max([lo, *(x for x in tried if x not in good)])
+    states = _settled_states(starts, [hi], width, total, whole=True)[1]
+    run, schema = _stretch_states([hi], width, total, jumps=True)
+    jump = starts.groupBy("s").cogroup(states.where("s > 0").withColumn("s", F.col("s") - 1).groupBy("s")).applyInArrow(run, schema)
+    return _chain(settle(jump.where(F.col("b").isNotNull()), "jump"), total)
 
 
 def min_longest_block(raw: DataFrame) -> DataFrame:

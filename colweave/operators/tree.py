@@ -66,38 +66,42 @@ def _in_stretch(table: pa.Table) -> pa.Table:
     return _table(rows)
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Answers within one group of stretches, and what goes on as one stretch of the next level."""
-    rows = sorted(table.select(_NAMES).to_pylist(), key=lambda r: (r["s"], r["idx"] or 0))
-    group = rows[0]["s"] // FAN
-    out: list[tuple] = []
-    for minima, question, answer, order in (("<", "before", "was", 1), (">", "after", "will", -1)):
-        values: list[int] = []
-        places: list[int] = []
-        held: list[dict] = []
-        for r in [*rows[::order], None]:
-            # minima of a stretch answer the stretches behind it, not its own
-            if held and (r is None or r["s"] != held[0]["s"]):
-                for m in held:
-                    while values and values[-1] >= m["v"]:
-                        values.pop()
-                        places.pop()
-                    values.append(m["v"])
-                    places.append(m["idx"])
-                held = []
-            if r is None:
-                break
-            if r["kind"] == minima:
-                held.append(r)
-            elif r["kind"] == question:
-                k = bisect_left(values, r["v"])
-                equal = r["first"] or (k < len(values) and values[k] == r["v"])
-                out.append((answer if k else question, group, r["q"], places[k - 1] if k else None, r["v"], None, None, equal))
-        out += [(minima, group, group, i, v, None, None, None) for i, v in zip(places, values, strict=True)]
-    return _table(out)
-
-
-def surroundings(order: DataFrame, stretch: int = STRETCH) -> DataFrame:
+def _meeting(fan: int):
+    """A function that answers within one group of ``fan`` stretches, and passes on the rest as one stretch of the next level."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        rows = sorted(table.select(_NAMES).to_pylist(), key=lambda r: (r["s"], r["idx"] or 0))
+        group = rows[0]["s"] // fan
+        out: list[tuple] = []
+        for minima, question, answer, order in (("<", "before", "was", 1), (">", "after", "will", -1)):
+            values: list[int] = []
+            places: list[int] = []
+            held: list[dict] = []
+            for r in [*rows[::order], None]:
+                # minima of a stretch answer the stretches behind it, not its own
+                if held and (r is None or r["s"] != held[0]["s"]):
+                    for m in held:
+                        while values and values[-1] >= m["v"]:
+                            values.pop()
+                            places.pop()
+                        values.append(m["v"])
+                        places.append(m["idx"])
+                    held = []
+                if r is None:
+                    break
+                if r["kind"] == minima:
+                    held.append(r)
+                elif r["kind"] == question:
+                    k = bisect_left(values, r["v"])
+                    equal = r["first"] or (k < len(values) and values[k] == r["v"])
+                    out.append((answer if k else question, group, r["q"], places[k - 1] if k else None, r["v"], None, None, equal))
+            out += [(minima, group, group, i, v, None, None, None) for i, v in zip(places, values, strict=True)]
+        return _table(out)
+
+    return meet
+
+
+def surroundings(order: DataFrame, stretch: int = STRETCH, fan: int = FAN) -> DataFrame:
     """idx, lcp (-1 at rank 0), lb, nb, first: of each rank's node the first rank, the rank after the last, and whether no rank before has this node."""
     own = order.select("idx", F.when(F.col("idx") == 0, -1).otherwise(F.col("lcp")).cast("int").alias("v"), F.floor(F.col("idx") / stretch).alias("s"))
     now = settle(own.groupBy("s").applyInArrow(_in_stretch, _SCHEMA), "stretches")
@@ -106,9 +110,9 @@ def surroundings(order: DataFrame, stretch: int = STRETCH) -> DataFrame:
     open_, answers = now.where("kind <> ''"), []
     parts = -(-size // stretch)
     while parts > 1 and not open_.where("kind IN ('before', 'after')").isEmpty():
-        met = settle(open_.groupBy(F.floor(F.col("s") / FAN)).applyInArrow(_meet, _SCHEMA), "met")
+        met = settle(open_.groupBy(F.floor(F.col("s") / fan)).applyInArrow(_meeting(fan), _SCHEMA), "met")
         answers.append(met.where("kind IN ('was', 'will')"))
-        open_, parts = met.where("kind NOT IN ('was', 'will')"), -(-parts // FAN)
+        open_, parts = met.where("kind NOT IN ('was', 'will')"), -(-parts // fan)
     done = ranks.where("lb IS NOT NULL AND nb IS NOT NULL").select("idx", F.col("v").alias("lcp"), "lb", "nb", "first")
     rest = ranks.where("lb IS NULL OR nb IS NULL")
     for k, (kind, column) in enumerate((("was", "lb"), ("will", "nb"))):
