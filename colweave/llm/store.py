@@ -65,10 +65,13 @@ def heavy_join(rows: DataFrame, values: DataFrame, key: str, weight: str, share:
     """``rows`` joined with ``values`` (one row a key, with ``weight``, the rows that have it; dropped), keys of any size.
 
     A key of over ``share`` of all rows would be one task's: there are at most 1 / share such
-    keys, and they are broadcast.  The rest meet by a shuffle.
+    keys, and they are broadcast.  The rest meet by a shuffle; without such keys all do.
+    ``values`` is a written table.
     """
     total = (values.agg(F.sum(weight)).first()[0] or 0) if total is None else total
     hot = F.col(weight) > max(total * share, 1)
+    if values.where(hot).isEmpty():
+        return rows.join(values.drop(weight), key)
     few = values.where(hot).drop(weight).withColumn("__hot", F.lit(True))
     marked = rows.join(F.broadcast(few.select(key, "__hot")), key, "left")
     first = rows.join(F.broadcast(few.drop("__hot")), key)
