@@ -16,8 +16,8 @@ from colweave.operators import text as X
 from colweave.operators import tools as T
 
 #: Tables of a whole index; those that can be left out, by the option that does.
-TABLES = ("ranked", "seg", "nodes", "edges", "paths", "blocks", "vectors", "lines")
-OPTIONAL = {"paths": "skip_support", "blocks": "skip_support", "vectors": "skip_support", "lines": "skip_text"}
+TABLES = ("ranked", "seg", "nodes", "edges", "paths", "sets", "seeds", "blocks", "vectors", "lines")
+OPTIONAL = {"paths": "skip_support", "sets": "skip_support", "seeds": "skip_support", "blocks": "skip_support", "vectors": "skip_support", "lines": "skip_text"}
 
 
 class Index(dict):
@@ -26,7 +26,9 @@ class Index(dict):
     def save(self, folder: str) -> None:
         for name in TABLES:
             if name in self:
-                self[name].write.mode("overwrite").parquet(f"{folder}/{name}")
+                # a query reads the folders of its own seeds
+                dealt = self[name].repartition("folder").sortWithinPartitions("folder", "seed").write.partitionBy("folder") if name == "seeds" else self[name].write
+                dealt.mode("overwrite").parquet(f"{folder}/{name}")
         left_out = [(name,) for name in TABLES if name not in self]
         self["seg"].sparkSession.createDataFrame(left_out, "name string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/skipped")
 
@@ -43,10 +45,11 @@ class Index(dict):
     def space(spark: SparkSession, folder: str) -> DataFrame:
         """table, files, bytes of a stored index."""
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder).select("path", "length")
-        return files.groupBy(F.element_at(F.split("path", "/"), -2).alias("table")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+        table = F.element_at(F.filter(F.split("path", "/"), lambda p: ~p.contains("=") & ~p.endswith(".parquet")), -1)
+        return files.groupBy(table.alias("table")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
     def find(self, patterns: DataFrame) -> DataFrame:
-        return Q.find(patterns, *(self[name] for name in ("ranked", "seg", "lines", "nodes", "edges", "paths")))
+        return Q.find(patterns, *(self[name] for name in ("ranked", "seg", "lines", "nodes", "edges", "paths", "seeds", "sets")))
 
     def describe(self) -> DataFrame:
         """node_idx, block_idx, label, rows, n: the rows of each node."""
@@ -71,14 +74,15 @@ def build_index(cells: DataFrame, seg: DataFrame | None = None, *, skip_text: bo
     out = Index(ranked=ranked, seg=seg, rows=rows, nodes=nodes, edges=edges)
     if not skip_support:
         graph_blocks = written(B.blocks(nodes, seg), "blocks")
-        out |= {"paths": B.node_paths(rows, nodes), "blocks": graph_blocks, "vectors": B.support_vectors(nodes, edges, B.edge_ranks(edges), graph_blocks)}
+        paths = written(B.node_paths(rows, nodes), "paths")
+        out |= {"paths": paths, "sets": written(Q.node_sets(paths), "sets"), "seeds": written(Q.seeds(nodes), "seeds"), "blocks": graph_blocks, "vectors": B.support_vectors(nodes, edges, B.edge_ranks(edges), graph_blocks)}
     if not skip_text:
         out["lines"] = B.text_offsets(B.indexable_lines(nodes, edges))
     return out
 
 
 #: Columns that tell the rows of a table apart.
-KEYS = {"ranked": ["seq_id", "col"], "seg": ["block_idx"], "nodes": ["block_idx", "label"], "edges": ["block_idx", "lhs", "rhs"], "paths": ["node_idx", "seq_id"], "blocks": ["block_idx"], "vectors": ["vector", "pos"], "lines": ["off"]}
+KEYS = {"ranked": ["seq_id", "col"], "seg": ["block_idx"], "nodes": ["block_idx", "label"], "edges": ["block_idx", "lhs", "rhs"], "paths": ["node_idx", "seq_id"], "sets": ["node_idx", "bucket"], "seeds": ["size", "node_idx", "offset"], "blocks": ["block_idx"], "vectors": ["vector", "pos"], "lines": ["off"]}
 
 
 def compare_indices(left: Index, right: Index) -> DataFrame:

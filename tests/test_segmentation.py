@@ -1,10 +1,12 @@
 """Prefixes, right bounds and optimal segmentations against brute force on random alignments."""
 
 import random
+import re
 
 import pytest
 
 from colweave.operators import alignment as A
+from colweave.operators import find as Q
 from colweave.operators import graph as B
 from colweave.operators import segmentation as G
 from colweave.plans.index import TABLES, Index, both_or_neither, build_index, compare_gap_indices, compare_indices, load_gap_index, save_gap_index, save_suffix_order, suffix_order_of
@@ -102,7 +104,7 @@ def test_graph_invariants(spark, tmp_path):
     seg = spark.createDataFrame([(0, 0, 5), (1, 5, 10), (2, 10, 16)], "block_idx int, lb bigint, rb bigint")
     told = []
     index = build_index(cells, seg, progress=told.append)
-    assert told == ["ranked", "seg", "block-rows", "nodes", "edges", "blocks"]
+    assert told == ["ranked", "seg", "block-rows", "nodes", "edges", "blocks", "paths", "sets", "seeds"]
     walk = {}
     for r in index["rows"].orderBy("seq_id", "block_idx").collect():
         walk[r.seq_id] = walk.get(r.seq_id, "") + r.label
@@ -140,6 +142,11 @@ def test_graph_invariants(spark, tmp_path):
         else:
             assert hit.match_count == sum(r.text.startswith(p, k) for r in index["lines"].collect() for k in range(len(r.text)))
     assert any(found[p].did_expand and found[p].match_count for p in asked)
+    # a pattern reads the folders of its own seeds
+    first = Q.starts(spark.createDataFrame([("ACGTACGGT",)], "pattern string"), again["seeds"])
+    scanned = int(re.search(r"PartitionFilters: \[.*?folder", first._jdf.queryExecution().toString()) is not None)
+    folders = {f.rsplit("/", 2)[-2] for f in again["seeds"].inputFiles()}
+    assert scanned and len(folders) > 2 * len(Q.SEEDS) and first.count() >= 1
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "p.txt").write_text(" ".join(asked[:3]))
     answer(pattern_stream(spark, str(tmp_path / "in")), again.find, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(240)
