@@ -11,13 +11,14 @@ from colweave.functions.scratch import settle
 from colweave.operators import alignment as A
 from colweave.operators import find as Q
 from colweave.operators import graph as B
+from colweave.operators import ranges as N
 from colweave.operators import segmentation as G
 from colweave.operators import text as X
 from colweave.operators import tools as T
 
 #: Tables of a whole index; those that can be left out, by the option that does.
-TABLES = ("ranked", "seg", "nodes", "edges", "paths", "sets", "seeds", "blocks", "vectors", "lines")
-OPTIONAL = {"paths": "skip_support", "sets": "skip_support", "seeds": "skip_support", "blocks": "skip_support", "vectors": "skip_support", "lines": "skip_text"}
+TABLES = ("ranked", "seg", "nodes", "edges", "paths", "sets", "seeds", "blocks", "vectors", "lines", "ranks", "symbols", "back_ranks", "back_symbols")
+OPTIONAL = {"paths": "skip_support", "sets": "skip_support", "seeds": "skip_support", "blocks": "skip_support", "vectors": "skip_support", "lines": "skip_text"} | dict.fromkeys(("ranks", "symbols", "back_ranks", "back_symbols"), "no ranks")
 
 
 class Index(dict):
@@ -51,14 +52,28 @@ class Index(dict):
     def find(self, patterns: DataFrame) -> DataFrame:
         return Q.find(patterns, *(self[name] for name in ("ranked", "seg", "lines", "nodes", "edges", "paths", "seeds", "sets")))
 
+    def count(self, patterns: DataFrame) -> DataFrame:
+        """pattern, n: occurrences in the indexable text, from the stored order's blocks alone."""
+        return N.stored_counts(patterns, N.RankTables(self["ranks"], self["symbols"]))
+
+    def ranges(self, patterns: DataFrame) -> DataFrame:
+        """pattern, lb, rb, co_lb, co_rb in the orders of the indexable text's parts and of the same reversed."""
+        return N.alternating_ranges(patterns, N.RankTables(self["ranks"], self["symbols"]), N.RankTables(self["back_ranks"], self["back_symbols"]))
+
     def describe(self) -> DataFrame:
         """node_idx, block_idx, label, rows, n: the rows of each node."""
         rows = self["paths"].groupBy("node_idx").agg(F.array_join(F.array_sort(F.collect_list("seq_id")), ",").alias("rows"), F.count("*").alias("n"))
         return self["nodes"].select("node_idx", "block_idx", "label").join(rows, "node_idx")
 
 
-def build_index(cells: DataFrame, seg: DataFrame | None = None, *, skip_text: bool = False, skip_support: bool = False, progress: Callable[[str], None] | None = None) -> Index:
-    """All tables of an alignment and a segmentation (of most blocks, unless given); ``progress`` hears of each table that is written."""
+def build_index(cells: DataFrame, seg: DataFrame | None = None, *, skip_text: bool = False, skip_support: bool = False, ranks: bool = False, order: str | None = None, reverse_order: str | None = None, progress: Callable[[str], None] | None = None) -> Index:
+    """All tables of an alignment and a segmentation (of most blocks, unless given); ``progress`` hears of each table that is written.
+
+    With ``ranks`` the index has the rank blocks of its indexable text and of the reversed one.
+    Both orders are sorted for it, or read from ``order`` and ``reverse_order`` (folders of
+    ``save_suffix_order``), which have to be orders of these very texts.
+    """
+    stored = both_or_neither(order, reverse_order)
 
     def written(df: DataFrame, name: str) -> DataFrame:
         out = settle(df, name)
@@ -76,13 +91,26 @@ def build_index(cells: DataFrame, seg: DataFrame | None = None, *, skip_text: bo
         graph_blocks = written(B.blocks(nodes, seg), "blocks")
         paths = written(B.node_paths(rows, nodes), "paths")
         out |= {"paths": paths, "sets": written(Q.node_sets(paths), "sets"), "seeds": written(Q.seeds(nodes), "seeds"), "blocks": graph_blocks, "vectors": B.support_vectors(nodes, edges, B.edge_ranks(edges), graph_blocks)}
-    if not skip_text:
-        out["lines"] = B.text_offsets(B.indexable_lines(nodes, edges))
+    if not skip_text or ranks or stored:
+        lines = B.text_offsets(B.indexable_lines(nodes, edges))
+        lines = written(lines, "lines") if ranks or stored else lines
+        out |= {} if skip_text else {"lines": lines}
+    if ranks or stored:
+        for prefix, texts, folder in (("", indexed_texts(lines), order), ("back_", indexed_texts(lines, backwards=True), reverse_order)):
+            tables = N.rank_tables(suffix_order_of(texts, folder), N.last_symbols(texts))
+            out |= {f"{prefix}ranks": tables.blocks, f"{prefix}symbols": tables.symbols}
+            if progress is not None:
+                progress(f"{prefix}ranks")
     return out
 
 
+def indexed_texts(lines: DataFrame, backwards: bool = False) -> DataFrame:
+    """text_id, s: the parts of an indexable text, each for itself."""
+    return lines.select(F.col("off").alias("text_id"), (F.reverse("text") if backwards else F.col("text")).alias("s"))
+
+
 #: Columns that tell the rows of a table apart.
-KEYS = {"ranked": ["seq_id", "col"], "seg": ["block_idx"], "nodes": ["block_idx", "label"], "edges": ["block_idx", "lhs", "rhs"], "paths": ["node_idx", "seq_id"], "sets": ["node_idx", "bucket"], "seeds": ["size", "node_idx", "offset"], "blocks": ["block_idx"], "vectors": ["vector", "pos"], "lines": ["off"]}
+KEYS = {"ranked": ["seq_id", "col"], "seg": ["block_idx"], "nodes": ["block_idx", "label"], "edges": ["block_idx", "lhs", "rhs"], "paths": ["node_idx", "seq_id"], "sets": ["node_idx", "bucket"], "seeds": ["size", "node_idx", "offset"], "blocks": ["block_idx"], "vectors": ["vector", "pos"], "lines": ["off"], "ranks": ["blk"], "symbols": ["ch"], "back_ranks": ["blk"], "back_symbols": ["ch"]}
 
 
 def compare_indices(left: Index, right: Index) -> DataFrame:
@@ -113,19 +141,41 @@ def compare_gap_indices(left: DataFrame, right: DataFrame) -> DataFrame:
     return c.groupBy("seq_id").agg(F.count_if(F.col("status") == "SAME").alias("same"), F.count_if(F.col("status") != "SAME").alias("different"))
 
 
-def save_suffix_order(order: DataFrame, folder: str) -> None:
-    """A suffix order by ranges of idx, so that parts hold consecutive ranks."""
-    order.repartitionByRange("idx").sortWithinPartitions("idx").write.mode("overwrite").parquet(folder)
+def _fingerprint(texts: DataFrame) -> DataFrame:
+    """One row that tells the texts from others, whatever their order."""
+    named = F.sha2(F.concat_ws(":", F.col("text_id").cast("string"), F.col("s")), 256)
+    return texts.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.length("s")), F.lit(0)).cast("bigint").alias("suffixes"), F.coalesce(F.bit_xor(F.xxhash64(named)), F.lit(0)).alias("one"), F.coalesce(F.bit_xor(F.xxhash64(F.reverse(named))), F.lit(0)).alias("two"))
+
+
+def save_suffix_order(order: DataFrame, folder: str, texts: DataFrame | None = None) -> None:
+    """A suffix order by ranges of idx, so that parts hold consecutive ranks; with the fingerprint of its texts, if they are given."""
+    order.repartitionByRange("idx").sortWithinPartitions("idx").write.mode("overwrite").parquet(f"{folder}/order")
+    if texts is not None:
+        _fingerprint(texts).coalesce(1).write.mode("overwrite").parquet(f"{folder}/texts")
+
+
+def load_suffix_order(spark: SparkSession, folder: str, lb: int = 0, rb: int | None = None) -> DataFrame:
+    """Ranks [lb, rb) of a stored order, in order; files that hold other ranks only are passed over by their statistics."""
+    rows = spark.read.parquet(f"{folder}/order").where(F.col("idx") >= lb)
+    return (rows if rb is None else rows.where(F.col("idx") < rb)).orderBy("idx")
 
 
 def suffix_order_of(texts: DataFrame, stored: str | None = None) -> DataFrame:
-    """The suffix order of texts: a stored one (its rows have to be as many as the texts have characters), or a new one."""
+    """The suffix order of texts: a stored one, or a new one.
+
+    A stored order of other texts raises: by the fingerprint that was stored with it, or else
+    by the number of its suffixes.
+    """
     if stored is None:
         return X.suffix_array(texts)
-    order = texts.sparkSession.read.parquet(stored)
-    want, have = texts.agg(F.coalesce(F.sum(F.length("s")), F.lit(0))).first()[0], order.count()
-    if want != have:
-        raise ValueError(f"the stored order has {have} suffixes, the texts have {want}")
+    spark = texts.sparkSession
+    order, own = spark.read.parquet(f"{stored}/order"), _fingerprint(texts).first()
+    known = spark._jvm.org.apache.hadoop.fs.Path(f"{stored}/texts")
+    if known.getFileSystem(spark._jsc.hadoopConfiguration()).exists(known):
+        if tuple(spark.read.parquet(f"{stored}/texts").first()) != tuple(own):
+            raise ValueError("the stored order is one of other texts")
+    elif (have := order.count()) != own.suffixes:
+        raise ValueError(f"the stored order has {have} suffixes, the texts have {own.suffixes}")
     return order
 
 
