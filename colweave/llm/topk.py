@@ -56,6 +56,11 @@ def _to_pivots(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.linalg.norm(v.astype(np.float64) - p, axis=1) for p in pivots], axis=1)
 
 
+def _dealt(ids: np.ndarray, asks: int) -> np.ndarray:
+    """Block of each query, whatever its id is a multiple of."""
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(asks)
+
+
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact integer inner products."""
     reach = np.sqrt((q.astype(np.float64) ** 2).sum(1).max() * (x.astype(np.float64) ** 2).sum(1).max())
@@ -107,7 +112,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 25
     rings["blocks"] = -(-rings["n"] // ROWS_IN_BLOCK)
     asks = max(1, -(-queries.count() // QUERIES_IN_BLOCK))
     block_of = spark.createDataFrame(rings[["dim", "pivot", "ring", "blocks"]].astype("int32"), "dim int, pivot int, ring int, blocks int")
-    dealt = index.join(F.broadcast(block_of), ["dim", "pivot", "ring"]).select("dim", "pivot", "ring", F.pmod(F.xxhash64("vec_id", F.lit(7)), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"), "vec_id", "v")
+    placed = index.join(F.broadcast(block_of), ["dim", "pivot", "ring"]).select("dim", "pivot", "ring", F.pmod(F.xxhash64("vec_id", F.lit(7)), "blocks").cast("int").alias("block"), "vec_id", "v")
 
     def plan(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +139,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 25
                     q, ring = np.repeat(q, n), np.repeat(ring, n)
                     for at in range(0, len(q), PROBES):
                         z = slice(at, at + PROBES)
-                        named = [np.full(len(q[z]), dim), own["pivot"].to_numpy()[ring[z]], own["ring"].to_numpy()[ring[z]], block[z], ids[q[z]] % asks]
+                        named = [np.full(len(q[z]), dim), own["pivot"].to_numpy()[ring[z]], own["ring"].to_numpy()[ring[z]], block[z], _dealt(ids[q[z]], asks)]
                         yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in named), pa.array(ids[q[z]]), part.column(1).take(pa.array(q[z]))], [*_KEY, "query_id", "q"])
 
         return run
@@ -157,6 +162,13 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 25
     def scan(floors: DataFrame, first: bool) -> DataFrame:
         # few rows, each of which asks many rings: dealt anew, so that all tasks plan
         probes = floors.repartition(shuffle_width(spark)).mapInArrow(plan(first), "dim int, pivot int, ring int, block int, ask int, query_id long, q array<bigint>")
+        if asks > 1:
+            # a block goes to those blocks of queries that ask for it, and to no others
+            probes = settle(probes, "probes")
+            asked = probes.select(*_KEY).distinct().select(*_KEY[:-1], F.col("ask").alias("by")).withColumnRenamed("by", "ask")
+            dealt = placed.join(asked, _KEY[:-1])
+        else:
+            dealt = placed.withColumn("ask", F.lit(0))
         return dealt.groupBy(*_KEY).cogroup(probes.groupBy(*_KEY)).applyInArrow(meet, "query_id long, vec_id long, score long")
 
     start = settle(scan(queries.withColumn("floor", F.lit(None).cast("long")), True), "first-ring")
