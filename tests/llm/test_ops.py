@@ -188,6 +188,25 @@ def test_wide_fingerprint():
         assert similar.wide_fingerprint(similar.words_of(t)) == want
 
 
+def test_parities_bound_what_differs():
+    r = random.Random(8)
+    vocabulary = [b"w%d" % i for i in range(300)]
+    for n in (0, 1, 4, 5, 60, 400, 5000):
+        a = [r.choice(vocabulary) for _ in range(n)]
+        for changes in (0, 1, n // 20, n // 3):
+            b = list(a)
+            for _ in range(min(changes, n)):
+                b[r.randrange(n)] = r.choice(vocabulary)
+            x, y = (similar.shingle_set(w, 5) for w in (a, b))
+            exact = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (a, b)]
+            assert [len(x), len(y)] == [len(e) for e in exact]
+            differ = len(exact[0] ^ exact[1])
+            assert len(np.setxor1d(x, y)) == differ
+            bits = sum((p ^ q).bit_count() for p, q in zip(*([v % (1 << 64) for v in similar.parities(s)] for s in (x, y)), strict=True))
+            assert bits <= differ and bits % 2 == differ % 2
+            assert bits > differ // 2 or differ > 128
+
+
 @pytest.mark.parametrize("words", [1, 3])
 def test_fingerprint_is_the_majority_of_bits(words):
     import xxhash
