@@ -32,3 +32,16 @@ def running_sum(df: DataFrame, order: str, values: dict[str, str], stretch: int
     own = Window.partitionBy("__s").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inner = cut.select(*df.columns, "__s", *(F.coalesce(F.sum(v).over(own), F.lit(0)).alias(f"__o_{k}") for k, v in values.items()))
     return inner.join(base, "__s").select(*df.columns, *((F.col(f"__o_{k}") + F.col(f"__b_{k}")).cast("bigint").alias(k) for k in values))
+
+
+def running_max(df: DataFrame, order: str, values: dict[str, str], stretch: int = 4096) -> DataFrame:
+    """``df`` with the largest value of earlier rows along the integer column ``order`` (null: there is none), by name of value."""
+    cut = df.withColumn("__s", F.floor(F.col(order) / stretch))
+    # a row for each stretch
+    tops = cut.groupBy("__s").agg(*(F.max(v).alias(f"__t_{k}") for k, v in values.items()))
+    over = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    base = tops.select("__s", *(F.max(f"__t_{k}").over(over).alias(f"__b_{k}") for k in values))
+    own = Window.partitionBy("__s").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = cut.select(*df.columns, "__s", *(F.max(v).over(own).alias(f"__o_{k}") for k, v in values.items()))
+    # greatest passes over nulls
+    return inner.join(base, "__s").select(*df.columns, *(F.greatest(f"__o_{k}", f"__b_{k}").alias(k) for k in values))

@@ -184,7 +184,14 @@ def cell_order(ranked: DataFrame, length: int = PIECE) -> DataFrame:
 
 
 def _order(suffixes: DataFrame, blocks_of: Callable[[int], DataFrame], length: int) -> DataFrame:
-    """The order of suffixes (text_id, pos, size) of texts that ``blocks_of`` gives in blocks of a size."""
+    """The order of all suffixes (text_id, pos, size) of texts that ``blocks_of`` gives in blocks of a size."""
+    placed, blocks = order_among(suffixes, blocks_of, length)
+    before = windows(blocks, 1).select("text_id", (F.col("pos") + 1).alias("pos"), F.col("win").alias("ch"))
+    return placed.join(before, ["text_id", "pos"], "left").select("text_id", F.col("pos").cast("int").alias("pos"), "idx", "lcp", F.coalesce("ch", F.lit("$")).alias("ch"))
+
+
+def order_among(suffixes: DataFrame, blocks_of: Callable[[int], DataFrame], length: int = PIECE) -> tuple[DataFrame, DataFrame]:
+    """text_id, pos, idx, lcp of the given suffixes (text_id, pos, size) among themselves; and the last blocks of texts."""
     now = suffixes.withColumn("group", F.lit(0).cast("bigint"))
     blocks = settle(blocks_of(BLOCK), "blocks")
     base = None
@@ -214,5 +221,4 @@ def _order(suffixes: DataFrame, blocks_of: Callable[[int], DataFrame], length: i
     last = parts[0]
     for p in parts[1:]:
         last = last.unionByName(p)
-    before = windows(blocks, 1).select("text_id", (F.col("pos") + 1).alias("pos"), F.col("win").alias("ch"))
-    return last.join(before, ["text_id", "pos"], "left").select("text_id", F.col("pos").cast("int").alias("pos"), F.col("idx").cast("bigint").alias("idx"), F.least(F.col("lcp"), F.col("size")).cast("int").alias("lcp"), F.coalesce("ch", F.lit("$")).alias("ch"))
+    return last.select("text_id", F.col("pos").cast("bigint").alias("pos"), F.col("idx").cast("bigint").alias("idx"), F.least(F.col("lcp"), F.col("size")).cast("int").alias("lcp")), blocks

@@ -11,6 +11,7 @@ from colweave.functions.scratch import settle
 from colweave.operators import alignment as A
 from colweave.operators import find as Q
 from colweave.operators import graph as B
+from colweave.operators import merge as M
 from colweave.operators import ranges as N
 from colweave.operators import segmentation as G
 from colweave.operators import text as X
@@ -179,6 +180,19 @@ def suffix_order_of(texts: DataFrame, stored: str | None = None) -> DataFrame:
     return order
 
 
+def extend_suffix_order(texts: DataFrame, added: DataFrame, stored: str, folder: str) -> DataFrame:
+    """The stored order of ``texts`` with ``added`` ones, written to ``folder`` with the fingerprint of all of them, and read from it.
+
+    ``folder`` is another one than ``stored``, whose ranks are read while it is written; a
+    stored order of other texts raises.
+    """
+    if folder.rstrip("/") == stored.rstrip("/"):
+        raise ValueError("an order isn't written over the one that it is made from")
+    both = texts.select("text_id", "s").unionByName(added.select("text_id", "s"))
+    save_suffix_order(M.extended_order(suffix_order_of(texts, stored), texts, added), folder, both)
+    return texts.sparkSession.read.parquet(f"{folder}/order")
+
+
 def both_or_neither(forward: str | None, reverse: str | None) -> bool:
     """Whether stored forward and reverse texts are given; one without the other raises."""
     if (forward is None) != (reverse is None):
