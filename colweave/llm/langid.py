@@ -23,6 +23,7 @@ everything if no language was learned; ties go to the language first in the alph
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -65,32 +66,34 @@ class Alphabet:
 
 def automaton(symbols: list[int], size: int) -> np.ndarray:
     """Transitions of the suffix automaton: states x symbols, -1 where there is none."""
-    go: list[list[int]] = [[-1] * size]
+    # one flat array: a worker holds four bytes a transition, and no more while it builds
+    blank = array("i", [-1]) * size
+    go = array("i", blank)
     link, length, last = [-1], [0], 0
     for c in symbols:
-        new = len(go)
-        go.append([-1] * size)
+        new = len(link)
+        go.extend(blank)
         link.append(0)
         length.append(length[last] + 1)
         p = last
-        while p >= 0 and go[p][c] < 0:
-            go[p][c] = new
+        while p >= 0 and go[p * size + c] < 0:
+            go[p * size + c] = new
             p = link[p]
         if p >= 0:
-            q = go[p][c]
+            q = go[p * size + c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                twin = len(go)
-                go.append(go[q][:])
+                twin = len(link)
+                go.extend(go[q * size : (q + 1) * size])
                 link.append(link[q])
                 length.append(length[p] + 1)
-                while p >= 0 and go[p][c] == q:
-                    go[p][c] = twin
+                while p >= 0 and go[p * size + c] == q:
+                    go[p * size + c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    return np.array(go, np.int32)
+    return np.frombuffer(go, np.int32).reshape(-1, size)
 
 
 class Parser:
@@ -103,15 +106,15 @@ class Parser:
         tables, self.base, self.bits, at = [], [], [], 0
         for x in self.languages:
             s = np.concatenate([self.alphabet.symbols(f"\n{t}\n") for t in sample[x]])[:bound]
-            go = automaton(s.tolist(), self.alphabet.size).astype(np.int64)
+            go = automaton(s.tolist(), self.alphabet.size)
             self.bits.append(np.log2(max(2, len(s))))
             self.base.append(at)
             # entries are row starts in one table; a step that ends a phrase is negative: it already holds the next phrase's first state
-            rows = at + go * self.alphabet.size
-            first = np.where(go[0] >= 0, rows[0], at)
-            rows = np.where(go >= 0, rows, -first[None, :])
+            rows = go * np.int32(self.alphabet.size) + np.int32(at)
+            first = np.where(go[0] >= 0, rows[0], np.int32(at))
+            np.copyto(rows, -first[None, :], where=go < 0)
             rows[0] = -first
-            tables.append(rows.astype(np.int32).reshape(-1))
+            tables.append(rows.reshape(-1))
             at += go.size
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
