@@ -6,10 +6,14 @@ import atexit
 import os
 import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 _SHIPPED: set[str] = set()
@@ -37,6 +41,35 @@ def present(df: DataFrame) -> bool:
     return bool(paths) and all(p.getFileSystem(conf).exists(p) for p in folders.values())
 
 
+_WATCHING: list[list[dict]] = []
+
+
+@contextmanager
+def measured() -> Iterator[list[dict]]:
+    """What is written meanwhile, as it comes: name, rows, bytes, seconds of each table.
+
+    Rows are observed while they are written, bytes are read off the folder: no further job.
+    """
+    written: list[dict] = []
+    _WATCHING.append(written)
+    try:
+        yield written
+    finally:
+        # by identity: two that hear of the same tables are equal
+        _WATCHING[:] = [w for w in _WATCHING if w is not written]
+
+
+def summed(written: list[dict]) -> list[dict]:
+    """A row for each name, in the order of their first tables: rounds (tables of that name), rows, bytes, seconds of all."""
+    out: dict[str, dict] = {}
+    for w in written:
+        own = out.setdefault(w["name"], {"name": w["name"], "rounds": 0, "rows": 0, "bytes": 0, "seconds": 0.0})
+        own["rounds"] += 1
+        for k in ("rows", "bytes", "seconds"):
+            own[k] += w[k]
+    return list(out.values())
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under ``spark.checkpoint.dir`` and scan it.
 
@@ -52,5 +85,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
             atexit.register(shutil.rmtree, _LOCAL[0][7:], ignore_errors=True)
         folder = _LOCAL[0]
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    if not _WATCHING:
+        df.write.parquet(path)
+    else:
+        seen, start = Observation(f"written-{uuid.uuid4().hex}"), time.monotonic()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+        row = {"name": name, "rows": seen.get["rows"], "bytes": size, "seconds": time.monotonic() - start}
+        for written in _WATCHING:
+            written.append(dict(row))
     return spark.read.schema(df.schema).parquet(path)

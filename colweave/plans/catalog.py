@@ -10,6 +10,7 @@ from colweave.functions.scratch import present, settle, ship
 from colweave.operators import alignment as A
 from colweave.operators import find as Q
 from colweave.operators import graph as B
+from colweave.operators import merge as M
 from colweave.operators import ranges as N
 from colweave.operators import segmentation as G
 from colweave.operators import suffixes as S
@@ -495,6 +496,16 @@ def lcp_array(t: Tables) -> DataFrame:
     return X.suffix_array(t.names).select("idx", "lcp")
 
 
+@query("SELECT sa.idx, sa.text_id, sa.pos, sal.lcp FROM sa JOIN sal ON sa.idx = sal.idx")
+def extended_suffix_array(t: Tables) -> DataFrame:
+    """The order of the names of smaller parts, into which those of the larger ones are merged."""
+    small = F.coalesce(F.col("p_size") <= 45, F.lit(True))
+    names = t.read("part").where("p_name IS NOT NULL").select(F.col("p_partkey").cast("bigint").alias("text_id"), F.col("p_name").alias("s"), small.alias("small"))
+    first, more = (names.where(w).select("text_id", "s") for w in ("small", "NOT small"))
+    order = M.extended_order(settle(X.suffix_array(first), "order"), first, more)
+    return order.select("idx", "text_id", "pos", "lcp")
+
+
 @query("SELECT lb, rb, CAST(depth AS INT) AS depth, parent_lb, parent_rb, parent_depth FROM tup")
 def suffix_tree_nodes(t: Tables) -> DataFrame:
     return R.suffix_tree(t.order)

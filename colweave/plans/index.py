@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colweave.functions.scratch import settle
+from colweave.functions.scratch import measured, settle, summed
 from colweave.operators import alignment as A
 from colweave.operators import find as Q
 from colweave.operators import graph as B
@@ -105,6 +105,13 @@ def build_index(cells: DataFrame, seg: DataFrame | None = None, *, skip_text: bo
     return out
 
 
+def build_measured(cells: DataFrame, seg: DataFrame | None = None, **options) -> tuple[Index, DataFrame]:
+    """An index, and what its build wrote: name, rounds, rows, bytes, seconds of the tables of each name, those between steps included."""
+    with measured() as written:
+        index = build_index(cells, seg, **options)
+    return index, cells.sparkSession.createDataFrame(summed(written), "name string, rounds int, rows bigint, bytes bigint, seconds double")
+
+
 def indexed_texts(lines: DataFrame, backwards: bool = False) -> DataFrame:
     """text_id, s: the parts of an indexable text, each for itself."""
     return lines.select(F.col("off").alias("text_id"), (F.reverse("text") if backwards else F.col("text")).alias("s"))

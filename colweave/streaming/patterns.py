@@ -6,7 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+
+from colweave.functions.scratch import settle
+
+
+class PatternProgress(StreamingQueryListener):
+    """Hears of the batches of pattern streams: ``batches`` has (batch, patterns, different ones) of each that had any."""
+
+    def __init__(self) -> None:
+        self.batches: list[tuple[int, int, int]] = []
+        self.failed: list[str] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get("patterns")
+        if seen is not None and seen["patterns"]:
+            self.batches.append((event.progress.batchId, seen["patterns"], seen["different"]))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            self.failed.append(event.exception)
 
 
 def pattern_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,9 +40,15 @@ def pattern_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def answer(patterns: DataFrame, find: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
-    """Append the answers of every micro-batch to the Parquet folder ``sink``; each batch rewrites its own part, so that a replay leaves no doubles."""
+    """Append the answers of every micro-batch to the Parquet folder ``sink``; each batch rewrites its own part, so that a replay leaves no doubles.
+
+    A batch is read once: its different patterns are written before ``find`` asks for them,
+    as often as it does.  ``PatternProgress`` hears of their number, the different ones
+    estimated (within some hundredths).
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        find(batch.distinct()).write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
+        find(settle(batch.distinct(), "asked")).write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
 
-    return patterns.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    seen = patterns.observe("patterns", F.count(F.lit(1)).alias("patterns"), F.approx_count_distinct("pattern").alias("different"))
+    return seen.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
