@@ -52,24 +52,6 @@ def gap_select(ranked: DataFrame) -> DataFrame:
     return ranked.where("ch <> '-'").select("seq_id", (F.col("nb") + 1).alias("k"), "col")
 
 
-def suffix_windows(ranked: DataFrame, length: int) -> DataFrame:
-    """seq_id, nb, col, win: the next ``length`` non-gap characters from every non-gap cell.
-
-    Characters are gathered in blocks of non-gap ranks; a block is put together with the
-    head of the next one, and windows are cut from that short text.
-    """
-    block = 1024
-    own = ranked.where("ch <> '-'").withColumn("block", F.floor(F.col("nb") / block))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nb", "ch"))), lambda x: x["ch"]), "")
-    blocks = own.groupBy("seq_id", "block").agg(text.alias("text"), F.array_sort(F.collect_list(F.struct("nb", "col"))).alias("at"))
-    # the window may reach over several short blocks' worth of text
-    more = -(-length // block)
-    order = Window.partitionBy("seq_id").orderBy("block")
-    whole = F.concat("text", *(F.coalesce(F.lead("text", k).over(order), F.lit("")) for k in range(1, more + 1)))
-    spread = blocks.withColumn("whole", whole).select("seq_id", "whole", F.posexplode("at").alias("i", "cell"))
-    return spread.select("seq_id", F.col("cell.nb").alias("nb"), F.col("cell.col").alias("col"), F.substring(F.col("whole"), F.col("i") + 1, F.lit(length)).alias("win"))
-
-
 def range_overlap(lb1: Column, rb1: Column, lb2: Column, rb2: Column) -> Column:
     """How the half-open range 1 meets range 2: INCLUDES, LEFT, RIGHT or DISJOINT."""
     return F.when((rb1 <= lb2) | (rb2 <= lb1), "DISJOINT").when((lb1 <= lb2) & (rb2 <= rb1), "INCLUDES").when(lb1 <= lb2, "LEFT").otherwise("RIGHT")
