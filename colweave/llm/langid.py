@@ -103,7 +103,8 @@ class Parser:
         self.languages = sorted(sample)
         self.alphabet = Alphabet([t for x in self.languages for t in sample[x]])
         bound = min(SAMPLE_SYMBOLS, ALL_SYMBOLS // max(1, len(sample)))
-        tables, self.base, self.bits, at = [], [], [], 0
+        # one array that grows, so that no table is held twice
+        table, self.base, self.bits, at = array("i"), [], [], 0
         for x in self.languages:
             s = np.concatenate([self.alphabet.symbols(f"\n{t}\n") for t in sample[x]])[:bound]
             go = automaton(s.tolist(), self.alphabet.size)
@@ -114,9 +115,9 @@ class Parser:
             first = np.where(go[0] >= 0, rows[0], np.int32(at))
             np.copyto(rows, -first[None, :], where=go < 0)
             rows[0] = -first
-            tables.append(rows.reshape(-1))
+            table.frombytes(memoryview(rows).cast("B"))
             at += go.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.table = np.frombuffer(table, np.int32) if table else np.zeros(0, np.int32)
 
     def _strips(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Phrases of each strip in each language."""
