@@ -4,6 +4,9 @@ Suffixes are compared piece by piece.  The first piece of every suffix is sorted
 (dealt by ranges, so that no group of alike suffixes is one task's); only those that a piece
 doesn't tell apart, and that someone needs told apart, are compared by the next one, twice as
 long.  So repeats of any length are told apart, and the work follows the repeats there are.
+
+Suffixes are made from texts, so Spark takes a table of them for as small as the texts' files
+are, and would broadcast it; joins of two tables that grow with the texts ask for a shuffle.
 """
 
 from __future__ import annotations
@@ -37,23 +40,23 @@ def text_blocks(texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, a // size, s[a : a + size]) for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for a in range(0, len(s or ""), size)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["text_id", "block", "text"])
+            rows = [(i, a // size, s[a : a + 2 * size], min(size, len(s) - a)) for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for a in range(0, len(s or ""), size)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int32()), strict=True)], ["text_id", "block", "text", "own"])
 
-    return _with_next(texts.select(F.col("text_id").cast("bigint"), "s").mapInArrow(run, "text_id bigint, block bigint, text string"))
+    return texts.select(F.col("text_id").cast("bigint"), "s").mapInArrow(run, "text_id bigint, block bigint, text string, own int")
 
 
 def _with_next(blocks: DataFrame) -> DataFrame:
     own = settle(blocks, "text-blocks")
     after = own.select("text_id", (F.col("block") - 1).alias("block"), F.col("text").alias("after"))
-    return own.join(after, ["text_id", "block"], "left").select("text_id", "block", F.concat("text", F.coalesce("after", F.lit(""))).alias("text"), F.length("text").alias("own"))
+    return own.join(after.hint("merge"), ["text_id", "block"], "left").select("text_id", "block", F.concat("text", F.coalesce("after", F.lit(""))).alias("text"), F.length("text").alias("own"))
 
 
 def pieces(wanted: DataFrame, blocks: DataFrame, size: int, offset: int, length: int) -> DataFrame:
     """wanted (text_id, pos, ...) with piece: the ``length`` characters from pos + offset on (at most ``size``), padded by END."""
     at = F.col("pos") + offset
-    placed = wanted.withColumn("block", F.floor(at / size)).join(blocks.select("text_id", "block", "text"), ["text_id", "block"], "left")
+    placed = wanted.withColumn("block", F.floor(at / size)).join(blocks.select("text_id", "block", "text").hint("merge"), ["text_id", "block"], "left")
     piece = F.substring(F.coalesce("text", F.lit("")), (F.pmod(at, F.lit(size)) + 1).cast("int"), F.lit(length))
     return placed.select(*wanted.columns, F.rpad(piece, length, END).alias("piece"))
 
@@ -187,7 +190,7 @@ def _order(suffixes: DataFrame, blocks_of: Callable[[int], DataFrame], length: i
     """The order of all suffixes (text_id, pos, size) of texts that ``blocks_of`` gives in blocks of a size."""
     placed, blocks = order_among(suffixes, blocks_of, length)
     before = windows(blocks, 1).select("text_id", (F.col("pos") + 1).alias("pos"), F.col("win").alias("ch"))
-    return placed.join(before, ["text_id", "pos"], "left").select("text_id", F.col("pos").cast("int").alias("pos"), "idx", "lcp", F.coalesce("ch", F.lit("$")).alias("ch"))
+    return placed.join(before.hint("merge"), ["text_id", "pos"], "left").select("text_id", F.col("pos").cast("int").alias("pos"), "idx", "lcp", F.coalesce("ch", F.lit("$")).alias("ch"))
 
 
 def order_among(suffixes: DataFrame, blocks_of: Callable[[int], DataFrame], length: int = PIECE) -> tuple[DataFrame, DataFrame]:
@@ -205,16 +208,17 @@ def order_among(suffixes: DataFrame, blocks_of: Callable[[int], DataFrame], leng
         if base is None:
             placed = placed.select("*", F.col("rank").alias("idx"), F.greatest("up", F.lit(0)).alias("lcp"))
         else:
-            starts = placed.groupBy("group").agg(F.min("rank").alias("rank0"))
-            placed = placed.join(starts, "group").join(base, "group").select(*placed.columns, (F.col("first_idx") + F.col("rank") - F.col("rank0")).alias("idx"), F.when(F.col("up") < 0, F.col("first_lcp")).otherwise(F.col("up")).alias("lcp"))
+            starts = placed.groupBy("group").agg(F.min("rank").alias("rank0")).join(base.hint("merge"), "group")
+            placed = placed.join(starts.hint("merge"), "group").select(*placed.columns, (F.col("first_idx") + F.col("rank") - F.col("rank0")).alias("idx"), F.when(F.col("up") < 0, F.col("first_lcp")).otherwise(F.col("up")).alias("lcp"))
         placed = settle(placed, "placed")
         # those that share a piece, and go on after it
         crowd = placed.groupBy("class").agg(F.count("*").alias("n"), F.max("size").alias("most"), F.min(F.struct("idx", "lcp")).alias("first")).where((F.col("n") > 1) & (F.col("most") > offset + step))
         crowd = settle(crowd.select("class", "first"), "crowd")
-        rest = placed.join(crowd, "class", "left")
-        parts.append(rest.where("first IS NULL").select("text_id", "pos", "idx", "lcp", "size"))
         if crowd.isEmpty():
+            parts.append(placed.select("text_id", "pos", "idx", "lcp", "size"))
             break
+        rest = placed.join(crowd.hint("merge"), "class", "left")
+        parts.append(rest.where("first IS NULL").select("text_id", "pos", "idx", "lcp", "size"))
         now = settle(rest.where("first IS NOT NULL").select("text_id", "pos", "size", F.col("class").alias("group")), "rest")
         base = crowd.select(F.col("class").alias("group"), F.col("first.idx").alias("first_idx"), F.col("first.lcp").alias("first_lcp"))
         offset, step = offset + step, offset + step

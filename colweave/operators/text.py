@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from colweave.operators import suffixes as S
 
-#: Characters by which longer words are looked up before they are compared.
-SEED = 12
+#: Characters by which longer words are looked up before they are compared; words that are broadcast to the places in texts.
+SEED, FEW = 12, 20_000
 
 
 def suffixes(texts: DataFrame, length: int) -> DataFrame:
@@ -19,7 +19,7 @@ def suffixes(texts: DataFrame, length: int) -> DataFrame:
     spread = blocks.select("text_id", "block", "text", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"))
     here = spread.select("text_id", (F.col("block") * S.BLOCK + F.col("i")).alias("pos"), F.substring(F.col("text"), F.col("i") + 1, F.lit(length)).alias("suf"))
     before = here.select("text_id", (F.col("pos") + 1).alias("pos"), F.substring("suf", 1, 1).alias("c"))
-    return here.join(before, ["text_id", "pos"], "left").select("text_id", F.col("pos").cast("int").alias("pos"), "suf", F.coalesce("c", F.lit("$")).alias("prev_char"))
+    return here.join(before.hint("merge"), ["text_id", "pos"], "left").select("text_id", F.col("pos").cast("int").alias("pos"), "suf", F.coalesce("c", F.lit("$")).alias("prev_char"))
 
 
 def suffix_array(texts: DataFrame) -> DataFrame:
@@ -43,6 +43,11 @@ def _seeded(words: DataFrame) -> DataFrame:
     return words.where("word <> ''").select("word", size.alias("size"), F.substring(F.col("word"), F.lit(1), size).alias("seed"))
 
 
+def _beside(seeded: DataFrame, n: int) -> DataFrame:
+    """``n`` words for a join with places in texts, which Spark takes for as few as the texts' files are small: it is they that are broadcast, or nothing is."""
+    return F.broadcast(seeded) if n <= FEW else seeded.hint("merge")
+
+
 def word_counts(blocks_of: Callable[[int], DataFrame], words: DataFrame) -> DataFrame:
     """word, n: occurrences in all texts of each different word that occurs, overlapping ones included.
 
@@ -51,14 +56,14 @@ def word_counts(blocks_of: Callable[[int], DataFrame], words: DataFrame) -> Data
     their seed occurs.
     """
     seeded = _seeded(words.select("word").distinct())
-    facts = seeded.agg(F.max(F.length("word")).alias("longest"), F.collect_set("size").alias("sizes")).first()
+    facts = seeded.agg(F.count("*").alias("n"), F.max(F.length("word")).alias("longest"), F.collect_set("size").alias("sizes")).first()
     if not facts.longest:
         return words.select("word", F.lit(0).cast("bigint").alias("n")).limit(0)
     blocks = blocks_of(max(S.BLOCK, facts.longest))
     spots = _spots(blocks, facts.longest).select("win", F.explode(F.lit(sorted(facts.sizes))).alias("size")).where(F.length("win") >= F.col("size"))
     keyed = spots.select("win", "size", F.substring(F.col("win"), F.lit(1), F.col("size")).alias("seed"))
-    short = keyed.groupBy("size", "seed").agg(F.count("*").alias("n")).join(seeded.where(F.length("word") == F.col("size")), ["size", "seed"]).select("word", "n")
-    long = keyed.where(F.length("win") > SEED).join(seeded.where(F.length("word") > SEED), ["size", "seed"]).where(F.col("win").startswith(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
+    short = keyed.groupBy("size", "seed").agg(F.count("*").alias("n")).join(_beside(seeded.where(F.length("word") == F.col("size")), facts.n), ["size", "seed"]).select("word", "n")
+    long = keyed.where(F.length("win") > SEED).join(_beside(seeded.where(F.length("word") > SEED), facts.n), ["size", "seed"]).where(F.col("win").startswith(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
     return short.unionByName(long)
 
 
@@ -73,11 +78,11 @@ def pattern_ranges(texts: DataFrame, patterns: DataFrame, order: DataFrame | Non
     """pattern, lb, rb (closed): ranks of the suffixes that start with each pattern that occurs."""
     order = suffix_array(texts) if order is None else order
     seeded = _seeded(patterns.select(F.col("pattern").alias("word")).distinct())
-    facts = seeded.agg(F.max(F.length("word")).alias("longest"), F.collect_set("size").alias("sizes")).first()
+    facts = seeded.agg(F.count("*").alias("n"), F.max(F.length("word")).alias("longest"), F.collect_set("size").alias("sizes")).first()
     size = max(S.BLOCK, facts.longest or 1)
     spots = _spots(S.text_blocks(texts, size), facts.longest or 1).select("text_id", (F.col("block") * size + F.col("i")).alias("pos"), "win", F.explode(F.lit(sorted(facts.sizes or [1]))).alias("size"))
-    met = spots.select("*", F.substring(F.col("win"), F.lit(1), F.col("size")).alias("seed")).join(seeded, ["size", "seed"]).where(F.col("win").startswith(F.col("word")))
-    return met.select("text_id", F.col("pos").cast("int").alias("pos"), "word").join(order.select("text_id", "pos", "idx"), ["text_id", "pos"]).groupBy(F.col("word").alias("pattern")).agg(F.min("idx").alias("lb"), F.max("idx").alias("rb"))
+    met = spots.select("*", F.substring(F.col("win"), F.lit(1), F.col("size")).alias("seed")).join(_beside(seeded, facts.n), ["size", "seed"]).where(F.col("win").startswith(F.col("word")))
+    return met.select("text_id", F.col("pos").cast("int").alias("pos"), "word").join(order.select("text_id", "pos", "idx").hint("merge"), ["text_id", "pos"]).groupBy(F.col("word").alias("pattern")).agg(F.min("idx").alias("lb"), F.max("idx").alias("rb"))
 
 
 def bidirectional_ranges(texts: DataFrame, patterns: DataFrame, order: DataFrame | None = None, reverse_order: DataFrame | None = None) -> DataFrame:
