@@ -84,7 +84,10 @@ def _ball(fp: str, radius: int) -> F.Column:
 
 
 def links(fps: DataFrame, max_bits: int = 2, segments: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """Edges a, b between distinct fingerprints (column fp) that connect exactly those within ``max_bits``."""
+    """Edges a, b between distinct fingerprints (column fp) that connect exactly those within ``max_bits``.
+
+    Spark takes probes and points for as few as the fingerprints are, so joins ask for a shuffle.
+    """
     cuts = [64 * s // segments for s in range(segments + 1)]
     value = lambda s: F.shiftrightunsigned("fp", cuts[s]).bitwiseAND((1 << (cuts[s + 1] - cuts[s])) - 1)
     # the number of the segment stands in the key's top bits, its value below
@@ -96,7 +99,7 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 2, bucket: int = BU
     # a value that one fingerprint alone has can be fetched by others only
     near = F.filter("found", lambda x: (x < F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= max_bits))
     full = F.size("found") > bucket
-    met = fps.select("fp", F.explode(probes).alias("key")).join(buckets, "key").select("fp", full.alias("full"), F.when(full, F.array().cast("array<bigint>")).otherwise(near).alias("near"))
+    met = fps.select("fp", F.explode(probes).alias("key")).join(buckets.hint("merge"), "key").select("fp", full.alias("full"), F.when(full, F.array().cast("array<bigint>")).otherwise(near).alias("near"))
     met = settle(met.where(F.col("full") | (F.size("near") > 0)), "met")
     plain = met.select(F.col("fp").alias("a"), F.explode("near").alias("b"))
     crowded = met.where("full").select("fp").distinct()
@@ -108,7 +111,7 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 2, bucket: int = BU
         points = crowded.select("fp", _ball("fp", high).alias("point"))
         points = points.withColumn("inner", F.bit_count(F.col("point").bitwiseXOR(F.col("fp"))) <= low)
         heads = points.where("inner").groupBy("point").agg(F.min("fp").alias("head"))
-    hung = points.join(heads, "point").where("fp != head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+    hung = points.join(heads.hint("merge"), "point").where("fp != head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
     return plain.unionByName(hung)
 
 
@@ -117,8 +120,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, max_bits: int = 2, segme
     own = settle(fingerprints(docs, words=words, seed=seed, id_col=id_col, text_col=text_col), "fingerprints")
     fps = settle(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     groups = components(links(fps.select("fp"), max_bits, segments, bucket)).select(F.col("node").alias("fp"), "component")
-    named = fps.join(groups, "fp")
+    named = fps.join(groups.hint("merge"), "fp")
     least = settle(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), "components")
     linked = heavy_join(named.select("fp", "component"), least, "component", "m").select("fp", "component_id")
-    each = settle(fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"), "groups")
+    each = settle(fps.join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"), "groups")
     return heavy_join(own, each, "fp", "n").select("doc_id", "fp", "component_id")
