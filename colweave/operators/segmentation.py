@@ -33,18 +33,22 @@ def unique_prefixes(ranked: DataFrame, length: int = S.PIECE) -> DataFrame:
     ``length`` characters first; only columns whose members share a whole piece with a
     non-member are looked at again, with pieces twice as long, until none is left.
     """
-    total = ranked.where("ch <> '-'").groupBy("seq_id").agg(F.count("*").alias("all"))
+    # a row for each text, written so that Spark sees how few they are
+    total = settle(ranked.where("ch <> '-'").groupBy("seq_id").agg(F.count("*").alias("all")), "totals")
     cells = settle(ranked.join(total, "seq_id", "left").select("col", F.col("seq_id").cast("bigint").alias("text_id"), F.col("nb").cast("bigint").alias("pos"), (F.coalesce("all", F.lit(0)) - F.col("nb")).alias("size"), (F.col("ch") != "-").alias("kept")), "members")
-    now = cells.where("kept").select("text_id", "pos", "size", F.lit(0).cast("bigint").alias("group"))
     members = cells.where("size > 0").select("col", "text_id", "pos")
     found = [cells.where("size <= 0").select("col", "text_id", "pos", F.lit(None).cast("int").alias("d"))]
     blocks = settle(S.cell_blocks(ranked, S.BLOCK), "blocks")
+    if length > S.BLOCK:
+        blocks = settle(S.cell_blocks(ranked, length), "blocks")
+    # at first all suffixes are wanted: their pieces are cut where the blocks are
+    first = S.windows(blocks, length).join(total.select(F.col("seq_id").cast("bigint").alias("text_id"), "all"), "text_id")
+    cut = first.select("text_id", "pos", (F.col("all") - F.col("pos")).alias("size"), F.lit(0).cast("bigint").alias("group"), F.rpad("win", length, S.END).alias("piece"))
     offset, step = 0, length
     while True:
-        if step > S.BLOCK:
-            blocks = settle(S.cell_blocks(ranked, step), "blocks")
-        placed = S.sorted_suffixes(S.pieces(now, blocks, max(S.BLOCK, step), offset, step), offset, step)
-        each = members.join(placed, ["text_id", "pos"])
+        placed = S.sorted_suffixes(cut, offset, step)
+        # the windows below are all within a column
+        each = members.join(placed.hint("merge"), ["text_id", "pos"]).repartition("col")
         island = each.withColumn("island", F.col("rank") - F.row_number().over(Window.partitionBy("col", "group").orderBy("rank")))
         order = Window.partitionBy("col", "group", "island").orderBy("rank")
         left = F.min("up").over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -59,8 +63,11 @@ def unique_prefixes(ranked: DataFrame, length: int = S.PIECE) -> DataFrame:
             break
         # their classes are the next groups: nothing else shares so much with them
         members = more.select("col", "text_id", "pos")
-        now = placed.join(more.select("class").distinct(), "class").select("text_id", "pos", "size", F.col("class").alias("group"))
+        now = placed.join(more.select("class").distinct().hint("merge"), "class").select("text_id", "pos", "size", F.col("class").alias("group"))
         offset, step = offset + step, offset + step
+        if step > S.BLOCK:
+            blocks = settle(S.cell_blocks(ranked, step), "blocks")
+        cut = S.pieces(now, blocks, max(S.BLOCK, step), offset, step)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -85,22 +92,23 @@ def next_blocks(raw: DataFrame) -> DataFrame:
     """lb, rb (half-open), next_lb, next_rb: the block that a chain of most blocks takes next.
 
     Of the blocks that start at rb or later, the one that ends first, the latest start among
-    equals: a running minimum from the right, in stretches.
+    equals: a running minimum from the right, in stretches.  Windows run backwards: a frame up
+    to the last row would be gone through anew for each row.
     """
     half = raw.where("rb IS NOT NULL").select("lb", (F.col("rb") + 1).alias("rb"))
     best = F.struct("rb", (-F.col("lb")).alias("neg"))
     stretch = 4096
     cut = half.withColumn("s", F.floor(F.col("lb") / stretch))
     tails = cut.groupBy("s").agg(F.min(best).alias("b"))
-    later = tails.select("s", F.min("b").over(Window.orderBy("s").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    inner = cut.select("s", "lb", "rb", F.min(best).over(Window.partitionBy("s").orderBy("lb").rowsBetween(0, Window.unboundedFollowing)).alias("own"))
+    later = tails.select("s", F.min("b").over(Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    inner = cut.select("s", "lb", "rb", F.min(best).over(Window.partitionBy("s").orderBy(F.desc("lb")).rowsBetween(Window.unboundedPreceding, 0)).alias("own"))
     suffix = inner.join(F.broadcast(later), "s").select("lb", "rb", F.least("own", F.coalesce("later", "own")).alias("best"))
     # the first start at or after rb: starts are dense in valid columns, so look it up through the next valid start
     marks = suffix.select(F.col("lb").alias("p"), F.lit(1).alias("kind"), "best").unionByName(suffix.select(F.col("rb").alias("p"), F.lit(0).alias("kind"), F.lit(None).cast("struct<rb:bigint,neg:bigint>").alias("best")).distinct())
     cutm = marks.withColumn("s", F.floor(F.col("p") / stretch))
     heads = cutm.where("kind = 1").groupBy("s").agg(F.min_by("best", "p").alias("h"))
-    nexts = cutm.select("s").distinct().join(heads, "s", "left").select("s", F.first("h", True).over(Window.orderBy("s").rowsBetween(1, Window.unboundedFollowing)).alias("n"))
-    filled = cutm.select("s", "p", "kind", F.first("best", True).over(Window.partitionBy("s").orderBy("p", "kind").rowsBetween(0, Window.unboundedFollowing)).alias("f"))
+    nexts = cutm.select("s").distinct().join(heads, "s", "left").select("s", F.last("h", True).over(Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)).alias("n"))
+    filled = cutm.select("s", "p", "kind", F.last("best", True).over(Window.partitionBy("s").orderBy(F.desc("p"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)).alias("f"))
     look = filled.where("kind = 0").join(F.broadcast(nexts), "s").select(F.col("p").alias("rb"), F.coalesce("f", "n").alias("f"))
     return suffix.select("lb", "rb").join(look, "rb").select("lb", "rb", (-F.col("f.neg")).alias("next_lb"), F.col("f.rb").alias("next_rb"))
 

@@ -181,7 +181,8 @@ def suffix_order(texts: DataFrame, length: int = PIECE) -> DataFrame:
 def cell_order(ranked: DataFrame, length: int = PIECE) -> DataFrame:
     """The same of the ungapped rows of an alignment, whose rows aren't put together for it; text_id is seq_id."""
     kept = ranked.where("ch <> '-'")
-    sizes = kept.groupBy("seq_id").agg(F.count("*").alias("all"))
+    # a row for each text, written so that Spark sees how few they are
+    sizes = settle(kept.groupBy("seq_id").agg(F.count("*").alias("all")), "totals")
     now = kept.join(sizes, "seq_id").select(F.col("seq_id").cast("bigint").alias("text_id"), F.col("nb").cast("bigint").alias("pos"), (F.col("all") - F.col("nb")).alias("size"))
     return _order(now, lambda n: cell_blocks(ranked, n), length)
 

@@ -1,7 +1,8 @@
-"""What grows with the input is not broadcast."""
+"""What grows with the input is neither broadcast nor gone through anew for each row."""
 
 from pyspark.sql import functions as F
 
+from colweave.operators import segmentation as G
 from colweave.operators import suffixes as S
 from colweave.operators import text as X
 
@@ -36,3 +37,23 @@ def test_blocks_of_long_texts_hold_the_next_one(spark):
     t = spark.createDataFrame([(1, "abcdefghij"), (2, "abcd"), (3, ""), (4, None), (5, "xyz")], "text_id int, s string")
     got = sorted(map(tuple, S.text_blocks(t, 4).select("text_id", "block", "text", "own").collect()))
     assert got == [(1, 0, "abcdefgh", 4), (1, 1, "efghij", 4), (1, 2, "ij", 2), (2, 0, "abcd", 4), (5, 0, "xyz", 3)]
+
+
+def test_next_blocks_take_one_pass(spark):
+    raw = spark.range(9000).select(F.col("id").alias("lb"), F.when(F.col("id") % 7 < 5, F.col("id") + 3 + F.col("id") * 31 % 17).alias("rb")).where("rb IS NULL OR rb < 9000")
+    found = G.next_blocks(raw)
+    assert "unboundedfollowing" not in plan(found).lower()
+    blocks = sorted((r.lb, r.rb + 1) for r in raw.where("rb IS NOT NULL").collect())
+    want, best = {}, None
+    later = {}
+    for lb, rb in reversed(blocks):
+        best = min([(rb, -lb), *([best] if best else [])])
+        later[lb] = best
+    starts = [b[0] for b in blocks]
+    from bisect import bisect_left
+
+    for lb, rb in blocks:
+        k = bisect_left(starts, rb)
+        n = later[starts[k]] if k < len(starts) else None
+        want[lb] = (rb, -n[1] if n else None, n[0] if n else None)
+    assert {r.lb: (r.rb, r.next_lb, r.next_rb) for r in found.collect()} == want
