@@ -90,7 +90,7 @@ def last_symbols(texts: DataFrame) -> DataFrame:
 def _standing(tables: RankTables, states: DataFrame, at: Column, name: str, symbol: str, smaller: bool) -> DataFrame:
     """``states`` with ``name``: how often ``symbol`` stands before the rank ``at``; and with ``smaller``, how often smaller ones do."""
     blocks = tables.blocks.select(F.col("blk").alias("__blk"), F.col("text").alias("__text"), F.col("counts").alias("__counts"))
-    met = states.withColumn("__at", at).withColumn("__blk", F.floor(F.col("__at") / tables.width)).join(blocks, "__blk")
+    met = states.withColumn("__at", at).withColumn("__blk", F.floor(F.col("__at") / tables.width)).join(blocks.hint("merge"), "__blk")
     head = F.substring(F.col("__text"), F.lit(1), F.pmod("__at", F.lit(tables.width)).cast("int"))
     own = F.length(head) - F.length(F.replace(head, F.col(symbol), F.lit("")))
     out = met.withColumn(name, F.coalesce(F.get(F.map_values(F.map_filter("__counts", lambda k, _: k == F.col(symbol))), F.lit(0)), F.lit(0)) + own)
