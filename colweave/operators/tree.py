@@ -122,7 +122,7 @@ def surroundings(order: DataFrame, stretch: int = STRETCH, fan: int = FAN) -> Da
         if found is None:
             continue
         known = found.where(F.col("kind") == kind).select(F.col("q").alias("s"), "v", F.col("idx").alias("at"), F.col("first").alias("equal"))
-        asked = rest.where(F.col(column).isNull()).drop(column).join(known, ["s", "v"], "left").withColumn(column, F.col("at"))
+        asked = rest.where(F.col(column).isNull()).drop(column).join(known.hint("merge"), ["s", "v"], "left").withColumn(column, F.col("at"))
         asked = asked.withColumn("first", F.col("first") & ~F.coalesce("equal", F.lit(False))) if k == 0 else asked
         rest = rest.where(F.col(column).isNotNull()).unionByName(asked.drop("at", "equal"))
     # nothing shares less after the last such rank
@@ -133,7 +133,8 @@ def parents(intervals: DataFrame, around: DataFrame) -> DataFrame:
     """``intervals`` (lb, rb; nodes or single ranks) with parent_lb, parent_rb, parent_depth; null at the root."""
     left = around.select(F.col("idx").alias("lb"), F.col("lcp").alias("__a"), F.col("lb").alias("__lb"))
     right = around.select((F.col("idx") - 1).alias("rb"), F.col("lcp").alias("__b"), (F.col("nb") - 1).alias("__rb"))
-    both = intervals.join(left, "lb").join(right, "rb", "left").withColumn("__b", F.coalesce("__b", F.lit(-1)))
+    # tables of ranks are small as files, not in memory: none is broadcast
+    both = intervals.hint("merge").join(left, "lb").hint("merge").join(right.hint("merge"), "rb", "left").withColumn("__b", F.coalesce("__b", F.lit(-1)))
     depth = F.greatest("__a", "__b")
     up = lambda c: F.when(depth >= 0, c)
     return both.select(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from colweave.operators import segmentation as G
 from colweave.operators import suffixes as S
 from colweave.operators import text as X
+from colweave.operators import tree as R
 
 
 def plan(df) -> str:
@@ -57,3 +58,8 @@ def test_next_blocks_take_one_pass(spark):
         n = later[starts[k]] if k < len(starts) else None
         want[lb] = (rb, -n[1] if n else None, n[0] if n else None)
     assert {r.lb: (r.rb, r.next_lb, r.next_rb) for r in found.collect()} == want
+
+
+def test_ranks_arent_broadcast(spark):
+    around = spark.range(9).select(F.col("id").alias("idx"), F.lit(0).alias("lcp"), F.col("id").alias("lb"), (F.col("id") + 1).alias("nb"), F.lit(True).alias("first"))
+    assert "Broadcast" not in plan(R.suffix_tree(around, around))
