@@ -11,6 +11,8 @@ from colweave.operators import suffixes as S
 
 #: Characters by which longer words are looked up before they are compared; words that are broadcast to the places in texts.
 SEED, FEW = 12, 20_000
+#: Values that a task sorts.
+MOST = 500_000
 
 
 def suffixes(texts: DataFrame, length: int) -> DataFrame:
@@ -102,8 +104,12 @@ def run_lengths(values: DataFrame, part: str, order: str, value: str, stretch: i
     """part, run (from 0), value, n: maximal runs of equal values along the integers ``order``, from 0 without holes.
 
     A run starts where the value differs from the one before; runs are numbered in stretches.
+    Values are dealt before anything sorts them, so that no task sorts more than its share of them.
     """
     cut = values.select(part, order, value, F.floor(F.col(order) / stretch).alias("__s"))
+    # a number of parts is kept as it is, where Spark would put parts of one stage together by their packed size
+    width = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cut.count() // MOST))
+    cut = cut.repartition(width, part, "__s")
     inner = Window.partitionBy(part, "__s").orderBy(order)
     # the last value of a stretch stands before the first one of the next
     ends = cut.groupBy(part, "__s").agg(F.max_by(F.struct(value), order).alias("__e")).select(part, (F.col("__s") + 1).alias("__s"), "__e")
@@ -113,4 +119,5 @@ def run_lengths(values: DataFrame, part: str, order: str, value: str, stretch: i
     base = sums.select(part, "__s", (F.sum("__n").over(Window.partitionBy(part).orderBy("__s")) - F.col("__n")).alias("__b"))
     run = (F.sum("__new").over(inner) + F.col("__b") - 1).cast("bigint")
     numbered = marked.join(base, [part, "__s"]).withColumn("run", run)
-    return numbered.groupBy(part, "run").agg(F.first(value).alias(value), F.count("*").alias("n"))
+    # by the value too, which a run has one of: such rows are counted in a hash table
+    return numbered.groupBy(part, "run", value).agg(F.count("*").alias("n"))

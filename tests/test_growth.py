@@ -63,3 +63,11 @@ def test_next_blocks_take_one_pass(spark):
 def test_ranks_arent_broadcast(spark):
     around = spark.range(9).select(F.col("id").alias("idx"), F.lit(0).alias("lcp"), F.col("id").alias("lb"), (F.col("id") + 1).alias("nb"), F.lit(True).alias("first"))
     assert "Broadcast" not in plan(R.suffix_tree(around, around))
+
+
+def test_runs_are_dealt_before_they_are_sorted(spark):
+    cells = spark.range(30).select((F.col("id") % 3).alias("p"), F.floor(F.col("id") / 3).alias("c"), F.when(F.col("id") % 5 < 3, "x").otherwise("y").alias("v"))
+    runs = X.run_lengths(cells, "p", "c", "v", stretch=4)
+    lines = plan(runs).split("== Initial Plan ==")[-1].splitlines()
+    assert not any(" Sort" in x for x in lines[[k for k, x in enumerate(lines) if "Exchange hashpartitioning(p" in x][-1] :])
+    assert sum(r.n for r in runs.collect()) == 30
