@@ -32,21 +32,30 @@ def expanding(patterns: DataFrame, lines: DataFrame, found: DataFrame) -> DataFr
     """pattern, did_expand.
 
     For a suffix q that occurs: a shortest-prefix label is a prefix of it, or q is a prefix of
-    one that occurs as often.
+    one that occurs as often.  Such a label's first ``text.SEED`` characters occur as often as a
+    q that isn't longer, so few labels have to be counted as a whole.
     """
     tails = patterns.select("pattern", F.explode(F.transform(F.sequence(F.lit(1), F.length("pattern")), lambda i: F.substring(F.col("pattern"), i, F.length("pattern")))).alias("q")).where("q <> ''")
     labels = found.where("is_shortest_prefix AND label <> ''").select("label").distinct()
     texts = lines.select(F.col("off").alias("text_id"), F.col("text").alias("s"))
-    words = tails.select(F.col("q").alias("word")).unionByName(labels.select(F.col("label").alias("word"))).distinct()
-    counts = settle(T.word_counts(lambda size: S.text_blocks(texts, size), words), "word-counts")
-    q = tails.select("q").distinct().join(counts.withColumnsRenamed({"word": "q", "n": "n_q"}), "q")
-    v = labels.join(counts.withColumnsRenamed({"word": "label", "n": "n_v"}), "label")
+    blocks = lambda size: S.text_blocks(texts, size)
+    head = F.substring("label", 1, T.SEED)
+    words = tails.select(F.col("q").alias("word")).unionByName(labels.select(head.alias("word"))).distinct()
+    counts = settle(T.word_counts(blocks, words), "word-counts")
+    q = settle(tails.select("q").distinct().join(counts.withColumnsRenamed({"word": "q", "n": "n_q"}), "q"), "tails")
     prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n)))
     longest = q.agg(F.max(F.length("q"))).first()[0] or 0
     inside = q.select("q", prefixes("q").alias("label")).join(labels, "label", "left_semi").select("q")
-    heads = v.select("n_v", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("label"), F.lit(longest))), lambda n: F.substring(F.col("label"), F.lit(1), n))).alias("q")) if longest else v.select("n_v", F.col("label").alias("q")).limit(0)
-    around = q.join(heads, "q").where("n_q = n_v").select("q")
-    good = inside.unionByName(around).distinct()
+    good = inside
+    if longest:
+        headed = labels.withColumn("head", head).join(counts.withColumnsRenamed({"word": "head", "n": "n_v"}).hint("merge"), "head")
+        cut = headed.select("label", "n_v", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("label"), F.lit(longest))), lambda n: F.substring(F.col("label"), F.lit(1), n))).alias("q"))
+        met = settle(cut.join(T.beside(q, q.count()), "q").where((F.col("n_q") == F.col("n_v")) | (F.length("q") > T.SEED)), "heads")
+        long = met.where(F.length("label") > T.SEED).select("label", "q", "n_q")
+        whole = T.word_counts(blocks, long.select(F.col("label").alias("word"))).withColumnRenamed("word", "label")
+        around = met.where(F.length("label") <= T.SEED).select("q").unionByName(long.join(whole.hint("merge"), "label").where("n_q = n").select("q"))
+        good = good.unionByName(around)
+    good = good.distinct()
     return patterns.join(tails.join(good, "q", "left_semi").select("pattern").distinct().withColumn("e", F.lit(True)), "pattern", "left").select(*patterns.columns, F.coalesce("e", F.lit(False)).alias("did_expand"))
 
 

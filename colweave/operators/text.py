@@ -45,7 +45,7 @@ def _seeded(words: DataFrame) -> DataFrame:
     return words.where("word <> ''").select("word", size.alias("size"), F.substring(F.col("word"), F.lit(1), size).alias("seed"))
 
 
-def _beside(seeded: DataFrame, n: int) -> DataFrame:
+def beside(seeded: DataFrame, n: int) -> DataFrame:
     """``n`` words for a join with places in texts, which Spark takes for as few as the texts' files are small: it is they that are broadcast, or nothing is."""
     return F.broadcast(seeded) if n <= FEW else seeded.hint("merge")
 
@@ -54,19 +54,25 @@ def word_counts(blocks_of: Callable[[int], DataFrame], words: DataFrame) -> Data
     """word, n: occurrences in all texts of each different word that occurs, overlapping ones included.
 
     ``blocks_of`` gives the texts in blocks of a size.  Linear in the texts: from every position one substring for each length of a seed (``SEED``
-    characters at most), counted before they meet the words; longer words are compared where
-    their seed occurs.
+    characters at most), counted before they meet the words.  Where the seed of longer words
+    occurs, one substring for each different length of these is counted, however many words
+    and places share the seed.
     """
     seeded = _seeded(words.select("word").distinct())
     facts = seeded.agg(F.count("*").alias("n"), F.max(F.length("word")).alias("longest"), F.collect_set("size").alias("sizes")).first()
     if not facts.longest:
         return words.select("word", F.lit(0).cast("bigint").alias("n")).limit(0)
     blocks = blocks_of(max(S.BLOCK, facts.longest))
-    spots = _spots(blocks, facts.longest).select("win", F.explode(F.lit(sorted(facts.sizes))).alias("size")).where(F.length("win") >= F.col("size"))
-    keyed = spots.select("win", "size", F.substring(F.col("win"), F.lit(1), F.col("size")).alias("seed"))
-    short = keyed.groupBy("size", "seed").agg(F.count("*").alias("n")).join(_beside(seeded.where(F.length("word") == F.col("size")), facts.n), ["size", "seed"]).select("word", "n")
-    long = keyed.where(F.length("win") > SEED).join(_beside(seeded.where(F.length("word") > SEED), facts.n), ["size", "seed"]).where(F.col("win").startswith(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
-    return short.unionByName(long)
+    spots = _spots(blocks, facts.longest)
+    keyed = spots.select("win", F.explode(F.lit(sorted(facts.sizes))).alias("size")).where(F.length("win") >= F.col("size")).select("size", F.substring(F.col("win"), F.lit(1), F.col("size")).alias("seed"))
+    short = keyed.groupBy("size", "seed").agg(F.count("*").alias("n")).join(beside(seeded.where(F.length("word") == F.col("size")), facts.n), ["size", "seed"]).select("word", "n")
+    if facts.longest <= SEED:
+        return short
+    longer = seeded.where(F.length("word") > SEED)
+    sized = longer.groupBy("seed").agg(F.collect_set(F.length("word")).alias("sizes"))
+    met = spots.where(F.length("win") > SEED).select("win", F.substring("win", 1, SEED).alias("seed")).join(beside(sized, facts.n), "seed")
+    cut = met.select("win", F.explode(F.filter("sizes", lambda n: n <= F.length("win"))).alias("n")).select(F.substring(F.col("win"), F.lit(1), F.col("n")).alias("word"))
+    return short.unionByName(cut.groupBy("word").agg(F.count("*").alias("n")).join(beside(longer.select("word"), facts.n), "word").select("word", "n"))
 
 
 def pattern_counts(texts: DataFrame | Callable[[int], DataFrame], patterns: DataFrame) -> DataFrame:
@@ -83,7 +89,7 @@ def pattern_ranges(texts: DataFrame, patterns: DataFrame, order: DataFrame | Non
     facts = seeded.agg(F.count("*").alias("n"), F.max(F.length("word")).alias("longest"), F.collect_set("size").alias("sizes")).first()
     size = max(S.BLOCK, facts.longest or 1)
     spots = _spots(S.text_blocks(texts, size), facts.longest or 1).select("text_id", (F.col("block") * size + F.col("i")).alias("pos"), "win", F.explode(F.lit(sorted(facts.sizes or [1]))).alias("size"))
-    met = spots.select("*", F.substring(F.col("win"), F.lit(1), F.col("size")).alias("seed")).join(_beside(seeded, facts.n), ["size", "seed"]).where(F.col("win").startswith(F.col("word")))
+    met = spots.select("*", F.substring(F.col("win"), F.lit(1), F.col("size")).alias("seed")).join(beside(seeded, facts.n), ["size", "seed"]).where(F.col("win").startswith(F.col("word")))
     return met.select("text_id", F.col("pos").cast("int").alias("pos"), "word").join(order.select("text_id", "pos", "idx").hint("merge"), ["text_id", "pos"]).groupBy(F.col("word").alias("pattern")).agg(F.min("idx").alias("lb"), F.max("idx").alias("rb"))
 
 

@@ -71,3 +71,12 @@ def test_runs_are_dealt_before_they_are_sorted(spark):
     lines = plan(runs).split("== Initial Plan ==")[-1].splitlines()
     assert not any(" Sort" in x for x in lines[[k for k, x in enumerate(lines) if "Exchange hashpartitioning(p" in x][-1] :])
     assert sum(r.n for r in runs.collect()) == 30
+
+
+def test_words_and_places_of_one_seed_dont_meet_in_pairs(spark):
+    head = "abcdefghijkl"
+    t = spark.range(60).select(F.col("id").alias("text_id"), F.concat(F.lit(head), (F.col("id") % 30).cast("string"), F.lit("#")).alias("s"))
+    words = spark.range(40).select(F.concat(F.lit(head), F.col("id").cast("string")).alias("pattern"))
+    text = [r.s for r in t.collect()]
+    assert {r.pattern: r.n for r in X.pattern_counts(t, words).collect()} == {w: sum(s.count(w) for s in text) for w in (r.pattern for r in words.collect())}
+    assert "StartsWith" not in plan(X.word_counts(lambda size: S.text_blocks(t, size), words.select(F.col("pattern").alias("word"))))
