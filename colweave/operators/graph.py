@@ -22,7 +22,7 @@ def block_rows(ranked: DataFrame, seg: DataFrame) -> DataFrame:
     own = F.max("block_idx").over(Window.partitionBy("s").orderBy("col"))
     of = stretch.withColumn("own", own).join(F.broadcast(before), "s").select("col", F.coalesce("own", "before").alias("block_idx"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "ch"))), lambda x: F.when(x["ch"] == "-", "").otherwise(x["ch"])), "")
-    return ranked.join(of, "col").groupBy("block_idx", "seq_id").agg(text.alias("label"))
+    return ranked.join(of.hint("merge"), "col").groupBy("block_idx", "seq_id").agg(text.alias("label"))
 
 
 def nodes(rows: DataFrame) -> DataFrame:

@@ -78,9 +78,9 @@ def right_bounds(ranked: DataFrame, prefixes: DataFrame) -> DataFrame:
     """lb, rb (closed; null where the column isn't valid), for every column."""
     m = ranked.select("seq_id").distinct().count()
     ends = ranked.where("ch <> '-'").select("seq_id", F.col("nb").alias("last"), F.col("col").alias("rb"))
-    reached = prefixes.where("d IS NOT NULL").withColumn("last", F.col("nb") + F.col("d") - 1).join(ends, ["seq_id", "last"])
+    reached = prefixes.where("d IS NOT NULL").withColumn("last", F.col("nb") + F.col("d") - 1).join(ends.hint("merge"), ["seq_id", "last"])
     valid = reached.groupBy("col").agg(F.count("*").alias("n"), F.max("rb").alias("rb")).where(F.col("n") == m)
-    return ranked.select("col").distinct().join(valid, "col", "left").select(F.col("col").cast("bigint").alias("lb"), F.col("rb").cast("bigint").alias("rb"))
+    return ranked.select("col").distinct().join(valid.hint("merge"), "col", "left").select(F.col("col").cast("bigint").alias("lb"), F.col("rb").cast("bigint").alias("rb"))
 
 
 def find_block_boundaries(ranked: DataFrame, length: int = S.PIECE) -> DataFrame:
@@ -110,7 +110,7 @@ def next_blocks(raw: DataFrame) -> DataFrame:
     nexts = cutm.select("s").distinct().join(heads, "s", "left").select("s", F.last("h", True).over(Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)).alias("n"))
     filled = cutm.select("s", "p", "kind", F.last("best", True).over(Window.partitionBy("s").orderBy(F.desc("p"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)).alias("f"))
     look = filled.where("kind = 0").join(F.broadcast(nexts), "s").select(F.col("p").alias("rb"), F.coalesce("f", "n").alias("f"))
-    return suffix.select("lb", "rb").join(look, "rb").select("lb", "rb", (-F.col("f.neg")).alias("next_lb"), F.col("f.rb").alias("next_rb"))
+    return suffix.select("lb", "rb").join(look.hint("merge"), "rb").select("lb", "rb", (-F.col("f.neg")).alias("next_lb"), F.col("f.rb").alias("next_rb"))
 
 
 def _in_stretch(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
