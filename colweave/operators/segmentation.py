@@ -206,11 +206,10 @@ def _good(a: list[int], e: list[int], base: int, border: int, right: np.ndarray
     return good[::-1], after[::-1]
 
 
-def _stretch_states(limits: list[int], width: int, total: int, jumps: bool):
-    """A function over a stretch's starts and the next stretch's states: its own states for each limit; with ``jumps`` the next starts of its good ones.
+def _stretch_states(width: int, total: int, jumps: bool):
+    """A function over a stretch's starts and the states that are known to its right: its own states for each limit asked; with ``jumps`` the next starts of its good ones.
 
-    A state is the good starts of a stretch's first ``limit`` columns, between what is good for
-    certain (``lower``) and what may be (``upper``, null: any column).
+    A state is the good starts of a stretch's first ``limit`` columns; null to the right: any column.
     """
     last = (total - 1) // width
 
@@ -219,48 +218,61 @@ def _stretch_states(limits: list[int], width: int, total: int, jumps: bool):
         left = left.drop_null().sort_by("a")
         a, e = left["a"].to_pylist(), left["e"].to_pylist()
         base, border = s * width, min(total, (s + 1) * width)
-        known = {r["limit"]: (r["upper"], r["lower"]) for r in right.to_pylist()}
         rows = []
-        for limit in limits if s >= 0 else []:
-            upper, lower = ([total], [total]) if s == last else known[limit]
-            most, after = _good(a, e, base, border, None if upper is None else np.array(upper, np.int64), limit)
-            least = most if upper is not None and len(upper) == len(lower) else _good(a, e, base, border, np.array(lower, np.int64), limit)[0]
+        for limit, state in zip(right["limit"].to_pylist(), right["state"].to_pylist(), strict=True):
+            beyond = [total] if s == last else state
+            good, after = _good(a, e, base, border, None if beyond is None else np.array(beyond, np.int64), limit)
             if jumps:
-                rows += [(x, y) for x, y in zip(most, after, strict=True)]
+                rows += zip(good, after, strict=True)
             else:
-                end = [total] if s == last else []
-                rows.append((s, limit, *([x for x in [*g, *end] if x < base + limit] for g in (most, least))))
-        names, kinds = (["a", "b"], (pa.int64(), pa.int64())) if jumps else (["s", "limit", "upper", "lower"], (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))
+                rows.append((s, limit, [x for x in [*good, *([total] if s == last else [])] if x < base + limit]))
+        names, kinds = (["a", "b"], (pa.int64(), pa.int64())) if jumps else (["s", "limit", "state"], (pa.int64(), pa.int64(), pa.list_(pa.int64())))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-    return run, "a bigint, b bigint" if jumps else "s bigint, `limit` bigint, upper array<bigint>, lower array<bigint>"
+    return run, "a bigint, b bigint" if jumps else "s bigint, `limit` bigint, state array<bigint>"
 
 
-def _settled_states(starts: DataFrame, limits: list[int], width: int, total: int, whole: bool) -> tuple[set[int], DataFrame]:
-    """The limits by which all columns can be cut, and the states; with ``whole`` those of all stretches are certain.
+def _over_stretches(starts: DataFrame, asked: DataFrame, width: int, total: int, jumps: bool) -> DataFrame:
+    """What each stretch that is asked says. Stretches are few bytes and much work: their parts are named, or else Spark puts them all into one."""
+    parts = max(1, min((total - 1) // width + 1, int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    own, asked = starts.repartition(parts, "s"), asked.repartition(parts, "s")
+    run, schema = _stretch_states(width, total, jumps)
+    return own.groupBy("s").cogroup(asked.groupBy("s")).applyInArrow(run, schema)
 
-    All stretches are looked at together, at first without knowing what is good to their right:
-    whatever holds for nothing and for everything there is certain.  Each further round takes
-    the states of the round before, and at least one more stretch from the right is certain.
-    Blocks are short beside stretches, so two rounds are the rule.
+
+def _to_the_left(states: DataFrame) -> DataFrame:
+    """What stretches are asked with: the states next to the right."""
+    return states.where("s > 0").select((F.col("s") - 1).alias("s"), "limit", "state")
+
+
+def _settled_states(starts: DataFrame, limits: list[int], width: int, total: int) -> tuple[set[int], set[int], DataFrame]:
+    """Limits by which all columns can be cut, limits by which they can't, and the states (s, limit, state), which are certain for the former.
+
+    At first each stretch takes every column to its right for good, and each further round takes
+    the states of the round before, so states only shrink.  Where none has changed all are
+    certain: that of the last stretch is, and so each one to its left.  A limit is out as soon as
+    a stretch has nothing good, or column 0 isn't.  Only stretches whose state to the right has
+    changed are looked at again, and only limits that the decided ones leave open.
     """
-    spark = starts.sparkSession
     last = (total - 1) // width
-    run, schema = _stretch_states(limits, width, total, jumps=False)
-    unknown = spark.range(1, last + 1).select(F.col("id").alias("s"), F.explode(F.lit(limits).cast("array<bigint>")).alias("limit"), F.lit(None).cast("array<bigint>").alias("upper"), F.array().cast("array<bigint>").alias("lower"))
-    # a stretch without starts has a state as well
-    states = unknown
-    while True:
-        asked = states.where("s > 0").withColumn("s", F.col("s") - 1)
-        states = settle(starts.groupBy("s").cogroup(asked.groupBy("s")).applyInArrow(run, schema), "states")
-        first = {r["limit"]: (r.may, r.sure) for r in states.where("s = 0").select("limit", F.array_contains("upper", F.lit(0)).alias("may"), F.array_contains("lower", F.lit(0)).alias("sure")).collect()}
-        if whole:
-            certain = states.where("size(upper) <> size(lower)").isEmpty()
+    asked = starts.sparkSession.range(last + 1).select(F.col("id").alias("s"), F.explode(F.lit(limits).cast("array<bigint>")).alias("limit"), F.lit(None).cast("array<bigint>").alias("state"))
+    states, good, out, left = None, set(), set(), list(limits)
+    while left:
+        own = starts if states is None else starts.join(asked.select("s").distinct(), "s", "left_semi").select(starts.columns)
+        new = _over_stretches(own, asked, width, total, jumps=False)
+        if states is None:
+            states = settle(new.withColumn("changed", F.lit(last > 0)), "states")
         else:
-            certain = all(may == sure for may, sure in first.values())
-        if certain:
-            return {k for k, (may, sure) in first.items() if sure}, states
+            both = states.drop("changed").join(new.withColumnRenamed("state", "now"), ["s", "limit"], "left")
+            states = settle(both.select("s", "limit", F.coalesce("now", "state").alias("state"), (F.coalesce(F.size("now"), F.size("state")) < F.size("state")).alias("changed")), "states")
+        lost = (F.size("state") == 0) | (F.col("s") == 0) & ~F.array_contains("state", F.lit(0))
+        for r in states.where(F.col("limit").isin(left)).groupBy("limit").agg(F.max(lost).alias("lost"), F.max("changed").alias("changed")).collect():
+            if r.lost or not r.changed:
+                (out if r.lost else good).add(r.limit)
+        left = [x for x in left if max(out, default=0) < x < min(good, default=x + 1)]
+        asked = _to_the_left(states.where(F.col("changed") & F.col("limit").isin(left)))
+    return good, out, states
 
 
 def min_longest_blocks(raw: DataFrame, stretch: int = STRETCH, many: int = 16) -> DataFrame:
@@ -286,8 +298,8 @@ def min_longest_blocks(raw: DataFrame, stretch: int = STRETCH, many: int = 16) -
     tried, hi = [1 << k for k in range(stretch.bit_length()) if 1 << k <= min(stretch, 2 * total)], None
     lo = 0
     while hi is None:
-        good = _settled_states(starts, tried, width, total, whole=False)[0]
-        hi, lo = min(good, default=None), max([lo, *(x for x in tried if x not in good)])
+        good, out, states = _settled_states(starts, tried, width, total)
+        hi, lo = min(good, default=None), max([lo, *out])
         if hi is None:
             if lo >= total:
                 raise ValueError("no segmentation: no block starts at column 0")
@@ -295,11 +307,13 @@ def min_longest_blocks(raw: DataFrame, stretch: int = STRETCH, many: int = 16) -
             starts, tried = cut(width), [width]
     while hi - lo > 1:
         tried = sorted({lo + max(1, (hi - lo) * k // (many + 1)) for k in range(1, many + 1)} - {hi})
-        good = _settled_states(starts, tried, width, total, whole=False)[0]
-        hi, lo = min([hi, *good]), max([lo, *(x for x in tried if x not in good)])
-    states = _settled_states(starts, [hi], width, total, whole=True)[1]
-    run, schema = _stretch_states([hi], width, total, jumps=True)
-    jump = starts.groupBy("s").cogroup(states.where("s > 0").withColumn("s", F.col("s") - 1).groupBy("s")).applyInArrow(run, schema)
+        good, out, more = _settled_states(starts, tried, width, total)
+        states = more if min(good, default=hi) < hi else states
+        hi, lo = min([hi, *good]), max([lo, *out])
+    # each good start's next one, by the certain states
+    known = states.where(F.col("limit") == hi)
+    ends = known.where(F.col("s") == (total - 1) // width).select("s", "limit", F.lit(None).cast("array<bigint>").alias("state"))
+    jump = _over_stretches(starts, _to_the_left(known).unionByName(ends), width, total, jumps=True)
     return _chain(settle(jump.where(F.col("b").isNotNull()), "jump"), total)
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from colweave.functions.scratch import measured
 from colweave.operators import segmentation as G
 from colweave.operators import suffixes as S
 from colweave.operators import text as X
@@ -80,3 +81,13 @@ def test_words_and_places_of_one_seed_dont_meet_in_pairs(spark):
     text = [r.s for r in t.collect()]
     assert {r.pattern: r.n for r in X.pattern_counts(t, words).collect()} == {w: sum(s.count(w) for s in text) for w in (r.pattern for r in words.collect())}
     assert "StartsWith" not in plan(X.word_counts(lambda size: S.text_blocks(t, size), words.select(F.col("pattern").alias("word"))))
+
+
+def test_least_longest_block_takes_no_more_rounds_for_more_stretches(spark):
+    rounds = []
+    for n in (64, 192):  # 4 and 12 stretches
+        raw = spark.range(n).select(F.col("id").alias("lb"), F.least(F.col("id") + 1 + F.col("id") % 3, F.lit(n - 1)).alias("rb"))
+        with measured() as written:
+            assert G.min_longest_blocks(raw, stretch=16).agg(F.sum(F.col("rb") - F.col("lb"))).first()[0] == n
+        rounds.append(sum(w["name"] == "states" for w in written))
+    assert rounds[0] == rounds[1]
