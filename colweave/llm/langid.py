@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colweave.llm.worker import kept
+
 #: Most symbols of training text for each language, and most languages' worth of it in all.
 SAMPLE_SYMBOLS, ALL_SYMBOLS = 40_000, 600_000
 #: Labelled documents that the sample is drawn from: their number for each language, and characters of one where there are such.
@@ -163,15 +165,9 @@ class Parser:
         return out
 
 
-_PARSERS: dict[str, Parser] = {}
-
-
 def _parser(key: str, sample: dict[str, list[str]]) -> Parser:
     """One parser for a model and process; the last model is kept."""
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = Parser(sample)
-    return _PARSERS[key]
+    return kept(("languages", key), lambda: Parser(sample))
 
 
 def learn_languages(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
@@ -194,6 +190,7 @@ def score_languages(docs: DataFrame, sample: dict[str, list[str]], *, id_col: st
     """Per row: id, lang_pred, score (0 to 1), bits (of a symbol in that language); ``keep`` columns come along."""
     shared = docs.sparkSession.sparkContext.broadcast(sample)  # bounded: SAMPLE_DOCS texts of bounded size for each language
     key = uuid.uuid4().hex  # workers outlive a model, and addresses come back
+    sent = [id_col, text_col, *(k for k in keep if k not in (id_col, text_col))]  # a text that is kept is sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _parser(key, shared.value)
@@ -208,8 +205,8 @@ def score_languages(docs: DataFrame, sample: dict[str, list[str]], *, id_col: st
                 score = np.where(known, 1 / np.exp2((least[:, None] - filled) / HALF).sum(axis=1), 0.0)
             else:
                 best, least, score = np.zeros(b.num_rows, int), np.zeros(b.num_rows), np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[k] for k in best], pa.string()), pa.array(score), pa.array(least, mask=~known), *b.columns[2:]], [id_col, "lang_pred", "score", "bits", *keep])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[k] for k in best], pa.string()), pa.array(score), pa.array(least, mask=~known), *(b.column(sent.index(k)) for k in keep)], [id_col, "lang_pred", "score", "bits", *keep])
 
     kind = docs.schema[id_col].dataType.simpleString()
     more = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(id_col, text_col, *keep).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, bits double{more}")
+    return docs.select(*sent).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, bits double{more}")

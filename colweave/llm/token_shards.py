@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from colweave.llm.store import new_path, settle, shuffle_width
+from colweave.llm.worker import kept
 
 MAGIC = b"PFORIDS1"
 BLOCK = 128
@@ -171,13 +172,8 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.split(" ")))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def _encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return kept(("encoder", path), lambda: WordEncoder(path))
 
 
 def _filesystem(uri: str):
