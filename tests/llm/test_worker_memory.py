@@ -7,6 +7,7 @@ import public_tokenizers
 
 import corpus_pipeline as P
 from colweave.llm import langid, similar, spans, token_shards
+from colweave.llm.store import collect_garbage
 
 
 def test_a_step_gives_up_what_the_one_before_kept():
@@ -38,3 +39,27 @@ def test_batches_of_texts_are_small_and_texts_are_sent_once(spark):
     docs = spark.createDataFrame([(1, "the hill", "en"), (2, None, "de")], "doc_id bigint, text string, lang string")
     scored = langid.score_languages(docs, {"en": ["the house on the hill"]}, keep=("lang", "text"))
     assert sorted((r.doc_id, r.lang_pred, r.text, r.lang) for r in scored.collect()) == [(1, "en", "the hill", "en"), (2, "und", None, "de")]
+
+
+def test_powers_are_as_many_as_needed():
+    few = [x.copy() for x in spans._powers(10)]
+    many = spans._powers(spans.WINDOW + 1)
+    assert len(few[0]) <= len(many[0]) == spans.WINDOW + 1
+    assert all((x == y[: len(x)]).all() for x, y in zip(few, many, strict=True))
+    token_shards._encoder(public_tokenizers.path("word_bpe_49k.json"))
+    next(spans.windows(["a house"]))
+    assert len(spans._powers(1)[0]) < 100
+
+
+def test_handles_that_refer_to_themselves_go(spark):
+    gc.collect()
+    handle = spark.range(3)._jdf
+    handle.count()  # a method that was called is kept by the handle, and keeps the handle
+    gone = weakref.ref(handle)
+    gc.disable()
+    try:
+        del handle
+        collect_garbage(spark)
+        assert gone() is None
+    finally:
+        gc.enable()
